@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.chat_format import digest_formatted, format_conversations
 from orrery.llm.exact_dedup import exact_groups
+from orrery.llm.html_extract import extract
+from orrery.llm.quality_rules import quality
+from orrery.llm.secret_scan import find_secrets
 from orrery.llm.sharding import interleaved_shards
 
 
@@ -15,20 +19,114 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"), repository=F.col("doc_id"), owner=F.col("source"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: Conversation -1: control strings as the text of a user and of an assistant.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text")
+    )
+    return digest_formatted(format_conversations(turns.unionByName(own)))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = interleaved_shards(table(spark, sf_dir, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_chat_format": op8_chat_format,
+    "op9_html_extract": op9_html_extract,
     "op10_sharding": op10_sharding,
 }
 
+OP6_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text
+    FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+e AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT rid, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM e WINDOW o AS (PARTITION BY rid ORDER BY i)),
+h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g WHERE gram IS NOT NULL),
+c AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY rid),
+f AS (
+    SELECT w.rid, doc_id, lang, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM w LEFT JOIN c USING (rid)),
+r AS (
+    SELECT *, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate,
+           CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
+           CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
+           CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END AS word_length
+    FROM f),
+m AS (
+    SELECT lang, source, measure, v FROM r, LATERAL (
+        SELECT unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS measure, unnest([symbol_rate, dup_line_rate, repeat_rate, word_length]) AS v)),
+s AS (
+    SELECT lang, source, measure, CASE WHEN v < 32 THEN v ELSE 16 * (length(bin(v)) - 5) + (v >> (length(bin(v)) - 5)::INTEGER) END AS bucket,
+           2 - grouping(source) - grouping(lang) AS depth, count(*) AS n
+    FROM m GROUP BY GROUPING SETS ((lang, source, measure, bucket), (lang, measure, bucket), (measure, bucket))),
+u AS (
+    SELECT *, sum(n) OVER (PARTITION BY depth, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY depth, lang, source, measure) AS total,
+           CASE WHEN bucket < 32 THEN bucket ELSE ((bucket - 16 * ((bucket - 16) // 16) + 1) << ((bucket - 16) // 16)::INTEGER) - 1 END AS top
+    FROM s),
+q AS (
+    SELECT depth, lang, source, measure, total, min(top) FILTER (4 * upto >= total) AS q1, min(top) FILTER (4 * upto >= 3 * total) AS q3
+    FROM u GROUP BY ALL),
+k AS (
+    SELECT depth, lang, source, measure, total, q1 - 3 * (q3 - q1) - slack AS low, q3 + 3 * (q3 - q1) + slack AS high
+    FROM q JOIN (VALUES ('symbol_rate', 150), ('dup_line_rate', 250), ('repeat_rate', 150), ('word_length', 40)) x(measure, slack) USING (measure)),
+t AS (
+    SELECT o.lang, o.source, o.measure,
+           CASE WHEN o.total >= 100 THEN o.low WHEN l.total >= 100 THEN l.low ELSE a.low END AS low,
+           CASE WHEN o.total >= 100 THEN o.high WHEN l.total >= 100 THEN l.high ELSE a.high END AS high
+    FROM k o JOIN k l ON o.depth = 2 AND l.depth = 1 AND o.lang = l.lang AND o.measure = l.measure JOIN k a ON a.depth = 0 AND a.measure = o.measure),
+x AS (
+    SELECT rid, string_agg(measure, ',' ORDER BY list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length'], measure)) AS failed
+    FROM (SELECT rid, lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS measure, unnest([symbol_rate, dup_line_rate, repeat_rate, word_length]) AS v FROM r)
+    JOIN t USING (lang, source, measure)
+    WHERE v > high OR (measure = 'word_length' AND v < low) GROUP BY rid),
+y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed, NOT base_failed AND failed IS NULL AS kept
+FROM y LEFT JOIN x USING (rid)
+"""
+
+OP8_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER () AS n FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 0 UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 0),
+g AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|<\|im_start\|>|<\|im_end\|>')) AS guarded FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(3 + length(role) + 1 + CASE WHEN role = 'assistant' THEN 0 ELSE 7 END + guarded + 6)::BIGINT AS formatted_chars
+FROM g GROUP BY conv_id
+"""
+
 OP7_SQL = """
 WITH d AS (
     SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -64,4 +162,4 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard,
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op10_sharding": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_chat_format": OP8_SQL, "op7_exact_dedup": OP7_SQL, "op10_sharding": OP10_SQL}
