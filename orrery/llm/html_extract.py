@@ -210,7 +210,7 @@ def main_text(page: str) -> str:
             own = [i for i, b in enumerate(blocks) if b.article == article and not b.bad]
             kept += [i for i, good in zip(own, inherit([labels[i] for i in own], True), strict=True) if good]
     else:
-        kept = [i for i, good in enumerate(inherit(labels, False)) if good and not blocks[i].bad]
+        kept = [i for i, good in enumerate(inherit(labels, True)) if good and not blocks[i].bad]
     return "\n\n".join(blocks[i].text for i in sorted(kept))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from orrery.llm.chat_format import digest_formatted, format_conversations
 from orrery.llm.exact_dedup import exact_groups
 from orrery.llm.html_extract import extract
+from orrery.llm.language_id import fit, identify, learnable
+from orrery.llm.near_dedup import components
+from orrery.llm.packing import pack
 from orrery.llm.quality_rules import quality
 from orrery.llm.secret_scan import find_secrets
 from orrery.llm.sharding import interleaved_shards
@@ -19,10 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs, learnable()))
+    held_out = F.coalesce(~learnable(), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"), repository=F.col("doc_id"), owner=F.col("source"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -53,7 +71,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_format": op8_chat_format,

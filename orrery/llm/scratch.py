@@ -1,35 +1,14 @@
-"""Places for intermediate tables, and bounds on Arrow batches."""
+"""Bounds on Arrow batches; intermediate tables are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-
-ROWS_PER_BATCH = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests, one machine) a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+from orrery.sources.scratch import shared_dir, written
 
+__all__ = ["bounded_batches", "shared_dir", "written"]
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here.
-
-    Every call takes a new table name, so a rerun never meets a half-written one.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ROWS_PER_BATCH = 1000
 
 
 def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
@@ -38,11 +17,3 @@ def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
-
-
-def output_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores added until no column of ``df`` (in any case) has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
