@@ -15,6 +15,7 @@ from orrery.llm.near_dedup import components
 from orrery.llm.packing import pack
 from orrery.llm.quality_rules import quality
 from orrery.llm.secret_scan import find_secrets
+from orrery.llm.sentencepiece_codec import round_trip
 from orrery.llm.sharding import interleaved_shards
 
 
@@ -37,6 +38,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
