@@ -253,24 +253,32 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     return out
 
 
-def identify(docs: DataFrame, model: Identifier | None, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Identifier | None, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with four columns more: lang_pred, score (0 to 1), entropy (nats per character) and rejected.
 
     Texts that are null or without a letter are ``UNKNOWN`` with score 0 and rejected, and so are all texts if there is
-    no model. Only the text decides. Columns of ``docs`` with these names are replaced; there is no shuffle.
+    no model. Only the text decides. ``prefix`` goes before the new names, which must not be among those of ``docs``.
+    There is no shuffle.
     """
     bounded_batches(docs.sparkSession)
-    added = ("lang_pred", "score", "entropy", "rejected")
-    rows = docs.drop(*added)
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "lang_pred string", "score double", "entropy double", "rejected boolean"])
+    added = [prefix + c for c in ("lang_pred", "score", "entropy", "rejected")]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    schema = ", ".join([*fields, *[f"`{c}` {k}" for c, k in zip(added, ("string", "double", "double", "boolean"), strict=True)]])
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = rows.columns.index(text)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(at)]
-            names, score, entropy, out = held.value.predict(texts) if held.value and texts else ([UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool))
+            n = len(texts)
+            names, score, entropy, out = held.value.predict(texts) if held.value and n else ([UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool))
             found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(out, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *added])
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Identifier | None, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text the model rejects; columns unchanged."""
+    prefix = "__language_"
+    return identify(docs, model, text, prefix).filter(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])

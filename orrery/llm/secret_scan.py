@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +90,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Candidates of each row of ``docs``: its id, owner and repository, the base figures, and all spans with hashes."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.col(text).alias("__text"))
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.col(text).alias("__text")
+    )
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
     return rows.mapInArrow(_scan, f"{fields}, {SCAN_SCHEMA}")
 
@@ -105,7 +108,8 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Secrets in each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, live_spans.
+    """Secrets in each row of ``docs``: doc_id, text_hash, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared
+    and live_spans.
 
     ``spans`` lists kind:start:end of base spans and of the bare ones that look live, by start, then kind; positions
     are code points, ends exclusive. ``live_spans`` are those of them whose value looks live (``n_live``); the other
@@ -127,7 +131,49 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str =
     spans = spans.select("row", text_of(F.col("all")).alias("spans"), F.size(alive).cast("long").alias("n_live"), (F.size("all") - F.size(alive)).cast("long").alias("n_shared"), text_of(alive).alias("live_spans"))
     joined = scanned.drop("found", "owner", "repository").join(spans, "row", "left")
     return joined.select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
+        "doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("live_spans", F.lit("")).alias("live_spans"),
     )
+
+
+REDACTED = "[REDACTED]"
+
+
+def redact_spans(text: str, spans: str) -> str:
+    """The text with every listed span replaced; spans that overlap are replaced as one."""
+    if text is None or not spans:
+        return text
+    out, at = [], 0
+    for start, end in (map(int, s.split(":")[1:]) for s in spans.split(",")):
+        if start >= at:
+            out += [text[at:start], REDACTED]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, repository: Column, owner: Column, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the values that look live replaced in their texts, and ``n_chars`` counted anew where it changes.
+
+    Widely copied values stay, and so do all rows. Only texts with live spans meet Python a second time.
+    """
+    found = find_secrets(docs, repository, owner, text, doc_id).filter(F.col("live_spans") != "")
+    live = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("live_spans").alias("__spans")).distinct()
+    keyed = docs.withColumn("__text_hash", F.xxhash64(F.col(text)))
+    joined = keyed.join(live, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([redact_spans(t, s) for t, s in zip(texts, spans, strict=True)])
+
+    # Texts without spans go to Python as nulls.
+    fresh = joined.withColumn("__fresh", F.when(F.col("__spans").isNotNull(), cut(F.when(F.col("__spans").isNotNull(), F.col(text)), F.col("__spans"))))
+    columns = []
+    for c in docs.columns:
+        if c == text:
+            columns.append(F.coalesce("__fresh", F.col(text)).alias(c))
+        elif c == n_chars:
+            columns.append(F.coalesce(F.length("__fresh").cast(docs.schema[c].dataType), F.col(c)).alias(c))
+        else:
+            columns.append(F.col(f"`{c}`"))
+    return fresh.select(*columns)
