@@ -125,7 +125,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUESTS = """
-requests AS (SELECT user_id AS subject, event_id AS request_id, date_diff('second', TIMESTAMP '2024-01-01', ts) AS at FROM events)"""
+requests AS (SELECT user_id AS subject, event_id AS request_id, date_diff('second', TIMESTAMP '2024-01-01', ts) AS "at" FROM events)"""
 
 
 def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
