@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.scratch import written
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits of a level for each key that is still without a slot.
 GAMMA = 2.0
@@ -164,9 +166,10 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Null text is the empty text. Rows with a null id belong to the batch, count towards the group, and win only if no
     row of the group has an id. Rows that repeat the winning id are all marked kept. An empty table gives no rows.
+    The texts are read once: their digests are a table of their own from then on.
     """
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(F.col(text)).alias("digest"))
-    n_rows, low, high = docs.agg(F.count(F.lit(1)), F.min(F.col(doc_id).cast("long")), F.max(F.col(doc_id).cast("long"))).first()
+    ids = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(F.col(text)).alias("digest")), "digests")
+    n_rows, low, high = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     n_buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
     middle = None if low is None else low + (high - low) // 2
     old = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False))
