@@ -31,7 +31,7 @@ FENCE = 3
 #: Groups with fewer texts than this take the thresholds of their language, and small languages those of all texts.
 MIN_GROUP = 100
 #: Measures (integers) with the slack of their fences and whether low values fail too.
-MEASURES = {"symbol_rate": (150, False), "dup_line_rate": (250, False), "repeat_rate": (150, False), "word_length": (40, True)}
+MEASURES = {"symbol_rate": (150, False), "dup_line_rate": (400, False), "repeat_rate": (300, False), "word_length": (40, True)}
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 

@@ -124,7 +124,7 @@ q AS (
     FROM u GROUP BY ALL),
 k AS (
     SELECT depth, lang, source, measure, total, q1 - 3 * (q3 - q1) - slack AS low, q3 + 3 * (q3 - q1) + slack AS high
-    FROM q JOIN (VALUES ('symbol_rate', 150), ('dup_line_rate', 250), ('repeat_rate', 150), ('word_length', 40)) x(measure, slack) USING (measure)),
+    FROM q JOIN (VALUES ('symbol_rate', 150), ('dup_line_rate', 400), ('repeat_rate', 300), ('word_length', 40)) x(measure, slack) USING (measure)),
 t AS (
     SELECT o.lang, o.source, o.measure,
            CASE WHEN o.total >= 100 THEN o.low WHEN l.total >= 100 THEN l.low ELSE a.low END AS low,
