@@ -129,3 +129,8 @@ def overlay_params(jobs: DataFrame) -> DataFrame:
     """
     value = lambda k: F.coalesce(F.try_element_at("explicit", F.lit(k)), F.try_element_at("recommended", F.lit(k)))
     return jobs.withColumn("params", F.struct(*[F.coalesce(value(k).try_cast(t), F.lit(d).cast(t)).alias(k) for k, (t, d) in PARAMS.items()]))
+
+
+def job_label(label: Column, sync_group_id: Column, source_type: Column) -> Column:
+    """A job's label: the one given, else its sync group, else its source type; empty ones count as not given."""
+    return F.coalesce(F.nullif(label, F.lit("")), F.nullif(sync_group_id, F.lit("")), source_type)

@@ -10,6 +10,7 @@ from orrery.functions import scalars as S
 from orrery.operators import mesh, points, rig
 from orrery.operators.contracts import MeshCleaningConfig
 from orrery.plans import pipelines
+from orrery.sources import media
 
 
 def b11_rgb_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +159,74 @@ def g14_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.reports
 
 
+def g7_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, f = mesh.fill_holes(views.vertices(spark, sf_dir), views.faces(spark, sf_dir), 2.0)
+    return mesh.topology(f)
+
+
+# Left-out cells that touch no other left-out cell and no side of the lattice: their four edges are loops that are closed.
+G7 = f"""{views.sql(views.CELLS, views.FACES)},
+allc AS (SELECT DISTINCT p_partkey // {views.PARTS_PER_MESH} AS mesh_id, c AS cell, c % {views.LATTICE_WIDTH} AS i, c // {views.LATTICE_WIDTH} AS j FROM part, range({views.PARTS_PER_MESH}) t(c)),
+gone AS (SELECT a.mesh_id, a.cell, a.i, a.j FROM allc a ANTI JOIN cells c USING (mesh_id, cell)),
+alone AS (
+    SELECT g.mesh_id, g.cell FROM gone g WHERE i BETWEEN 1 AND {views.LATTICE_WIDTH - 2} AND j BETWEEN 1 AND {views.LATTICE_WIDTH - 2}
+    AND NOT EXISTS (SELECT 1 FROM gone o WHERE o.mesh_id = g.mesh_id AND o.cell <> g.cell AND abs(o.i - g.i) <= 1 AND abs(o.j - g.j) <= 1)),
+d AS (SELECT mesh_id, vids[k] AS a, vids[k % len(vids) + 1] AS b FROM faces, range(1, 5) t(k) WHERE k <= len(vids)),
+u AS (SELECT mesh_id, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS uses FROM d GROUP BY ALL),
+c AS (SELECT mesh_id, count(*) FILTER (uses = 1) AS boundary, count(*) FILTER (uses > 2) AS non_manifold_edge_count FROM u GROUP BY 1),
+n AS (SELECT c.mesh_id, boundary - 4 * (SELECT count(*) FROM alone a WHERE a.mesh_id = c.mesh_id) AS boundary_edge_count, non_manifold_edge_count FROM c)
+SELECT mesh_id, boundary_edge_count, non_manifold_edge_count, boundary_edge_count + non_manifold_edge_count = 0 AS is_watertight, boundary_edge_count + non_manifold_edge_count AS open_edge_count FROM n"""
+
+
+def g8_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.vertices(spark, sf_dir)
+    out = mesh.smooth(v, views.faces(spark, sf_dir), "object", 1, 0.1)
+    return out.select("mesh_id", "vid", *[F.round(c, 9).alias(c) for c in ("x", "y", "z")])
+
+
+def _half_step(name: str, source: str, factor: str) -> str:
+    return f"""
+m_{name} AS (SELECT n.mesh_id, n.vid, avg(o.x) AS mx, avg(o.y) AS my, avg(o.z) AS mz FROM near n JOIN {source} o ON o.mesh_id = n.mesh_id AND o.vid = n.other GROUP BY ALL),
+{name} AS (
+    SELECT mesh_id, vid, coalesce(x + {factor} * (mx - x), x) AS x, coalesce(y + {factor} * (my - y), y) AS y, coalesce(z + {factor} * (mz - z), z) AS z FROM {source} LEFT JOIN m_{name} USING (mesh_id, vid))"""
+
+
+G8 = f"""{views.sql(views.CELLS, views.FACES, views.VERTICES)},
+d AS (SELECT mesh_id, vids[k] AS a, vids[k % len(vids) + 1] AS b FROM faces, range(1, 5) t(k) WHERE k <= len(vids)),
+near AS (SELECT mesh_id, a AS vid, b AS other FROM d UNION SELECT mesh_id, b, a FROM d),{_half_step("shrunk", "vertices", "0.5::DOUBLE")},{_half_step("grown", "shrunk", "(1 / (0.1::DOUBLE - 1 / 0.5::DOUBLE))")}
+SELECT mesh_id, vid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM grown"""
+
+
+def g11_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, f = mesh.decimate(views.vertices(spark, sf_dir), mesh.triangulate(views.faces(spark, sf_dir)), 0.5)
+    return f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def g15_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = views.vertices(spark, sf_dir), mesh.triangulate(views.faces(spark, sf_dir))
+    mixed = f.withColumn("vids", F.when(F.col("fid") % 3 == 0, F.reverse("vids")).otherwise(F.col("vids")))
+    oriented = mesh.orient(v, mixed)
+    return oriented.groupBy("mesh_id", "orientable").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+G15 = f"""{views.sql(views.CELLS, views.FACES)} SELECT mesh_id, true AS orientable, sum(len(vids) - 2)::BIGINT AS n_cells FROM faces GROUP BY 1"""
+
+
+def j1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = views.vertices(spark, sf_dir), views.faces(spark, sf_dir)
+    mv, mf = mesh.merge_pieces(v, f, v.filter("vid % 2 = 0"), f.filter("fid % 5 = 0"))
+    corner = mf.select("mesh_id", F.explode("vids").alias("vid")).groupBy("mesh_id").agg(F.sum("vid").alias("corner_sum"))
+    return mv.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("points"), F.sum("vid").alias("vid_sum")).join(mf.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("fid").alias("fid_sum")), "mesh_id").join(corner, "mesh_id")
+
+
+J1 = f"""{views.sql(views.CELLS, views.FACES, views.VERTICES)},
+s AS (SELECT mesh_id, max(vid) + 1 AS dv FROM vertices GROUP BY 1), t AS (SELECT mesh_id, max(fid) + 1 AS df FROM faces GROUP BY 1),
+v AS (SELECT mesh_id, vid FROM vertices UNION ALL SELECT mesh_id, vid + dv FROM vertices JOIN s USING (mesh_id) WHERE vid % 2 = 0),
+f AS (SELECT mesh_id, fid, list_sum(vids) AS corners FROM faces UNION ALL SELECT mesh_id, fid + df, list_sum(vids) + len(vids) * dv FROM faces JOIN s USING (mesh_id) JOIN t USING (mesh_id) WHERE fid % 5 = 0)
+SELECT mesh_id, points, vid_sum, cells, fid_sum, corner_sum FROM (SELECT mesh_id, count(*) AS points, sum(vid)::BIGINT AS vid_sum FROM v GROUP BY 1)
+JOIN (SELECT mesh_id, count(*) AS cells, sum(fid)::BIGINT AS fid_sum, sum(corners)::BIGINT AS corner_sum FROM f GROUP BY 1) USING (mesh_id)"""
+
+
 def j2_first_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.table(spark, sf_dir, "part")
     return mesh.first_usable_blocks(
@@ -262,5 +331,17 @@ SELECT mesh_id, articulation, vertex_count, face_count, joint_count, joint_count
 FROM kinds JOIN (SELECT mesh_id, count(*) AS vertex_count FROM vertices GROUP BY 1) USING (mesh_id) JOIN (SELECT mesh_id, count(*) AS face_count FROM faces GROUP BY 1) USING (mesh_id)
 JOIN (SELECT mesh_id, count(*) AS joint_count FROM joints GROUP BY 1) USING (mesh_id)"""
 
-QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g13_topology, g14_clean_report, j2_first_blocks, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
-ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G13, None, J2, H1, H2, H4, H5, H6, H7), strict=True))
+def a8_rig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = views.vertices(spark, sf_dir), views.faces(spark, sf_dir)
+    joints, packed, _ = pipelines.rig_meshes(v, f, _kinds(spark, sf_dir))
+    rig_rows = media.rig_metadata(joints, rig.bones(joints), packed)
+    read = F.from_json("rig", "bones ARRAY<STRUCT<bone: STRING>>, joints ARRAY<STRUCT<joint: STRING>>, skin ARRAY<STRUCT<vid: BIGINT>>")
+    return rig_rows.select("mesh_id", read.alias("r")).select("mesh_id", F.coalesce(F.size("r.bones"), F.lit(0)).alias("n_bones"), F.size("r.joints").alias("n_joints"), F.size("r.skin").alias("n_skin"), F.col("r.joints")[0]["joint"].alias("root"))
+
+
+A8 = f"""{JOINTS}
+SELECT mesh_id, (n - 1)::INTEGER AS n_bones, n::INTEGER AS n_joints, v::INTEGER AS n_skin, root
+FROM (SELECT mesh_id, count(*) AS n, min_by(joint, joint_idx) AS root FROM joints GROUP BY 1) JOIN (SELECT mesh_id, count(*) AS v FROM vertices GROUP BY 1) USING (mesh_id)"""
+
+QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g11_decimate, g13_topology, g14_clean_report, g15_normals, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
+ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, None, G13, None, G15, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))

@@ -301,6 +301,21 @@ def test_rigs(spark):
     assert media.rig_metadata(joints, rig.bones(joints), packed).count() == 3
 
 
+def test_whole_run(spark):
+    f = frames(spark, [("v", i, float(i), 0.1) for i in range(3)])
+    f = f.unionByName(f.withColumn("upload_id", F.lit(2).cast("long"))).unionByName(f.withColumn("upload_id", F.lit(3).cast("long")))
+    headers = spark.createDataFrame([(1, "image_folder"), (2, "single_image"), (3, "single_video")], "upload_id long, source_type string")
+    headers = headers.select("*", F.lit("track_a_batch").alias("track"), F.lit(0.3).alias("compute_priority_score"), F.lit(3).alias("frame_count"))
+    v, fa = tables(spark, sphere(cap=True), sphere(mesh_id=3))
+    uses = spark.createDataFrame([(1, "editing"), (3, "live")], "upload_id long, use_case string")
+    listed = spark.createDataFrame([("data/reconstruction/image_folder_1/image_folder.glb", 10)], "path string, length long")
+    out = pipelines.run_jobs(headers, f, v, fa, uses, listed, contracts.MeshCleaningConfig(smoothing_iters=0))
+    assert sorted((r["upload_id"], r["step"]) for r in out.errors.collect()) == [(2, "build"), (3, "routing")]
+    assert [(r["upload_id"], r["status"]) for r in out.deliverables.collect()] == [(1, "delivered")]
+    assert [r["mesh_id"] for r in out.meshes.reports.collect()] == [1]
+    assert one(spark, jobs.job_label(F.lit(""), F.lit(None).cast("string"), F.lit("x"))) == "x"
+
+
 def live_rows(spark, n=70):
     return spark.createDataFrame([("s", i, f"f{i}", 20_000_000 if i == 9 else 100, i != 11) for i in range(n + 2)], "stream_id string, arrival_seq long, frame_id string, payload_bytes long, decodable boolean")
 
