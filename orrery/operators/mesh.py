@@ -282,8 +282,10 @@ def transfer_colors(source: DataFrame, target: DataFrame, rings: int = 3) -> Dat
 
     Vertices meet through the cells of a grid: a vertex looks into its own cell and those around it. What it finds is
     certain if no nearer vertex can lie outside; the rest looks again on a grid four times as coarse, and the last is
-    compared with all source vertices of its mesh.
+    compared with all source vertices of its mesh. A source without colours leaves ``target`` as it is.
     """
+    if source.filter("color is not null").isEmpty():
+        return target
     count = source.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
     size = bounds(source).join(count, "mesh_id").select("mesh_id", F.greatest(F.col("diagonal") / F.sqrt("n"), F.lit(1e-9)).alias("size"))
     src = source.select("mesh_id", F.col("vid").alias("s_vid"), *[F.col(c).alias(f"s{c}") for c in XYZ], F.col("color").alias("s_color"))
@@ -302,6 +304,8 @@ def transfer_colors(source: DataFrame, target: DataFrame, rings: int = 3) -> Dat
         sure = written(met.filter(F.sqrt("d") <= F.col("size")).select("mesh_id", "vid", "new_color"), "mesh-colors")
         found.append(sure)
         open_rows = written(open_rows.join(sure, ["mesh_id", "vid"], "left_anti"), "mesh-open")
+        if open_rows.isEmpty():
+            break
     rest = open_rows.join(src, "mesh_id").withColumn("d", far).groupBy("mesh_id", "vid").agg(best)
     colors = rest
     for part in found:
