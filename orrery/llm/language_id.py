@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches
+from orrery.llm.scratch import bounded_batches, written
 
 ORDER = 4
 #: Labelled rows of each language in the sample, on average; a fifth of them calibrates.
@@ -222,13 +222,14 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     bounded by the sample. Without labelled rows there is no model (None).
     """
     bounded_batches(docs.sparkSession)
-    labelled = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).cast("string").alias("id"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = docs.filter(learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).cast("string").alias("id"))
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # reads no texts
     if not sizes:
         return None
     draw = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce("id", F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, ROWS_PER_LANGUAGE / n)))])
-    sample = labelled.filter(draw("sample:") < share[F.col("lang")]).withColumn("fits", draw("part:") < 0.8)
+    chosen = labelled.filter((draw("sample:") < share[F.col("lang")]) & F.col("text").isNotNull())
+    sample = written(chosen.select("lang", "text", (draw("part:") < 0.8).alias("fits")), "language-sample")
     counted = sample.filter("fits").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names, models = [], []
     for name in sorted(counted["lang"].unique()):
