@@ -95,7 +95,7 @@ _UNKNOWN_SCORE = -1e9
 
 def encode_words(words: list[str], vocabulary: Vocabulary) -> dict[str, list[str]]:
     """The pieces of each distinct word, from one walk through the words in sorted order."""
-    matches, may_follow = vocabulary.matches.iter, vocabulary.may_follow
+    matches, may_follow, merges = vocabulary.matches.iter, vocabulary.may_follow, vocabulary.merges
     out: dict[str, list[str]] = {}
     # At each position: the best last piece, the best path's score, and whether a piece of the vocabulary ends there.
     previous, lasts, upto, found = "", [""], [0.0], [True]
@@ -104,9 +104,9 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> dict[str, list[str
         while previous[:shared] != word[:shared]:
             shared -= 1
         del lasts[shared + 1 :], upto[shared + 1 :], found[shared + 1 :]
-        unset = shared + 1
+        unset, settled = shared + 1, shared
         for at, (piece, size, score, follows) in matches(word):
-            if at < shared:
+            if at < settled:
                 continue
             while unset <= at + 1:  # a position that no piece reaches ends a character without a piece
                 lasts.append(word[unset - 1])
@@ -124,6 +124,8 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> dict[str, list[str
             total = upto[start] + score
             if not found[-1] or total > upto[-1]:
                 lasts[-1], upto[-1], found[-1] = piece, total, True
+                if merges:  # no other piece can end here
+                    settled = at + 1
         while unset <= len(word):
             lasts.append(word[unset - 1])
             upto.append(upto[-1] + _UNKNOWN_SCORE)
