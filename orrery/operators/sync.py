@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.scratch import written
+
 MOTION_TOLERANCE = 0.03
 BUCKET_MS = 100.0
 MIN_VARIANCE = 0.0005
@@ -38,13 +40,18 @@ def offsets(usable: DataFrame, chosen: DataFrame) -> DataFrame:
     signal = rows.join(lively.select("upload_id", "source_id"), ["upload_id", "source_id"], "left_semi")
     a = signal.filter("source_id = anchor").select("upload_id", F.col("ts_pos").alias("a_pos"), F.col("timestamp_ms").alias("a_ts"), F.col("motion").alias("a_motion"))
     c = signal.filter("source_id <> anchor").select("upload_id", "source_id", F.col("ts_pos").alias("c_pos"), F.col("timestamp_ms").alias("c_ts"), F.col("motion").alias("c_motion"))
-    pairs = a.join(c, "upload_id").filter(F.abs(F.col("a_motion") - F.col("c_motion")) <= MOTION_TOLERANCE)
-    votes = pairs.select("upload_id", "source_id", (F.col("a_ts") - F.col("c_ts")).alias("offset"), F.struct("a_pos", "c_pos").alias("at"))
-    buckets = votes.groupBy("upload_id", "source_id", F.rint(F.col("offset") / BUCKET_MS).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.abs(F.avg("offset")).alias("far"), F.min("at").alias("first"), F.percentile("offset", F.lit(0.5)).alias("median")
-    )
+    # Few rows make many pairs: fixed partitions by upload and source, which Spark doesn't merge for their few bytes.
+    n = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.join(c.select("upload_id", "source_id").distinct(), "upload_id").repartition(n, "upload_id", "source_id")
+    pairs = a.join(c.repartition(n, "upload_id", "source_id"), ["upload_id", "source_id"]).filter(F.abs(F.col("a_motion") - F.col("c_motion")) <= MOTION_TOLERANCE)
+    place = F.col("a_pos").cast("long") * (1 << 31) + F.col("c_pos")
+    votes = pairs.select("upload_id", "source_id", (F.col("a_ts") - F.col("c_ts")).alias("offset"), place.alias("at")).withColumn("bucket", F.rint(F.col("offset") / BUCKET_MS))
+    buckets = votes.groupBy("upload_id", "source_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("offset")).alias("far"), F.min("at").alias("first"))
     best = Window.partitionBy("upload_id", "source_id").orderBy(F.col("n").desc(), "far", "first")
-    found = buckets.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("upload_id", "source_id", F.round("median", 3).alias("offset_ms"))
+    winners = buckets.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("upload_id", "source_id", "bucket")
+    # The exact median holds all values of its group: only the winners' values get there.
+    medians = votes.join(winners, ["upload_id", "source_id", "bucket"]).groupBy("upload_id", "source_id").agg(F.percentile("offset", F.lit(0.5)).alias("median"))
+    found = medians.select("upload_id", "source_id", F.round("median", 3).alias("offset_ms"))
     others = rows.filter("source_id <> anchor").select("upload_id", "source_id").distinct()
     return others.join(found, ["upload_id", "source_id"], "left").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0.0)))
 
@@ -95,8 +102,8 @@ def sync_map(frames: DataFrame, tolerance_ms: float = TOLERANCE_MS) -> DataFrame
 
     ``aligned_frames`` maps every source, the anchor too, to a frame index; ``offsets_ms`` maps the other sources.
     """
-    usable = usable_frames(frames)
-    chosen = anchors(usable)
+    usable = written(usable_frames(frames), "sync-frames")  # several steps read it, and its order is worked out once
+    chosen = written(anchors(usable), "sync-anchors")
     entries = drop_conflicts(complete_entries(nearest(usable, chosen, offsets(usable, chosen), tolerance_ms)))
     own = F.array(F.struct(F.col("anchor").alias("key"), F.col("anchor_index").alias("value")))
     indexes = F.transform("others", lambda o: F.struct(o["source_id"].alias("key"), o["index"].alias("value")))

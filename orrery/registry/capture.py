@@ -74,7 +74,7 @@ offsets AS (SELECT s.upload_id, s.source_id, coalesce(offset_ms, 0) AS offset_ms
 
 
 def d5_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = sync.usable_frames(views.frames(spark, sf_dir))
+    usable = written(sync.usable_frames(views.frames(spark, sf_dir)), "sync-frames")
     return sync.offsets(usable, sync.anchors(usable))
 
 
@@ -82,7 +82,7 @@ D5 = f"{SYNC} SELECT * FROM offsets"
 
 
 def d6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = sync.usable_frames(views.frames(spark, sf_dir))
+    usable = written(sync.usable_frames(views.frames(spark, sf_dir)), "sync-frames")
     chosen = sync.anchors(usable)
     return sync.nearest(usable, chosen, sync.offsets(usable, chosen)).select("upload_id", "entry_pos", "anchor", "anchor_index", "source_id", "index")
 
