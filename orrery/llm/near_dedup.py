@@ -6,11 +6,13 @@ position names, so similar texts stay together with the probability of their sim
 many texts branch further. Small nodes are compared exhaustively on the tokens, and what may be similar is confirmed on
 the full sets. Independent trees repeat this until the chance of missing a pair is negligible.
 
-Texts with the same set are one representative from the start. Links are gathered in two rounds. The first confirms, for
-each small node, a spanning forest of its most similar pairs, which joins nearly all texts that belong together; the
-second confirms the node's remaining pairs, but only those whose ends the first has left in different components, and
-grows more trees over texts from crowded nodes in search of such pairs. A dense group of copies thus costs few confirmations for each text, and no pair that could change a component is left
-out.
+Texts with the same set are one representative from the start. Links are gathered in three rounds. The first confirms,
+for each small node, a spanning forest of its most similar pairs, which joins nearly all texts that belong together. The
+second confirms the remaining pairs of small nodes whose ends the first has left in different components, and compares
+the texts of each crowded node with its hub, the text that most of them resemble. The third takes the texts of crowded
+nodes that still hold several components and joins them on the rarest shingles of their full sets: of sets that are
+similar enough, the prefixes in one order of all shingles share one. A dense group of copies thus costs few
+confirmations for each text, and no pair that could change a component depends on where a tree has dealt it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.scratch import bounded_batches, written
@@ -29,13 +31,14 @@ from orrery.operators.components import connected_components
 WORDS, PERCENT = 5, 80
 TOKENS = 128
 TREES = 16
-#: Trees that the second round adds for texts of nodes that had to branch: there texts part more often.
-EXTRA_TREES = 32
-#: Tokens on the path of a root's children (and of those of the trees added for crowded nodes), and tokens that each
-#: further level adds.
-FIRST, FIRST_CROWDED, DEEPER = 2, 10, (6, 6, 6)
+#: Tokens on the path of a root's children, and tokens that each further level adds.
+FIRST, DEEPER = 2, (6, 6, 6)
 #: Nodes of up to this many texts are compared; larger ones branch. After the last level they are dealt into blocks.
 SMALL, BLOCK = 48, 32
+#: Texts of a crowded node, about, from which the most frequent token of each position is taken.
+SAMPLE = 64
+#: Texts in a chunk of those that share a rare shingle; chunks are compared in twos.
+CHUNK = 128
 #: One node in this many gives its texts a second child.
 BRANCH = 4
 #: Pairs whose tokens agree less than this far below the threshold are not confirmed: 3.5 standard deviations.
@@ -245,27 +248,108 @@ def _overlap(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def small_nodes(reps: DataFrame, trees: range, first: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes with 2 to about ``SMALL`` texts of more than one component, for (id, tokens, component) rows.
+def small_nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with 2 to about ``SMALL`` texts, for (id, tokens, component) rows.
 
-    Returns (path, id) rows of these nodes, over all trees, and the ids of the texts whose first node had to branch.
+    Returns (path, id) rows of these nodes, over all trees, and (path, id, n, level) of the nodes that had to branch.
     """
 
     def counted(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         return written(rows.join(sizes.filter("low < high").drop("low", "high"), "path"), "near-nodes")
 
-    level = counted(reps.mapInArrow(_roots(trees, first), _NODE))
-    found, dense = level.filter(F.col("n") <= SMALL).select("path", "id"), level.filter(F.col("n") > SMALL).select("id").distinct()
-    for steps in DEEPER:
-        large = level.filter(F.col("n") > SMALL)
-        if large.isEmpty():
-            return found, dense
-        level = counted(large.select("path", "id").join(reps, "id").mapInArrow(_children(steps), _NODE).distinct())
+    large = lambda level, k: level.filter(F.col("n") > SMALL).select("path", "id", "n", F.lit(k).alias("level"))
+    level = counted(reps.mapInArrow(_roots(range(TREES), FIRST), _NODE))
+    found, crowded = level.filter(F.col("n") <= SMALL).select("path", "id"), large(level, 0)
+    for k, steps in enumerate(DEEPER, 1):
+        parents = level.filter(F.col("n") > SMALL)
+        if parents.isEmpty():
+            return found, crowded
+        level = counted(parents.select("path", "id").join(reps, "id").mapInArrow(_children(steps), _NODE).distinct())
         found = found.unionByName(level.filter(F.col("n") <= SMALL).select("path", "id"))
-    # Texts that are together after all levels are nearly equal: any block of them is linked, and trees deal them anew.
+        crowded = crowded.unionByName(large(level, k))
+    # Blocks only give the first round links early; what they part is left to the hubs and the exact join.
     block = F.pmod(F.xxhash64("path", "id"), F.ceil(F.col("n") / BLOCK))
-    return found.unionByName(level.filter(F.col("n") > SMALL).select(F.xxhash64("path", block).alias("path"), "id")), dense
+    return found.unionByName(level.filter(F.col("n") > SMALL).select(F.xxhash64("path", block).alias("path"), "id")), crowded
+
+
+def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, center) of (path, all: list of tokens): the most frequent token of each position."""
+    for batch in batches:
+        centers = []
+        for rows in batch.column("all"):
+            m = np.sort(np.frombuffer(b"".join(rows.as_py()), np.uint32).reshape(-1, TOKENS), axis=0)
+            run = np.ones(m.shape, np.int64)
+            for i in range(1, len(m)):
+                run[i] = np.where(m[i] == m[i - 1], run[i - 1] + 1, 1)
+            centers.append(m[run.argmax(axis=0), np.arange(TOKENS)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(centers, pa.binary())], names=["path", "center"])
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of tokens and center in how many positions they agree."""
+    for batch in batches:
+        n = (_matrix(batch.column("tokens")) == _matrix(batch.column("center"))).sum(axis=1)
+        kept = [k for k in batch.schema.names if k not in ("tokens", "center")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(n, pa.int64())], names=[*kept, "agreed"])
+
+
+def hub_pairs(crowded: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of a crowded node's hub and each of its texts in another component, for (path, id, n) rows.
+
+    ``reps`` are (id, tokens, component) rows. The hub agrees best with the most frequent tokens of its node.
+    """
+    tokens = reps.select("id", "tokens", "component")
+    mixed = crowded.join(tokens.select("id", "component"), "id").groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
+    rows = written(crowded.join(mixed, "path", "left_semi").select("path", "id", "n").join(tokens, "id"), "near-crowds")
+    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / SAMPLE)) == 0).groupBy("path").agg(F.collect_list("tokens").alias("all"))
+    center = sample.mapInArrow(_consensus, "path long, center binary")
+    near = rows.join(center, "path").select("path", "id", "tokens", "center").mapInArrow(_agreement, "path long, id long, agreed long")
+    hubs = near.groupBy("path").agg(F.max(F.struct("agreed", (-F.col("id")).alias("id"))).alias("top")).select("path", (-F.col("top.id")).alias("hub"))
+    hubs = hubs.join(tokens.select(F.col("id").alias("hub"), F.col("tokens").alias("center"), F.col("component").alias("own")), "hub")
+    both = rows.join(hubs, "path").filter(F.col("component") != F.col("own")).select("hub", "id", "tokens", "center")
+    found = both.mapInArrow(_agreement, "hub long, id long, agreed long").filter(F.col("agreed") >= least)
+    return found.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+
+
+def _shingle_rows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text"), strict=True):
+                s = shingle_set(text.as_py() or "", words)
+                if len(s):
+                    key = int(_mix(s).sum(dtype=np.uint64).view(np.int64))
+                    arrays = [np.full(len(s), i), np.full(len(s), key), np.full(len(s), len(s)), s.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["id", "key", "size", "shingle"])
+
+    return run
+
+
+def prefix_nodes(texts: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
+    """(path, id) rows of nodes that hold, together, every pair of texts of different components that can be linked.
+
+    A set of n shingles overlaps with any that it is linked with in at least ``percent`` of n, so in one order of all
+    shingles, rarest first, the prefixes that leave out one shingle less than that share one. Texts that share a
+    shingle are sorted by component and cut into chunks, and two chunks are a node if they hold several components.
+    """
+    rows = written(texts.mapInArrow(_shingle_rows(words), "id long, key long, size long, shingle long").distinct(), "near-shingles")
+    # Shingles of one text alone come first in the order and are only counted.
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = Window.partitionBy("id", "key")
+    ranked = rows.join(often, "shingle").withColumn("shared", F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(own.orderBy("n", "shingle")))
+    prefix = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
+    kept = ranked.filter(F.col("size") - F.col("shared") + F.col("at") <= prefix).select("shingle", "id").distinct().join(labels, "id")
+    kept = written(kept, "near-prefixes")
+    mixed = kept.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
+    order = Window.partitionBy("shingle").orderBy("component", "id")
+    dealt = written(kept.join(mixed, "shingle", "left_semi").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / CHUNK)), "near-chunks")
+    chunks = dealt.groupBy("shingle", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = chunks.select(F.col("shingle").alias("s"), F.col("chunk").alias("c"), F.col("low").alias("l"), F.col("high").alias("h"))
+    # A chunk beside itself only where it is alone: else it is compared beside the next one too.
+    last = F.max("chunk").over(Window.partitionBy("shingle"))
+    twos = chunks.withColumn("last", last).join(other, (F.col("shingle") == F.col("s")) & ((F.col("chunk") < F.col("c")) | ((F.col("last") == 0) & (F.col("c") == 0))))
+    twos = twos.filter(F.least("low", "l") < F.greatest("high", "h")).select("shingle", F.xxhash64("shingle", "chunk", "c").alias("path"), F.explode(F.array_distinct(F.array("chunk", "c"))).alias("chunk"))
+    return dealt.join(twos, ["shingle", "chunk"]).select("path", "id").distinct()
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -288,7 +372,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 
     share = percent / 100
     least = int(np.floor(TOKENS * share - MARGIN * np.sqrt(TOKENS * share * (1 - share))))
-    nodes, dense = small_nodes(reps.withColumn("component", F.col("id")), range(TREES), FIRST)
+    nodes, crowded = small_nodes(reps.withColumn("component", F.col("id")))
+    dense = crowded.filter("level = 0").select("id").distinct()
     compared = written(nodes.join(reps, "id"), "near-compared")
 
     def pairs(labelled: DataFrame, forest: bool) -> DataFrame:
@@ -305,23 +390,35 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
         measured = both.mapInArrow(_overlap(words), "a long, b long, common long, either long")
         return written(measured.filter(100 * F.col("common") >= percent * F.col("either")), "near-links")
 
+    def joined_by(found: DataFrame, label: DataFrame) -> DataFrame:
+        """(id, label) after the links ``found`` have joined components of ``label``, which are the vertices here."""
+        of = lambda k: label.select(F.col("id").alias(k), F.col("label").alias(f"label_{k}"))
+        bridges = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("src"), F.coalesce("label_b", "b").alias("dst"))
+        after = connected_components(bridges).select(F.col("vertex").alias("label"), F.col("component").alias("final"))
+        # Ends that had no label yet are labelled by themselves.
+        known = label.unionByName(after.select(F.col("label").alias("id"), "label")).groupBy("id").agg(F.min("label").alias("label"))
+        return written(known.join(after, "label", "left").select("id", F.coalesce("final", "label").alias("label")), "near-labels")
+
     first = connected_components(links(candidates), "a", "b")
     label = first.select(F.col("vertex").alias("id"), F.col("component").alias("label"))
     with_label = lambda df: df.join(label, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
     labelled = with_label(compared)
     mixed = labelled.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_nodes = labelled.join(mixed.select("path"), "path", "left_semi").select("path", "id", "tokens", "component")
-    if not dense.isEmpty():
-        again = written(with_label(reps.join(dense, "id", "left_semi")), "near-dense")
-        open_nodes = open_nodes.unionByName(small_nodes(again, range(TREES, TREES + EXTRA_TREES), FIRST_CROWDED)[0].join(again, "id").select("path", "id", "tokens", "component"))
-    more = links(pairs(open_nodes, False).join(candidates, ["a", "b"], "left_anti"))
-    # The second round joins components of the first, which are its vertices.
-    of = lambda k: label.select(F.col("id").alias(k), F.col("label").alias(f"label_{k}"))
-    bridges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("src"), F.coalesce("label_b", "b").alias("dst"))
-    second = connected_components(bridges)
-    final = second.select(F.col("vertex").alias("label"), F.col("component").alias("final"))
-    classes = sets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).join(final, "label", "left")
-    classes = classes.select(F.col("set_key").alias("k"), F.coalesce("final", "label").alias("class"))
+    more = pairs(labelled.join(mixed.select("path"), "path", "left_semi"), False)
+    some_crowded = not dense.isEmpty()
+    if some_crowded:
+        more = more.unionByName(hub_pairs(crowded, with_label(reps.join(dense, "id", "left_semi")), least)).distinct()
+    label = joined_by(links(more.join(candidates, ["a", "b"], "left_anti")), label)
+    if some_crowded:
+        # A pair that no small node has held was together in a crowded one from the start, if in any, and both its ends are here.
+        roots = with_label(crowded.filter("level = 0"))
+        mixed = roots.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        left = written(roots.join(mixed.select("path"), "path", "left_semi").select("id", "component").distinct(), "near-left")
+        if not left.isEmpty():
+            own = texts.join(left, F.col("doc_id") == F.col("id"), "left_semi")
+            exact = pairs(prefix_nodes(own, left, words, percent).join(left, "id").join(reps, "id"), False)
+            label = joined_by(links(exact), label)
+    classes = sets.join(label, "id", "left").select(F.col("set_key").alias("k"), F.coalesce("label", "id").alias("class"))
     joined = features.select("doc_id", "n_shingles", "set_key").join(classes, F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

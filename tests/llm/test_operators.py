@@ -230,6 +230,47 @@ def test_near_duplicates(spark, rows, words, percent):
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
 
 
+def crowd(seed, n, length, edits):
+    """A text and ``n`` independent edits of it, each with ``edits`` words replaced, far apart."""
+    base, r = [f"w{seed}x{k}" for k in range(length)], random.Random(seed)
+    texts = [" ".join(base)]
+    for i in range(n):
+        words = list(base)
+        for k in range(edits):
+            words[length * k // edits + r.randrange(length // edits - 2)] = f"e{seed}y{i}z{k}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_near_duplicates_of_one_original(spark):
+    # Each edit is linked with the original only (0.87); edits are too far from each other (about 0.77).
+    texts = crowd(1, 3000, 216, 5)
+    assert 0.86 < len(shingled(texts[0]) & shingled(texts[1])) / len(shingled(texts[0]) | shingled(texts[1])) < 0.9
+    got = near_dedup.components(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), words=3, percent=85).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != 0] == []
+
+
+def shingled(text):
+    words = text.split()
+    return {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+
+
+def test_near_duplicates_in_a_crowd_without_hub(spark):
+    # No text resembles most others; some have one edit of their own, which only the exact join finds for sure.
+    texts = crowd(2, 400, 216, 5)[1:]
+    r = random.Random(3)
+    for i in range(0, 400, 4):
+        words = texts[i].split()
+        for k in range(5):
+            words[43 * k + r.randrange(40)] = f"again{i}y{k}"
+        texts.append(" ".join(words))
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    want = links([(i, t) for i, t, *_ in rows], 3, 85)
+    assert 100 <= sum(i != c for i, (_, c) in want.items()) <= 120
+    got = near_dedup.components(table(spark, rows), words=3, percent=85).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+
+
 def test_near_duplicates_of_nothing(spark, rows):
     assert near_dedup.components(table(spark, rows[:0])).count() == 0
     assert near_dedup.components(table(spark, [(1, None, None, None), (2, "", None, None)])).filter("kept").count() == 2
