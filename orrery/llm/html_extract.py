@@ -34,6 +34,8 @@ BAD_WORDS = frozenset(
     "promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tagcloud "
     "toolbar topbar widget widgets".split()
 )
+#: Words that make a class or id name a page's layout and not the element's own part in it (has-sidebar, no-header).
+LAYOUT_WORDS = frozenset("has have no not with without".split())
 BAD_ROLES = frozenset("banner navigation contentinfo complementary search form dialog alert menu menubar".split())
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be been but by can do for from had has have he her his if in into is it its more no not of on one "
@@ -70,6 +72,18 @@ class Block:
     tag: str
 
 
+def _names_region(value: str) -> bool:
+    """Whether one of the names in a class or id says that the element itself is a region of ``BAD_WORDS``.
+
+    The word must be the name's first or last one; content-sidebar-wrap is what holds both.
+    """
+    for name in value.split():
+        parts = re.findall("[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if parts and (parts[0] in BAD_WORDS or (parts[-1] in BAD_WORDS and parts[0] != "content")) and not LAYOUT_WORDS & set(parts):
+            return True
+    return False
+
+
 def _speaks_against(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in BAD_TAGS or (tag == "header" and not in_article):
         return True
@@ -78,7 +92,7 @@ def _speaks_against(tag: str, attrs: str, in_article: bool) -> bool:
     for name, *values in _ATTR.findall(attrs):
         value = "".join(values).lower()
         name = name.lower()
-        if name in ("class", "id") and BAD_WORDS & set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower())):
+        if name in ("class", "id") and _names_region("".join(values)):
             if not (in_article and value in ("header", "article-header", "entry-header", "post-header")):
                 return True
         if name == "role" and value in BAD_ROLES:
@@ -158,22 +172,23 @@ def stop_density(words: list[str]) -> float:
     return sum(_STRIP.sub("", w).lower() in STOP_WORDS for w in words) / len(words)
 
 
-def decide(block: Block, has_article: bool) -> bool | None:
-    """First pass: main text (True), not (False), or open (None)."""
-    words = block.text.split()
-    links = block.link_words / len(words)
-    if block.bad or (has_article and not block.article):
+def decide(block: Block, stops: float, trusted: bool) -> bool | None:
+    """First pass: main text (True), not (False), or open (None); ``trusted`` says that the page's articles are evidence."""
+    n = len(block.text.split())
+    inside, outside = trusted and block.article > 0, trusted and not block.article
+    if block.bad:
         return False
-    if links > MAX_LINK_DENSITY:
-        return None if block.article and len(words) < SHORT_WORDS else False
-    if block.article:
-        return True if len(words) >= SHORT_WORDS else None
-    if len(words) < SHORT_WORDS:
+    if block.link_words > MAX_LINK_DENSITY * n:
+        return None if inside and n < SHORT_WORDS else False
+    if outside:
+        return n >= LONG_WORDS and stops >= HIGH_STOP_DENSITY
+    if n < SHORT_WORDS:
         return None
-    stops = stop_density(words)
-    if stops >= HIGH_STOP_DENSITY or (stops >= LOW_STOP_DENSITY and len(words) >= LONG_WORDS):
+    if inside:
+        return True if stops >= LOW_STOP_DENSITY else None
+    if stops >= HIGH_STOP_DENSITY or (stops >= LOW_STOP_DENSITY and n >= LONG_WORDS):
         return True
-    return None if stops >= LOW_STOP_DENSITY or len(words) < LONG_WORDS else False
+    return None if stops >= LOW_STOP_DENSITY or n < LONG_WORDS else False
 
 
 def inherit(labels: list[bool | None], open_default: bool) -> list[bool]:
@@ -201,11 +216,14 @@ def inherit(labels: list[bool | None], open_default: bool) -> list[bool]:
 def main_text(page: str) -> str:
     """The main text of a page: its blocks in order, joined by an empty line; empty if there is none."""
     blocks = blocks_of(page)
-    has_article = any(b.article and not b.bad for b in blocks)
-    labels = [decide(b, has_article) for b in blocks]
-    if has_article:
+    sizes = [len(b.text.split()) for b in blocks]
+    stops = [0.0 if b.bad else stop_density(b.text.split()) for b in blocks]
+    labels = [decide(b, d, False) for b, d in zip(blocks, stops, strict=True)]
+    within = [n for b, n in zip(blocks, sizes, strict=True) if b.article and not b.bad and b.link_words <= MAX_LINK_DENSITY * n]
+    if within and sum(within) >= sum(n for b, n, good in zip(blocks, sizes, labels, strict=True) if good and not b.article):
+        labels = [decide(b, d, True) for b, d in zip(blocks, stops, strict=True)]
+        kept = [i for i, b in enumerate(blocks) if not b.article and labels[i]]
         # Inside an article neighbours are those of the same article: what surrounds it says nothing about it.
-        kept = []
         for article in dict.fromkeys(b.article for b in blocks if b.article and not b.bad):
             own = [i for i, b in enumerate(blocks) if b.article == article and not b.bad]
             kept += [i for i, good in zip(own, inherit([labels[i] for i in own], True), strict=True) if good]

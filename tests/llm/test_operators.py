@@ -345,3 +345,19 @@ def test_html(spark):
     assert got[2]["text"] == "" and got[None]["n_chars"] == 0 and got[3]["text"] == "tr"
     assert html_extract.extract(pages).count() == 5
     assert html_extract.inherit([None, True, None, None, False], False) == [True, True, True, False, False]
+
+
+def test_html_articles_are_evidence():
+    prose_ = "It was the end of the day and they were in the house of the man who had sold it to them, as it is said in the north of the land. "
+    paragraphs = [f"{prose_ * 3}Part {i}." for i in range(4)]
+    body = "".join(f"<div><p>{p}</p></div>" for p in paragraphs)
+    # A small article beside the main text takes nothing from it.
+    text = html_extract.main_text(f"<body>{body}<article><p>Buy shoes, boots, socks, hats, coats, gloves, scarves, belts, bags, rings now.</p></article></body>")
+    assert text.split("\n\n")[:4] == paragraphs
+    # Beside a real article a long passage counts, a short unmarked one does not.
+    text = html_extract.main_text(f"<body><article>{body}</article><div>{prose_ * 2}</div><div>It is for you and all of us in the shop.</div></body>")
+    assert text.split("\n\n") == [*paragraphs, (prose_ * 2).strip()]
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-header", "main with-navbar", "contentSidebar"):
+        assert html_extract.main_text(f'<body><div class="{name}">{body}</div></body>').split("\n\n") == paragraphs
+    for name in ("sidebar", "post-comments", "sidebar-left", "wide siteFooter", "ad_1"):
+        assert html_extract.main_text(f'<body><div class="{name}"><p>{prose_}</p></div>{body}</body>').split("\n\n") == paragraphs
