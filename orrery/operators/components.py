@@ -2,8 +2,8 @@
 
 Every vertex points to a parent with a label no larger than its own. A round lets each vertex, and its parent, take the
 smallest grandparent that a neighbour offers, and shortens each pointer to the grandparent; chains of any length close in
-a logarithmic number of rounds in practice. Each round is written to the shared folder, so lineage stays short and a lost executor
-costs one round at most. All sums are combined before the shuffle and all joins are on vertices, with skewed ones left
+a logarithmic number of rounds in practice. Each round is written to the shared folder, and the one before goes then, so
+lineage stays short and a lost executor costs one round at most. All sums are combined before the shuffle and all joins are on vertices, with skewed ones left
 to adaptive execution.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.sources.scratch import written
+from orrery.sources.scratch import dropped, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
@@ -25,6 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     links = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
     labels = written(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("f")).withColumnRenamed("a", "v"), "cc-labels")
     for _ in range(max_rounds):
+        held, labels = labels, labels.select("v", "f")
         parents = labels.select(F.col("v").alias("p"), F.col("f").alias("g"))
         known = labels.join(parents, F.col("f") == F.col("p")).select("v", "f", "g")
         offers = links.join(known.select(F.col("v").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
@@ -32,7 +33,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         votes = met.select("v", "f", "m").unionByName(met.select(F.col("f").alias("v"), F.lit(None).cast(labels.schema["f"].dataType).alias("f"), "m"))
         after = written(votes.groupBy("v").agg(F.min("m").alias("f"), F.max("f").alias("before")), "cc-labels")
         done = after.filter(F.col("f") != F.col("before")).isEmpty()
-        labels = after.select("v", "f")
+        dropped(held)
+        labels = after
         if done:
+            dropped(links)
             return labels.select(F.col("v").alias("vertex"), F.col("f").alias("component"))
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
