@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches
+from orrery.llm.scratch import slices
 
 # The control strings that texts must not bring in.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>")
@@ -396,7 +396,7 @@ def _format(template: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             out = [render({"messages": [{"role": t["role"] or "", "text": t["text"] or ""} for t in turns.as_py()]}) for turns in batch.column(1)]
             spans = pa.array([[{"start": a, "end": b} for a, b in r.spans] for r in out], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.text for r in out], pa.string()), spans], names=["conv_id", "formatted", "loss_spans"])
@@ -412,7 +412,6 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     its turns meet in one task; conversations never do.
     """
     parse(template)  # a bad template fails here, not in a task
-    bounded_batches(turns.sparkSession)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     grouped = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return grouped.mapInArrow(_format(template), FORMAT_SCHEMA)
@@ -422,7 +421,7 @@ DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars lon
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         columns: list[list] = [[] for _ in range(5)]
         for formatted, spans in zip(batch.column("formatted"), batch.column("loss_spans"), strict=True):
             text = formatted.as_py()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches
+from orrery.llm.scratch import slices
 
 # Tag names by their part in a page, words of class and id that mark regions, and common words.
 BLOCK_TAGS = frozenset(
@@ -233,7 +233,7 @@ def main_text(page: str) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at = batch.schema.get_field_index("__html")
         texts = [main_text(x.as_py() or "") for x in batch.column(at)]
         arrays = [c for i, c in enumerate(batch.columns) if i != at]
@@ -247,7 +247,6 @@ def extract(pages: DataFrame, page_html: str = "html") -> DataFrame:
     A null or empty page has an empty text, and so has a page without main text. Null ids and urls stay null, repeated
     rows give repeated rows. Each page is handled whole in one task; there is no shuffle.
     """
-    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col(page_html).alias("__html"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__html")
     return rows.mapInArrow(_extract, f"{fields}, text string, n_chars long")

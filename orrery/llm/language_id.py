@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches, written
+from orrery.llm.scratch import slices, written
 
 ORDER = 4
 #: Labelled rows of each language in the sample, on average; a fifth of them calibrates.
@@ -201,7 +201,7 @@ class Identifier:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         held: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             held.setdefault(lang.as_py(), []).append(ngrams(symbols(text.as_py())))
@@ -221,7 +221,6 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     Which rows are taken depends on their ids alone. Only the sample's n-gram counts reach the driver; their number is
     bounded by the sample. Without labelled rows there is no model (None).
     """
-    bounded_batches(docs.sparkSession)
     labelled = docs.filter(learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).cast("string").alias("id"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # reads no texts
     if not sizes:
@@ -243,7 +242,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     held = docs.sparkSession.sparkContext.broadcast(out)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, entropy = held.value.entropies([t.as_py() for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n, pa.int64()), pa.array(list(entropy), pa.list_(pa.float64()))], names=["lang", "n", "entropy"])
 
@@ -261,7 +260,6 @@ def identify(docs: DataFrame, model: Identifier | None, text: str = "text", pref
     no model. Only the text decides. ``prefix`` goes before the new names, which must not be among those of ``docs``.
     There is no shuffle.
     """
-    bounded_batches(docs.sparkSession)
     added = [prefix + c for c in ("lang_pred", "score", "entropy", "rejected")]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     schema = ", ".join([*fields, *[f"`{c}` {k}" for c, k in zip(added, ("string", "double", "double", "boolean"), strict=True)]])
@@ -269,7 +267,7 @@ def identify(docs: DataFrame, model: Identifier | None, text: str = "text", pref
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() or "" for t in batch.column(at)]
             n = len(texts)
             names, score, entropy, out = held.value.predict(texts) if held.value and n else ([UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches, written
+from orrery.llm.scratch import slices, written
 from orrery.operators.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -102,7 +102,7 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 def _features(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, tokens = [], [], []
             for text in batch.column("__text"):
                 s = shingle_set(text.as_py() or "", words)
@@ -236,7 +236,7 @@ def _overlap(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 last[side] = (key, shingle_set(text or "", words))
             return last[side][1]
 
-        for batch in batches:
+        for batch in slices(batches):
             common, either = [], []
             for a, b, x, y in zip(batch.column("a"), batch.column("b"), batch.column("text_a"), batch.column("text_b"), strict=True):
                 s, t = shingles("a", a.as_py(), x.as_py()), shingles("b", b.as_py(), y.as_py())
@@ -314,7 +314,7 @@ def hub_pairs(crowded: DataFrame, reps: DataFrame, least: int) -> DataFrame:
 
 def _shingle_rows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text"), strict=True):
                 s = shingle_set(text.as_py() or "", words)
                 if len(s):
@@ -363,7 +363,6 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     rows give repeated rows, an empty table gives none.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     features = written(rows.mapInArrow(_features(words), "doc_id long, n_shingles long, set_key binary, tokens binary"), "near-features")
     linkable = features.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches, written
+from orrery.llm.scratch import slices, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -65,7 +65,7 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [measure(t.as_py() or "") for t in batch.column(batch.schema.get_field_index("__text"))]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(COUNTS)
         arrays = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
@@ -130,7 +130,6 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: s
     A null text has no words (and so fails); null languages and null sources are groups of their own. Rows that
     repeat an id are judged each for itself. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null apart from any value
     rows = docs.select(F.col(doc_id).alias("doc_id"), key(lang).alias("lang"), key(source).alias("source"), F.col(text).alias("__text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")

@@ -1,19 +1,25 @@
-"""Bounds on Arrow batches; intermediate tables are those of the library."""
+"""Slices of Arrow batches; intermediate tables are those of the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterable, Iterator
 
-from orrery.sources.scratch import shared_dir, written
+import pyarrow as pa
 
-__all__ = ["bounded_batches", "shared_dir", "written"]
+from orrery.sources.scratch import dropped, shared_dir, written
 
-ROWS_PER_BATCH = 1000
+__all__ = ["dropped", "shared_dir", "slices", "written"]
 
+ROWS_PER_SLICE, BYTES_PER_SLICE = 1000, 8 << 20
 
-def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keep Arrow batches of whole texts small: at most ``rows`` rows travel to a Python worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_PER_SLICE, size: int = BYTES_PER_SLICE) -> Iterator[pa.RecordBatch]:
+    """Views of the batches of at most ``rows`` rows and, on average, ``size`` bytes (one row at least).
+
+    Spark itself bounds the bytes of the batches it sends (64 MB by default); what Python makes of their texts is
+    bounded by these slices. Nothing is copied and no setting of the session is changed.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

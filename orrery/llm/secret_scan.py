@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches, written
+from orrery.llm.scratch import slices, written
 
 # The base patterns and the lengths below which a match is dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -69,7 +69,7 @@ def listed(spans: list[Span]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(batch.schema.get_field_index("__text"))
         counts, digests, found = ([], [], []), [], []
         for text in texts:
@@ -89,7 +89,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Candidates of each row of ``docs``: its id, owner and repository, the base figures, and all spans with hashes."""
-    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.col(text).alias("__text")
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import bounded_batches
+from orrery.llm.scratch import slices
 
 MARK = "▁"
 #: Words whose ids a task remembers between batches; when there are more it starts anew.
@@ -196,7 +196,7 @@ def default_model() -> str:
 def _run(model_path: str | None, out: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(model_path or default_model())
-        for batch in batches:
+        for batch in slices(batches):
             if out == "text":
                 values = [decoder.decode(ids.as_py()) if ids.is_valid else None for ids in batch.column("ids")]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string())], schema=schema)
@@ -221,7 +221,6 @@ def _run(model_path: str | None, out: str, schema: pa.Schema) -> Callable[[Itera
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
 
 

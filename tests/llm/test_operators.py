@@ -144,6 +144,45 @@ def test_encoder_is_the_other_library():
         assert own(text) == other.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 1_000_000, "a" * 300_000, "🦙" * 120_000, "a b  " * 30_000 + packing.SPECIAL]
+    got = packing.pack(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*other.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i)
+        assert sum(n for _, n, _ in own) == len(ids) and all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in own)
+
+
+def test_search_closes_sequences():
+    r = np.random.default_rng(5)
+    for lengths in (r.integers(600, 1100, 1500), r.integers(1, 2049, 1500), np.minimum(2048, r.lognormal(6.3, 1, 1500).astype(int) + 1)):
+        start = packing.best_fit(lengths, 2048)
+        search = packing.Search(lengths, start, 2048)
+        squares = int((search.fill**2).sum())
+        bins = search.run()
+        assert (np.bincount(bins, weights=lengths, minlength=len(search.fill)) == search.fill).all() and search.fill.max() <= 2048
+        assert (search.fill > 0).sum() < start.max() + 1 and search.steps > 0 and (search.fill**2).sum() > squares
+        decreasing = packing.best_fit(np.sort(lengths)[::-1], 2048).max() + 1
+        assert len(set(packing.fewest(lengths, 2048).tolist())) <= decreasing
+
+
+def test_groups_are_searched_again(spark, rows, monkeypatch):
+    # Equal rows and null ids are dealt like others; what groups leave underfull is packed in further rounds.
+    many = [*rows, *[(None, "the same text", "en", "s0")] * 400, *[(7, "the same text", "en", "s0")] * 200]
+    want = packing.pack(table(spark, many)).agg(F.sum("length"), F.count_distinct("sequence_id"), F.count("*")).first()
+    monkeypatch.setattr(packing, "PIECES_PER_GROUP", 60)
+    got = packing.pack(table(spark, many), with_ids=True)
+    assert got.agg(F.sum("length"), F.count("*")).first() == (want[0], want[2])
+    assert got.select("sequence_id").distinct().count() <= want[1] + 1
+    placed = packing.sequences(got)
+    assert placed.filter("size(ids) > 2048").count() == 0 and placed.agg(F.sum(F.size("ids"))).first()[0] == want[0]
+
+
 def test_local_search_fills():
     # 40 goes in for 30, and 30 then fits beside 70; two of 15 go in for one of 25.
     for lengths, bins, best in (([70, 60, 40, 30], [0, 1, 2, 1], 2), ([75, 70, 25, 15, 15], [0, 1, 1, 2, 2], 2)):
