@@ -74,6 +74,23 @@ def test_shards(spark, rows):
     assert sharding.interleaved_shards(table(spark, rows[:0]), 4).count() == 0
 
 
+def test_written_shards_keep_all_rows(spark, tmp_path):
+    rows = [(1, "a", "en", "s"), (1, "a", "en", "s"), (None, "x", "en", None), (2, "y", None, "t"), (None, "x", "en", None), (3, None, "en", "t")]
+    docs = table(spark, rows).withColumn("shard", F.lit("own")).withColumn("row", F.lit(7))
+    names = sharding.write_shards(docs, f"file://{tmp_path}/out", 4)
+    assert names == ("shard_", "slot")
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(repr, back.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    counts = [r["count"] for r in back.groupBy("shard_").count().collect()]
+    assert max(counts) - min(counts) <= 1 and len(counts) == 4
+
+
+def test_shards_of_many_small_sources(spark):
+    # All fractions are equal, and all ids are null: the ranges still tell the rows apart.
+    got = sharding.interleaved_shards(table(spark, [(None, "same", "en", f"s{i % 500}") for i in range(1000)]), 8).collect()
+    assert sorted(r["position"] for r in got) == list(range(1000))
+
+
 def test_quality_counts():
     for text in ("", "a b c a b c", "x\nx\n\n \ny", "one two three four", prose(1, 300), "a a a a", "é b\x0bc\x1cd"):
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
