@@ -3,8 +3,11 @@
 Each text is measured once. The measures of all texts of a language and source go into a quantile sketch: counts in
 buckets whose width is at most a sixteenth of their value. Sketches of the same measure merge by adding counts, in any
 order and with the same result, so Spark builds them with partial sums, and the sketches of sources merge into those
-of languages and of the whole corpus. The thresholds are fences around the quartiles of a text's own language and
-source (of the language, or of all texts, where there are too few), and a join brings them to the texts.
+of languages and of the whole corpus. The thresholds come from the sketches alone: a limit lies beyond the outer decile
+by a multiple of that decile's distance from the median. So a source where symbols are usual allows many, and one where
+nine texts in ten have none allows none. The limits of a source are mixed with those of its language, and a language's
+with those of all texts, in proportion to their numbers of texts, so small groups lean on larger ones without a switch.
+A join brings the limits to the texts.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Texts whose repeated words are more than this share (in percent) of all words fail.
 MAX_REPEAT_PERCENT = 50
-#: Fences lie this many interquartile ranges outside the quartiles, plus the measure's slack.
-FENCE = 3
-#: Groups with fewer texts than this take the thresholds of their language, and small languages those of all texts.
-MIN_GROUP = 100
-#: Measures (integers) with the slack of their fences and whether low values fail too.
-MEASURES = {"symbol_rate": (150, False), "dup_line_rate": (400, False), "repeat_rate": (300, False), "word_length": (40, True)}
+#: The outer deciles are those of this percentage; limits lie beyond them by this many times their distance from the median.
+TAIL, REACH = 10, 3
+#: A group's limits are mixed with those of the next larger one as if that added this many texts.
+PRIOR = 20
+#: Measures (integers) and whether low values fail too. Rates count what goes beyond a single occurrence.
+MEASURES = {"symbol_rate": False, "dup_line_rate": False, "repeat_rate": False, "word_length": True}
+#: Words that one repeated window of three words covers.
+ONE_REPEAT = 6
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -103,48 +108,48 @@ def fences(counted: DataFrame) -> DataFrame:
     by = ["depth", "lang", "source", "measure"]
     up = Window.partitionBy(*by).orderBy("bucket")
     ranked = counted.withColumn("upto", F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), bucket_top(F.col("bucket"))))
-    cut = ranked.groupBy(*by).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total"))
-    slack = F.create_map(*[x for m, (s, _) in MEASURES.items() for x in (F.lit(m), F.lit(s))])[F.col("measure")]
-    reach = FENCE * (F.col("q3") - F.col("q1")) + slack
-    cut = cut.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
+    quantile = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), bucket_top(F.col("bucket"))))
+    cut = ranked.groupBy(*by).agg(quantile(TAIL).alias("lower"), quantile(50).alias("median"), quantile(100 - TAIL).alias("upper"), F.max("total").alias("total"))
+    cut = cut.withColumn("low", F.greatest(F.lit(0), F.col("lower") - REACH * (F.col("median") - F.col("lower")))).withColumn("high", F.col("upper") + REACH * (F.col("upper") - F.col("median")))
     pick = lambda c, m: F.max(F.when(F.col("measure") == m, F.col(c)))
-    sides = [pick("high", m).alias(f"high_{m}") for m in MEASURES] + [pick("low", m).alias(f"low_{m}") for m, (_, both) in MEASURES.items() if both]
+    sides = [pick("high", m).alias(f"high_{m}") for m in MEASURES] + [pick("low", m).alias(f"low_{m}") for m, both in MEASURES.items() if both]
     return cut.groupBy("depth", "lang", "source").agg(F.max("total").alias("total"), *sides)
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """The fences that hold for each (lang, source): its own ones, or with too few texts those one or two levels up."""
+    """The limits that hold for each (lang, source): its own, mixed with its language's, mixed with those of all texts."""
     found = fences(counted)
     bounds = [c for c in found.columns if c.startswith(("low_", "high_"))]
     level = lambda d, tag: found.filter(F.col("depth") == d).select(*[F.col(c).alias(f"{tag}{c}") for c in ("lang", "source", "total", *bounds)])
-    own, lang, every = level(2, ""), level(1, "l_"), level(0, "a_")
-    joined = own.join(lang, F.col("lang") == F.col("l_lang"), "left").join(F.broadcast(every), F.lit(True), "left")  # every: one row
-    first = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(c)).when(F.col("l_total") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[first(c).alias(c) for c in bounds])
+    mixed = lambda n, own, wider: F.expr(f"({n} * {own} + {PRIOR} * {wider}) div ({n} + {PRIOR})")
+    lang = level(1, "l_").join(F.broadcast(level(0, "a_")), F.lit(True), "left")  # of all texts there is one row
+    lang = lang.select("l_lang", *[mixed("l_total", f"l_{c}", f"a_{c}").alias(f"l_{c}") for c in bounds])
+    joined = level(2, "").join(lang, F.col("lang") == F.col("l_lang"), "left")
+    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[mixed("total", c, f"l_{c}").alias(c) for c in bounds])
 
 
 def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """Measures and verdict of each row: doc_id, the base counts, base_failed, failed (names of measures), kept.
 
     A null text has no words (and so fails); null languages and null sources are groups of their own. Rows that
-    repeat an id are judged each for itself. An empty table gives no rows.
+    repeat an id are judged each for itself, and so are repeated rows, which count in the sketches as often as they stand
+    there. An empty table gives no rows; other columns of ``docs`` don't matter. All texts, whole, shape the limits.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null apart from any value
     rows = docs.select(F.col(doc_id).alias("doc_id"), key(lang).alias("lang"), key(source).alias("source"), F.col(text).alias("__text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
     counts = rows.mapInArrow(_measure, f"{fields}, {', '.join(f'{c} long' for c in COUNTS)}")
-    rate = lambda a, b, f: F.when(F.col(b) > 0, F.floor(f * F.col(a) / F.col(b))).otherwise(0).cast("long")
+    rate = lambda times, n, once, of: F.expr(f"CASE WHEN {of} > 0 THEN {times} * greatest(0, {n} - {once}) div {of} ELSE 0 END")
     measured = written(
-        counts.withColumn("symbol_rate", rate("n_symbols", "n_words", 1000))
-        .withColumn("dup_line_rate", rate("n_dup_lines", "n_lines", 1000))
-        .withColumn("repeat_rate", rate("n_repeat_words", "n_words", 1000))
-        .withColumn("word_length", rate("word_chars", "n_words", 10)),
+        counts.withColumn("symbol_rate", rate(1000, "n_symbols", 1, "n_words"))
+        .withColumn("dup_line_rate", rate(1000, "n_dup_lines", 1, "n_lines"))
+        .withColumn("repeat_rate", rate(1000, "n_repeat_words", ONE_REPEAT, "n_words"))
+        .withColumn("word_length", rate(10, "word_chars", 0, "n_words")),
         "quality",
     )
     limits = thresholds(sketches(measured))
     joined = measured.join(limits, (F.col("lang") == F.col("t_lang")) & (F.col("source") == F.col("t_source")), "left")
-    outside = [F.when((F.col(m) > F.col(f"high_{m}")) | ((F.col(m) < F.col(f"low_{m}")) if both else F.lit(False)), F.lit(m)) for m, (_, both) in MEASURES.items()]
+    outside = [F.when((F.col(m) > F.col(f"high_{m}")) | ((F.col(m) < F.col(f"low_{m}")) if both else F.lit(False)), F.lit(m)) for m, both in MEASURES.items()]
     judged = joined.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     judged = judged.withColumn("failed", F.array_join(F.array_compact(F.array(*outside)), ","))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"))

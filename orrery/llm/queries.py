@@ -103,9 +103,9 @@ f AS (
            coalesce(n_repeat_words, 0) AS n_repeat_words
     FROM w LEFT JOIN c USING (rid)),
 r AS (
-    SELECT *, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate,
-           CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
-           CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
+    SELECT *, CASE WHEN n_words > 0 THEN 1000 * greatest(0, n_symbols - 1) // n_words ELSE 0 END AS symbol_rate,
+           CASE WHEN n_lines > 0 THEN 1000 * greatest(0, n_dup_lines - 1) // n_lines ELSE 0 END AS dup_line_rate,
+           CASE WHEN n_words > 0 THEN 1000 * greatest(0, n_repeat_words - 6) // n_words ELSE 0 END AS repeat_rate,
            CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END AS word_length
     FROM f),
 m AS (
@@ -120,16 +120,17 @@ u AS (
            CASE WHEN bucket < 32 THEN bucket ELSE ((bucket - 16 * ((bucket - 16) // 16) + 1) << ((bucket - 16) // 16)::INTEGER) - 1 END AS top
     FROM s),
 q AS (
-    SELECT depth, lang, source, measure, total, min(top) FILTER (4 * upto >= total) AS q1, min(top) FILTER (4 * upto >= 3 * total) AS q3
+    SELECT depth, lang, source, measure, total, min(top) FILTER (100 * upto >= 10 * total) AS lower, min(top) FILTER (100 * upto >= 50 * total) AS median,
+           min(top) FILTER (100 * upto >= 90 * total) AS upper
     FROM u GROUP BY ALL),
 k AS (
-    SELECT depth, lang, source, measure, total, q1 - 3 * (q3 - q1) - slack AS low, q3 + 3 * (q3 - q1) + slack AS high
-    FROM q JOIN (VALUES ('symbol_rate', 150), ('dup_line_rate', 400), ('repeat_rate', 300), ('word_length', 40)) x(measure, slack) USING (measure)),
+    SELECT depth, lang, source, measure, total::BIGINT AS total, greatest(0, lower - 3 * (median - lower))::BIGINT AS low, (upper + 3 * (upper - median))::BIGINT AS high FROM q),
+l AS (
+    SELECT k.lang, k.measure, (k.total * k.low + 20 * a.low) // (k.total + 20) AS low, (k.total * k.high + 20 * a.high) // (k.total + 20) AS high
+    FROM k JOIN k a ON k.depth = 1 AND a.depth = 0 AND a.measure = k.measure),
 t AS (
-    SELECT o.lang, o.source, o.measure,
-           CASE WHEN o.total >= 100 THEN o.low WHEN l.total >= 100 THEN l.low ELSE a.low END AS low,
-           CASE WHEN o.total >= 100 THEN o.high WHEN l.total >= 100 THEN l.high ELSE a.high END AS high
-    FROM k o JOIN k l ON o.depth = 2 AND l.depth = 1 AND o.lang = l.lang AND o.measure = l.measure JOIN k a ON a.depth = 0 AND a.measure = o.measure),
+    SELECT k.lang, k.source, k.measure, (k.total * k.low + 20 * l.low) // (k.total + 20) AS low, (k.total * k.high + 20 * l.high) // (k.total + 20) AS high
+    FROM k JOIN l ON k.depth = 2 AND k.lang = l.lang AND k.measure = l.measure),
 x AS (
     SELECT rid, string_agg(measure, ',' ORDER BY list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length'], measure)) AS failed
     FROM (SELECT rid, lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS measure, unnest([symbol_rate, dup_line_rate, repeat_rate, word_length]) AS v FROM r)

@@ -107,6 +107,36 @@ def test_quality(spark, rows):
     assert quality_rules.quality(table(spark, rows[:0])).count() == 0
 
 
+def habits(symbols, source, n=300, seed=0):
+    """``n`` clean texts of a source, each with about ``symbols`` symbols to a hundred words."""
+    rows = []
+    for i in range(n):
+        words = prose(seed + i, 120).split()
+        for k in range(random.Random(i).randint(0, 2 * symbols)):
+            words[k] += "#"
+        rows.append((source, " ".join(words)))
+    return rows
+
+
+def test_limits_follow_the_sources(spark):
+    def limits(rows):
+        docs = table(spark, [(i, t, "en", src) for i, (src, t) in enumerate(rows)])
+        measured = quality_rules.quality(docs)
+        return {r["doc_id"]: r for r in measured.collect()}
+
+    plain, code = habits(0, "plain"), habits(20, "code", seed=500)
+    marked = lambda text, n: " ".join(w + "#" * (k < n) for k, w in enumerate(text.split()))
+    some, most = marked(prose(901, 120), 20), marked(prose(902, 300), 255)
+    odd = [("plain", some), ("code", some), ("code", most)]
+    got = limits([*plain, *code, *odd])
+    assert sum(r["kept"] for i, r in got.items() if i < 600) >= 594
+    # The same text is an outlier in the one source and usual in the other.
+    assert got[600]["failed"] == "symbol_rate" and got[601]["kept"] and "symbol_rate" in got[602]["failed"]
+    # Shifting one source's habits moves its limit.
+    shifted = limits([*plain, *habits(50, "code", seed=500), *odd])
+    assert "symbol_rate" not in shifted[602]["failed"]
+
+
 def test_secrets(spark):
     token, live = "a1b2c3d4e5f60718293a", "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1J"
     rows = [(i, f"see token = '{token}' here", "en", f"s{i}") for i in range(5)]
