@@ -1,9 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into text blocks at block-level tags. The first pass decides each block by its stop-word density, length
-and link density, and by the region it stands in (navigation, footer, sidebar, form and comment regions are never main
-text; inside an article only links and regions speak against a block). Blocks that are too short to tell stay open. In
-the second pass open blocks take the label of the nearest decided neighbour.
+A page is cut into text blocks at block-level tags; blocks of regions that the page itself names as navigation, footer,
+sidebar, form, notice, advert or comments are no candidates. The first pass decides each of the others by its stop-word
+density, length and link density: enough stop words for its length make main text, mostly links make none, and what
+tells too little (short blocks, and long ones of another language, code or tables) stays open. In the second pass open
+blocks take the label of the nearest decided neighbour; where nothing is decided they stay. An article that holds most
+of the page's main text is evidence: inside it fewer stop words do and link lists stay open, beside it only long blocks
+with many stop words count. Pages without such tags are decided by the two passes alone.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ BLOCK_TAGS = frozenset(
 )
 REGION_TAGS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
-DROPPED_TAGS = "script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|audio|video|title|math"
+DROPPED_TAGS = "script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|audio|video|title"
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer "
@@ -176,19 +179,13 @@ def decide(block: Block, stops: float, trusted: bool) -> bool | None:
     """First pass: main text (True), not (False), or open (None); ``trusted`` says that the page's articles are evidence."""
     n = len(block.text.split())
     inside, outside = trusted and block.article > 0, trusted and not block.article
-    if block.bad:
-        return False
     if block.link_words > MAX_LINK_DENSITY * n:
-        return None if inside and n < SHORT_WORDS else False
+        return None if inside else False
     if outside:
         return n >= LONG_WORDS and stops >= HIGH_STOP_DENSITY
     if n < SHORT_WORDS:
         return None
-    if inside:
-        return True if stops >= LOW_STOP_DENSITY else None
-    if stops >= HIGH_STOP_DENSITY or (stops >= LOW_STOP_DENSITY and n >= LONG_WORDS):
-        return True
-    return None if stops >= LOW_STOP_DENSITY or n < LONG_WORDS else False
+    return True if stops >= (LOW_STOP_DENSITY if inside or n >= LONG_WORDS else HIGH_STOP_DENSITY) else None
 
 
 def inherit(labels: list[bool | None], open_default: bool) -> list[bool]:
@@ -215,20 +212,20 @@ def inherit(labels: list[bool | None], open_default: bool) -> list[bool]:
 
 def main_text(page: str) -> str:
     """The main text of a page: its blocks in order, joined by an empty line; empty if there is none."""
-    blocks = blocks_of(page)
+    blocks = [b for b in blocks_of(page) if not b.bad]
     sizes = [len(b.text.split()) for b in blocks]
-    stops = [0.0 if b.bad else stop_density(b.text.split()) for b in blocks]
+    stops = [stop_density(b.text.split()) for b in blocks]
     labels = [decide(b, d, False) for b, d in zip(blocks, stops, strict=True)]
-    within = [n for b, n in zip(blocks, sizes, strict=True) if b.article and not b.bad and b.link_words <= MAX_LINK_DENSITY * n]
-    if within and sum(within) >= sum(n for b, n, good in zip(blocks, sizes, labels, strict=True) if good and not b.article):
+    within = sum(n for b, n in zip(blocks, sizes, strict=True) if b.article and b.link_words <= MAX_LINK_DENSITY * n)
+    if within and within >= sum(n for b, n, good in zip(blocks, sizes, labels, strict=True) if good and not b.article):
         labels = [decide(b, d, True) for b, d in zip(blocks, stops, strict=True)]
         kept = [i for i, b in enumerate(blocks) if not b.article and labels[i]]
         # Inside an article neighbours are those of the same article: what surrounds it says nothing about it.
-        for article in dict.fromkeys(b.article for b in blocks if b.article and not b.bad):
-            own = [i for i, b in enumerate(blocks) if b.article == article and not b.bad]
+        for article in dict.fromkeys(b.article for b in blocks if b.article):
+            own = [i for i, b in enumerate(blocks) if b.article == article]
             kept += [i for i, good in zip(own, inherit([labels[i] for i in own], True), strict=True) if good]
     else:
-        kept = [i for i, good in enumerate(inherit(labels, True)) if good and not blocks[i].bad]
+        kept = [i for i, good in enumerate(inherit(labels, True)) if good]
     return "\n\n".join(blocks[i].text for i in sorted(kept))
 
 

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -433,6 +434,39 @@ def test_html(spark):
     assert html_extract.inherit([None, True, None, None, False], False) == [True, True, True, False, False]
 
 
+def test_html_without_pages_and_with_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x", 5, 0.5)], "page_id long, url string, html string, text string, n_chars long, __html double")
+    assert html_extract.extract(pages.drop("__html")).columns == ["page_id", "url", "text", "n_chars"]
+    assert html_extract.extract(pages).first()["n_chars"] > 100
+    assert html_extract.extract(pages.limit(0)).count() == 0
+    assert html_extract.main_text("<p>" + "the house of the man " * 200_000 + "</p>").count("house") == 200_000
+
+
+def test_html_without_articles_is_the_same():
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()
+    for (page,) in pages:
+        assert html_extract.main_text(page or "") == html_extract.main_text(re.sub(r"</?(?:article|main)\b[^>]*>", "", page or ""))
+
+
+def test_html_both_passes_decide(monkeypatch):
+    links = "<div>" + " ".join(f"<a href=/{w}>{w} pages</a>" for w in WORDS[:12]) + "</div>"
+    names = "<div>Boots, shoes, socks, hats, coats, gloves, scarves, belts, bags, rings, shirts, caps</div>"
+    story = "<p>It was the end of the day and they were in the house of the man who had sold it to them.</p>"
+    page = f"<body>{links}{names}<div>Chapter one</div>{story}<div>Ibid. 5</div>{story}{links}</body>"
+    plain = re.sub("<[^>]*>", "", story)
+    assert html_extract.main_text(page).split("\n\n") == ["Chapter one", plain, "Ibid. 5", plain]
+    # Without stop words nothing is told from the neighbours of link lists, without the second pass the short blocks go.
+    monkeypatch.setattr(html_extract, "STOP_WORDS", frozenset())
+    assert html_extract.main_text(page) == ""
+
+
+def test_html_drops_nothing_else():
+    prose_ = "It was the end of the day and they were in the house of the man who had sold it to them."
+    body = f"<h1>Head</h1><p>{prose_}</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is it.</p><details><summary>More</summary>{prose_}</details><ul><li><a href=/a>One link and another one to read and then to read again</a></li></ul><p>{prose_}</p>"
+    want = ["Head", prose_, "So x=1 is it.", "More", prose_, "One link and another one to read and then to read again", prose_]
+    assert html_extract.main_text(f"<body><article>{body}<dialog>Take it or leave it, it is all the same to us and to you.</dialog></article></body>").split("\n\n") == want
+
+
 def test_html_articles_are_evidence():
     prose_ = "It was the end of the day and they were in the house of the man who had sold it to them, as it is said in the north of the land. "
     paragraphs = [f"{prose_ * 3}Part {i}." for i in range(4)]
