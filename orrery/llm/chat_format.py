@@ -435,5 +435,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest_formatted(formatted: DataFrame) -> DataFrame:
-    """Figures and digests read back from rows of ``format_conversations`` with the standard template."""
+    """Figures and digests read back from rows of ``format_conversations`` with the standard template.
+
+    A null conv_id stays null; repeated rows give repeated rows, an empty table gives none.
+    """
     return formatted.mapInArrow(_digest, DIGEST_SCHEMA)

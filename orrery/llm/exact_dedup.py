@@ -186,13 +186,18 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id has; columns unchanged.
+    """``docs`` with one row of each text, that of the largest id; columns unchanged, other columns don't matter.
 
-    Rows that repeat both id and text of a winner stay with it; use ``distinct()`` first where a table repeats rows.
-    The join's keys are (id, digest), so no group of copies meets in one task.
+    Null text is the empty text. Rows with a null id stay only if no row with their text has an id. Of rows that repeat
+    id and text of a winner one stays. An empty table gives no rows. The join's keys are (id, digest), so no group of
+    copies meets in one task; repeated winners are reduced to one in each task before they meet.
     """
-    marks = exact_groups(docs, text, doc_id)
-    losers = marks.filter(~F.col("kept")).select(F.col("doc_id").alias("__lost_id"), F.unhex("text_sha256").alias("__lost"))
-    kept = docs.withColumn("__digest", digest(F.col(text)))
-    same = (F.col(doc_id).cast("long").eqNullSafe(F.col("__lost_id"))) & (F.col("__digest") == F.col("__lost"))
-    return kept.join(losers, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marks = written(exact_groups(docs, text, doc_id).select(F.col("doc_id").alias("__own_id"), F.unhex("text_sha256").alias("__own"), "kept"), "exact-marks")
+    keyed = docs.withColumn("__digest", digest(F.col(text)))
+    same = (F.col(doc_id).cast("long").eqNullSafe(F.col("__own_id"))) & (F.col("__digest") == F.col("__own"))
+    left = keyed.join(marks.filter(~F.col("kept")), same, "left_anti")
+    repeated = marks.filter("kept").groupBy("__own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__own")
+    if not repeated.isEmpty():
+        several = F.col("__digest") == F.col("__own")
+        left = left.join(repeated, several, "left_anti").unionByName(left.join(repeated, several, "left_semi").dropDuplicates(["__digest"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -278,6 +278,10 @@ def identify(docs: DataFrame, model: Identifier | None, text: str = "text", pref
 
 
 def keep_identified(docs: DataFrame, model: Identifier | None, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text the model rejects; columns unchanged."""
+    """``docs`` without the rows whose text the model rejects; columns unchanged.
+
+    Null and empty texts and those without a letter go, and all rows do without a model. Null ids don't matter, and
+    repeated rows are judged each for itself. An empty table gives no rows.
+    """
     prefix = "__language_"
     return identify(docs, model, text, prefix).filter(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -41,8 +41,8 @@ SAMPLE = 64
 CHUNK = 128
 #: One node in this many gives its texts a second child.
 BRANCH = 4
-#: Pairs whose tokens agree less than this far below the threshold are not confirmed: 3.5 standard deviations.
-MARGIN = 3.5
+#: Pairs whose tokens agree less than this far below the threshold, in standard deviations, are not confirmed.
+MARGIN = 6
 
 _U = np.uint64
 _rng = np.random.default_rng(20_240_229)
@@ -424,6 +424,10 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates, the one with the smallest id; columns unchanged."""
+    """``docs`` with one document of each class of near-duplicates, the one with the smallest id; columns unchanged.
+
+    Texts without words, null ones too, and rows with a null id stay. Rows that repeat a kept id stay with it: equal
+    texts are the matter of exact deduplication. An empty table gives no rows; other columns don't matter.
+    """
     lost = components(docs, text, doc_id, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__lost_id")).distinct()
     return docs.join(lost, F.col(doc_id).cast("long") == F.col("__lost_id"), "left_anti")

@@ -31,7 +31,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"), repository=F.col("doc_id"), owner=F.col("source"))
+    return find_secrets(table(spark, sf_dir, "documents"), repository=F.xxhash64("text"), owner=F.col("source"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

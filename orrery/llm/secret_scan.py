@@ -2,9 +2,10 @@
 
 Every whole text is searched for the base kinds (assignments, access keys, hexadecimal strings) and for bare
 credentials: long tokens of mixed characters and high entropy that no base span touches. What a candidate is worth is
-decided over the corpus: its hash is counted by the distinct repositories and owners that hold it. A value that many
-owners hold is a copied example; a value of one owner in few repositories looks live. Bare candidates become spans
-only if they look live; base spans always stay.
+decided over the corpus: its hash is counted by the distinct repositories and owners that hold it. A repository has one
+owner, however often it is copied, so copies of one text make no value common. A value that several owners hold is a
+copied example; a value of one or two owners looks live. Bare candidates become spans only if they look live; base spans
+always stay.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ KINDS = ("assign", "access", "hex", "bare")
 
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])")
 MIN_BITS = 4.0
-#: A value with one owner and at most this many repositories looks live.
-LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
+#: A value with at most this many owners looks live.
+LIVE_OWNERS = 2
 
 Span = tuple[int, int, int, str]
 
@@ -99,10 +100,11 @@ def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text",
 def ownership(candidates: DataFrame) -> DataFrame:
     """(value, n_repositories, n_owners) over (value, owner, repository) rows; null owners and repositories count as one.
 
-    Every step combines before its shuffle, so a value that a third of all texts hold is few rows by then.
+    The owner of a repository is the first of those that its copies name. Every step combines before its shuffle, so a
+    value that a third of all texts hold is few rows by then.
     """
-    each = candidates.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = each.groupBy("value", "owner").agg(F.count("one").alias("n"))
+    each = candidates.groupBy("value", "repository").agg(F.min("owner").alias("owner"))
+    by_owner = each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
@@ -113,12 +115,13 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str =
     ``spans`` lists kind:start:end of base spans and of the bare ones that look live, by start, then kind; positions
     are code points, ends exclusive. ``live_spans`` are those of them whose value looks live (``n_live``); the other
     ones (``n_shared``) hold widely copied values. A null text is empty. Rows that repeat an id are reported each for
-    itself; a null id stays null; a null owner or repository counts as one owner or repository.
+    itself; a null id stays null; a null owner or repository counts as one owner or repository. An empty table gives
+    no rows, and other columns of ``docs`` don't matter. Texts of any length are searched whole.
     """
     scanned = written(scan(docs, repository, owner, text, doc_id).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = scanned.filter(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("s")).select("row", "owner", "repository", "s.*")
     judged = each.join(ownership(each), "value")
-    live = (F.col("n_owners") <= LIVE_OWNERS) & (F.col("n_repositories") <= LIVE_REPOSITORIES)
+    live = F.col("n_owners") <= LIVE_OWNERS
     judged = judged.withColumn("live", live).filter((F.col("kind") < 3) | F.col("live"))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     spans = judged.withColumn("name", name).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "name"))).alias("all"))
@@ -154,7 +157,9 @@ def redact_spans(text: str, spans: str) -> str:
 def redact(docs: DataFrame, repository: Column, owner: Column, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with the values that look live replaced in their texts, and ``n_chars`` counted anew where it changes.
 
-    Widely copied values stay, and so do all rows. Only texts with live spans meet Python a second time.
+    Widely copied values stay, and so do all rows, repeated ones and those with a null id too; a null text stays null.
+    An empty table gives no rows; names that begin with two underscores are the operator's own. Only texts with live
+    spans meet Python a second time.
     """
     found = find_secrets(docs, repository, owner, text, doc_id).filter(F.col("live_spans") != "")
     live = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("live_spans").alias("__spans")).distinct()

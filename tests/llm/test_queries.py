@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -57,16 +58,26 @@ def test_secrets(spark, documents):
         (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18, 0),
         (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16, 0),
     ]
-    spans, repos, owners = {}, defaultdict(set), defaultdict(set)
+    # Bare credentials, from their definition: long tokens, mixed, of high entropy, that no base span touches.
+    def bare_of(text, taken):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+            v, (a, b) = m[0], m.span()
+            mixed = all(len(re.findall(c, v)) >= 3 for c in ("[0-9]", "[A-Z]", "[a-z]"))
+            bits = sum(-v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+            if len(v) >= 24 and mixed and bits >= 4 and all(e <= a or b <= s for s, _, e, _ in taken):
+                yield a, 3, b, v
+
+    spans, owner_of, owners = {}, {}, defaultdict(set)
+    for _, text, _, source in documents:
+        owner_of[text or ""] = min(owner_of.get(text or "", source or ""), source or "")
     for i, text, _, source in documents:
         found = sorted((m.start(), k, m.end(), m[g]) for k, (p, ok, g) in enumerate(kinds) for m in p.finditer(text or "") if ok(m))
-        bare = secret_scan.bare_spans(text or "", found)
+        bare = list(bare_of(text or "", found))
         spans[i] = found, sorted(found + bare)
         for *_, v in found + bare:
-            repos[v].add(i)
-            owners[v].add(source)
+            owners[v].add(owner_of[text or ""])
     listed = lambda s: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b, _ in s)
-    live = lambda v: len(owners[v]) <= 1 and len(repos[v]) <= secret_scan.LIVE_REPOSITORIES
+    live = lambda v: len(owners[v]) <= secret_scan.LIVE_OWNERS
     for r in rows(spark, "op2_secret_scan"):
         base, every = spans[r["doc_id"]]
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in base) for k in range(3)]
