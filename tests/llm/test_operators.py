@@ -308,7 +308,7 @@ def near_rows():
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, rows, words, percent):
     near = near_rows()
-    given = [x for x in near + rows[:-1] if x[0] is not None and x[0] != 205]
+    given = [x for x in near + rows[:-1] if x[0] is not None]
     given = list({x[0]: x for x in given}.values())
     want = links([(i, t) for i, t, *_ in given], words, percent)
     got = near_dedup.components(table(spark, [*given, (None, "lost id words here", "en", "s")]), words=words, percent=percent).collect()
@@ -329,33 +329,47 @@ def crowd(seed, n, length, edits):
     return texts
 
 
-def test_near_duplicates_of_one_original(spark):
-    # Each edit is linked with the original only (0.87); edits are too far from each other (about 0.77).
-    texts = crowd(1, 3000, 216, 5)
-    assert 0.86 < len(shingled(texts[0]) & shingled(texts[1])) / len(shingled(texts[0]) | shingled(texts[1])) < 0.9
-    got = near_dedup.components(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), words=3, percent=85).collect()
-    assert [r["doc_id"] for r in got if r["component_id"] != 0] == []
+def test_near_duplicates_in_crowds(spark):
+    rows, want = [], {}
 
-
-def shingled(text):
-    words = text.split()
-    return {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
-
-
-def test_near_duplicates_in_a_crowd_without_hub(spark):
+    def add(texts, component):
+        for t in texts:
+            i = len(rows)
+            rows.append((i, t, "en", "s"))
+            want[i] = i if component is None else component
+
+    # Originals with 100 to 4,000 edits, each linked with the original only (0.859); edits among one another are too far.
+    for k, n in enumerate((100, 1000, 4000)):
+        texts = crowd(10 + k, n, 200, 5)
+        a, b = shingled(texts[0]), shingled(texts[1])
+        assert 0.85 < len(a & b) / len(a | b) < 0.86
+        add(texts, len(rows))
+    # A chain whose neighbours are exactly at the threshold.
+    words = [f"c{i}" for i in range(39 + 3 * 300)]
+    chain = [" ".join(words[3 * i : 3 * i + 39]) for i in range(300)]
+    assert 100 * len(shingled(chain[0]) & shingled(chain[1])) == 85 * len(shingled(chain[0]) | shingled(chain[1]))
+    add(chain, len(rows))
+    # One long passage in many texts, each with words of its own, just below the threshold.
+    add([" ".join(f"p{k}" for k in range(200)) + "".join(f" own{i}x{k}" for k in range(20)) for i in range(800)], None)
     # No text resembles most others; some have one edit of their own, which only the exact join finds for sure.
-    texts = crowd(2, 400, 216, 5)[1:]
-    r = random.Random(3)
+    texts, r = crowd(2, 400, 216, 5)[1:], random.Random(3)
     for i in range(0, 400, 4):
         words = texts[i].split()
         for k in range(5):
             words[43 * k + r.randrange(40)] = f"again{i}y{k}"
         texts.append(" ".join(words))
-    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
-    want = links([(i, t) for i, t, *_ in rows], 3, 85)
-    assert 100 <= sum(i != c for i, (_, c) in want.items()) <= 120
+    first = len(rows)
+    own = links(list(enumerate(texts)), 3, 85)
+    assert 100 <= sum(i != c for i, (_, c) in own.items()) <= 120
+    add(texts, None)
+    want |= {first + i: first + c for i, (_, c) in own.items()}
     got = near_dedup.components(table(spark, rows), words=3, percent=85).collect()
-    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+def shingled(text):
+    words = text.split()
+    return {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
 
 
 def test_near_duplicates_of_nothing(spark, rows):
