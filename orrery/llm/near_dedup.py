@@ -159,13 +159,16 @@ def _children(steps: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _pairs(least: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pairs(least: int, percent: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compares the texts of each node (rows sorted by path): pairs (a, b) that agree in ``least`` tokens or more.
 
     With ``forest`` the pairs of a spanning forest, most similar ones first; else those with different components.
+    In nodes of texts that share a shingle, rows say at which place of their sets' order (``at``, from 1) it stands: two
+    sets that share none before it have at most what follows in common, and a pair that this rules out is left to the
+    node of the first shingle that it shares.
     """
 
-    def compare(path: np.ndarray, ids: np.ndarray, tokens: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    def compare(path: np.ndarray, ids: np.ndarray, tokens: np.ndarray, component: np.ndarray, place: np.ndarray | None) -> list[tuple[int, int]]:
         first, second, agreed = [], [], []
         for d in range(1, len(path)):
             i = np.flatnonzero(path[d:] == path[:-d])
@@ -173,6 +176,9 @@ def _pairs(least: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 break
             if not forest:
                 i = i[component[i] != component[i + d]]
+            if place is not None:
+                after, size = place[:, 1] - place[:, 0], place[:, 1]
+                i = i[(1 + np.minimum(after[i], after[i + d])) * (100 + percent) >= percent * (size[i] + size[i + d])]
             n = (tokens[i] == tokens[i + d]).sum(axis=1)
             near = n >= least
             first.append(i[near])
@@ -213,7 +219,8 @@ def _pairs(least: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 return None
             done = rows.slice(0, upto)
             tokens = np.frombuffer(b"".join(done.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            found = compare(path[:upto], done.column("id").to_numpy(), tokens, done.column("component").to_numpy())
+            place = np.stack([done.column(c).to_numpy() for c in ("at", "size")], axis=1) if "at" in done.column_names else None
+            found = compare(path[:upto], done.column("id").to_numpy(), tokens, done.column("component").to_numpy(), place)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -326,11 +333,12 @@ def _shingle_rows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def prefix_nodes(texts: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
-    """(path, id) rows of nodes that hold, together, every pair of texts of different components that can be linked.
+    """(path, id, at, size) rows of nodes that hold, together, every pair of texts of different components that can be linked.
 
     A set of n shingles overlaps with any that it is linked with in at least ``percent`` of n, so in one order of all
     shingles, rarest first, the prefixes that leave out one shingle less than that share one. Texts that share a
     shingle are sorted by component and cut into chunks, and two chunks are a node if they hold several components.
+    ``at`` is the shingle's place in the order of the text's set, which has ``size`` of them.
     """
     rows = written(texts.mapInArrow(_shingle_rows(words), "id long, key long, size long, shingle long").distinct(), "near-shingles")
     # Shingles of one text alone come first in the order and are only counted.
@@ -338,7 +346,8 @@ def prefix_nodes(texts: DataFrame, labels: DataFrame, words: int, percent: int)
     own = Window.partitionBy("id", "key")
     ranked = rows.join(often, "shingle").withColumn("shared", F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(own.orderBy("n", "shingle")))
     prefix = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
-    kept = ranked.filter(F.col("size") - F.col("shared") + F.col("at") <= prefix).select("shingle", "id").distinct().join(labels, "id")
+    placed = ranked.withColumn("at", F.col("size") - F.col("shared") + F.col("at"))
+    kept = placed.filter(F.col("at") <= prefix).select("shingle", "id", "at", "size").join(labels, "id")
     kept = written(kept, "near-prefixes")
     mixed = kept.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
     order = Window.partitionBy("shingle").orderBy("component", "id")
@@ -349,7 +358,7 @@ def prefix_nodes(texts: DataFrame, labels: DataFrame, words: int, percent: int)
     last = F.max("chunk").over(Window.partitionBy("shingle"))
     twos = chunks.withColumn("last", last).join(other, (F.col("shingle") == F.col("s")) & ((F.col("chunk") < F.col("c")) | ((F.col("last") == 0) & (F.col("c") == 0))))
     twos = twos.filter(F.least("low", "l") < F.greatest("high", "h")).select("shingle", F.xxhash64("shingle", "chunk", "c").alias("path"), F.explode(F.array_distinct(F.array("chunk", "c"))).alias("chunk"))
-    return dealt.join(twos, ["shingle", "chunk"]).select("path", "id").distinct()
+    return dealt.join(twos, ["shingle", "chunk"]).select("path", "id", "at", "size")
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -376,8 +385,9 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     compared = written(nodes.join(reps, "id"), "near-compared")
 
     def pairs(labelled: DataFrame, forest: bool) -> DataFrame:
-        together = labelled.select("path", "id", "tokens", "component").repartition("path").sortWithinPartitions("path", "id")
-        return written(together.mapInArrow(_pairs(least, forest), "a long, b long").distinct(), "near-pairs")
+        place = [c for c in ("at", "size") if c in labelled.columns]
+        together = labelled.select("path", "id", "tokens", "component", *place).repartition("path").sortWithinPartitions("path", "id")
+        return written(together.mapInArrow(_pairs(least, percent, forest), "a long, b long").distinct(), "near-pairs")
 
     candidates = pairs(compared.withColumn("component", F.col("id")), True)
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(dense).distinct()
