@@ -56,10 +56,10 @@ def job_frames(frames: DataFrame, cap: int = MAX_FRAMES) -> DataFrame:
     return ranked.withColumn("output_pos", F.when(F.col("n_frames") > cap, F.col("rank") - 1).otherwise(F.col("frame_pos"))).drop("rank")
 
 
-def missing_uris(frames: DataFrame) -> DataFrame:
-    """(upload_id, error) of jobs with a frame that has no URI, even one that the cap would drop."""
+def missing_uris(frames: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """(upload_id, error) of jobs with a frame that has no URI, even one that the cap would drop; the first in order is named."""
     lost = F.coalesce("uri", F.lit("")) == ""
-    first = F.min_by("frame_id", F.struct(*frame_order()))
+    first = F.min_by("frame_id", F.struct(*(order or frame_order())))
     return frames.filter(lost).groupBy("upload_id").agg(first.alias("frame_id")).select("upload_id", F.concat(F.lit("Frame "), "frame_id", F.lit(" is missing a normalized asset URI")).alias("error"))
 
 
@@ -88,7 +88,7 @@ def cap_groups(groups: DataFrame, cap: int = MAX_FRAMES) -> DataFrame:
     """
     top = F.max(F.struct(F.coalesce("motion_score", F.lit(float("-inf"))).alias("motion"), F.col("index").alias("at"))).alias("top")
     each = groups.groupBy("upload_id", "entry_pos").agg(F.count(F.lit(1)).alias("cameras"), top)
-    best_index = F.when(F.col("top.motion") == float("-inf"), F.greatest(F.lit(0), F.col("top.at"))).otherwise(F.greatest(F.lit(0), F.col("top.at")))
+    best_index = F.greatest(F.lit(0), F.col("top.at"))
     job = Window.partitionBy("upload_id")
     ranked = (
         each.withColumn("most", F.greatest(F.lit(1), F.floor(cap / F.avg("cameras").over(job)))).withColumn("n", F.count(F.lit(1)).over(job))
@@ -106,19 +106,45 @@ def flatten_groups(groups: DataFrame) -> DataFrame:
     return firsts.withColumn("output_pos", F.row_number().over(Window.partitionBy("upload_id").orderBy("group_pos", "source_id")) - 1)
 
 
+def used_frames(uploads: DataFrame, frames: DataFrame, sync_entries: DataFrame, cap: int = MAX_FRAMES) -> tuple[DataFrame, DataFrame]:
+    """(the placed frames that jobs use, error rows (upload_id, step, error)) of ``uploads`` (upload_id, source_type, …).
+
+    Ordered jobs take their frames by ``job_frames``. Jobs of synchronised views take those of their sync entries
+    (upload_id, entry_pos, source_id, index): groups are resolved, capped and flattened. A frame without a URI is an
+    error (of synchronised views only one that has a source), and so is an entry whose frame isn't there; the first of a
+    job is reported. Rows are (upload_id, uri, output_pos, n_frames before the cap, n_groups).
+    """
+    moded = with_mode(uploads.select("upload_id", "source_type")).filter("mode is not null").select("upload_id", "mode")
+    known = frames.join(moded, "upload_id")
+    ordered, synced = known.filter("mode <> 'synchronized_views'").drop("mode"), known.filter("mode = 'synchronized_views'").drop("mode")
+    lost = missing_uris(ordered).unionByName(missing_uris(synced.filter(F.col("source_id").isNotNull()), [F.col("pos"), F.col("frame_id")]))
+    entries = sync_entries.join(moded.filter("mode = 'synchronized_views'").select("upload_id"), "upload_id", "left_semi").join(lost.select("upload_id"), "upload_id", "left_anti")
+    groups, absent = resolve_groups(entries, synced)
+    broken = absent.groupBy("upload_id").agg(F.min_by("error", F.struct("entry_pos", "error")).alias("error"))
+    errors = lost.select("upload_id", F.lit("frames").alias("step"), "error").unionByName(broken.select("upload_id", F.lit("groups").alias("step"), "error"))
+    capped = cap_groups(groups.join(broken.select("upload_id"), "upload_id", "left_anti"), cap)
+    counts = synced.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n_frames")).join(capped.groupBy("upload_id").agg(F.count_distinct("entry_pos").alias("n_groups")), "upload_id")
+    columns = ["upload_id", "uri", "output_pos", "n_frames", "n_groups"]
+    flat = flatten_groups(capped).join(counts, "upload_id").select(*columns)
+    plain = job_frames(ordered.join(lost.select("upload_id"), "upload_id", "left_anti"), cap).withColumn("n_groups", F.lit(None).cast("bigint"))
+    return plain.select(*columns).unionByName(flat), errors
+
+
 def assemble(uploads: DataFrame, frames: DataFrame) -> DataFrame:
-    """One row for each upload: mode, error, image_uris in order, pairing_strategy, n_frames.
+    """One row for each upload: mode, error, image_uris in order, pairing_strategy, n_frames, sync_group_count.
 
-    ``frames`` are placed ones (``output_pos``, ``n_frames``). Uploads without a mode keep their error, others get
-    one if fewer than two images are left.
+    ``frames`` are placed ones (``output_pos``, ``n_frames``, and ``n_groups`` where there are synchronised views).
+    Uploads without a mode keep their error, others get one if fewer than two images are left.
     """
     listed = F.transform(F.array_sort(F.collect_list(F.struct("output_pos", "uri"))), lambda x: x["uri"])
-    each = frames.groupBy("upload_id").agg(listed.alias("image_uris"), F.max("n_frames").alias("n_frames"))
+    groups = F.max("n_groups") if "n_groups" in frames.columns else F.lit(None).cast("bigint")
+    each = frames.groupBy("upload_id").agg(listed.alias("image_uris"), F.max("n_frames").alias("n_frames"), groups.alias("sync_group_count"))
     jobs = with_mode(uploads).join(each, "upload_id", "left")
     few = F.coalesce(F.size("image_uris"), F.lit(0)) < 2
     return jobs.select(
         "upload_id", "source_type", "mode", F.coalesce("error", F.when(few, "reconstruction needs at least two images")).alias("error"),
         F.when(F.col("mode").isNotNull(), F.col("image_uris")).alias("image_uris"), F.when(F.col("mode").isNotNull(), F.col("n_frames")).alias("n_frames"), pairing(F.col("mode"), F.col("n_frames")).alias("pairing_strategy"),
+        F.when(F.col("mode").isNotNull(), F.col("sync_group_count")).alias("sync_group_count"),
     )
 
 

@@ -141,18 +141,6 @@ SELECT upload_id, {MODE_SQL} AS mode, {ERROR_SQL} AS error, source_id, "index",
 FROM used JOIN uploads USING (upload_id)"""
 
 
-def e7_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = jobs.assemble(views.uploads(spark, sf_dir), jobs.job_frames(views.frames(spark, sf_dir)))
-    return j.withColumn("image_uris", F.array_join("image_uris", " "))
-
-
-E7 = f"""{JOB_FRAMES}
-SELECT upload_id, source_type, {MODE_SQL} AS mode, coalesce({ERROR_SQL}, CASE WHEN n < 2 THEN 'reconstruction needs at least two images' END) AS error,
-       CASE WHEN {MODE_SQL} IS NOT NULL THEN uris END AS image_uris, CASE WHEN {MODE_SQL} IS NOT NULL THEN n_frames END AS n_frames,
-       CASE WHEN source_type = 'single_video' OR (source_type = 'image_folder' AND n_frames > 20) THEN 'swin' END AS pairing_strategy
-FROM uploads JOIN (SELECT upload_id, count(*) AS n, max(n_frames) AS n_frames, string_agg(uri, ' ' ORDER BY output_pos) AS uris FROM used GROUP BY 1) USING (upload_id)"""
-
-
 def e13_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.with_mode(views.uploads(spark, sf_dir))
 
@@ -196,6 +184,34 @@ flat AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY group_pos,
 E6 = f"{FLAT} SELECT upload_id, source_id, frame_id, output_pos FROM flat"
 
 
+def e7_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, uploads = views.frames(spark, sf_dir), views.uploads(spark, sf_dir)
+    entries = written(sync.long_entries(sync.sync_map(frames)), "sync-entries")
+    used, _ = jobs.used_frames(uploads, frames, entries)
+    return jobs.assemble(uploads, used).withColumn("image_uris", F.array_join("image_uris", " "))
+
+
+# The frames of jobs: ordered ones up to the cap, and those of capped and flattened groups for synchronised views.
+PLANNED = f"""{FLAT},{views.UPLOADS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY source_id, "index", frame_id) - 1 AS frame_pos, count(*) OVER (PARTITION BY upload_id) AS n_frames FROM frames),
+motioned AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY coalesce(motion_score, '-inf'::DOUBLE) DESC, "index" DESC, frame_pos) AS nth FROM placed),
+totals AS (SELECT upload_id, count(*) AS n_frames FROM frames GROUP BY 1),
+taken AS (
+    SELECT upload_id, uri, CASE WHEN n_frames > 40 THEN nth - 1 ELSE frame_pos END AS output_pos, n_frames, NULL::BIGINT AS n_groups
+    FROM motioned JOIN uploads USING (upload_id) WHERE nth <= 40 AND source_type <> 'video_folder'
+    UNION ALL
+    SELECT upload_id, uri, output_pos, n_frames, n_groups FROM flat JOIN uploads USING (upload_id) JOIN totals USING (upload_id)
+    JOIN (SELECT upload_id, count(DISTINCT entry_pos) AS n_groups FROM capped GROUP BY 1) USING (upload_id) WHERE source_type = 'video_folder'),
+listed AS (SELECT upload_id, count(*) AS n, max(n_frames) AS n_frames, max(n_groups) AS n_groups, string_agg(uri, ' ' ORDER BY output_pos) AS uris FROM taken GROUP BY 1),
+built AS (
+    SELECT upload_id, source_type, {MODE_SQL} AS mode, coalesce({ERROR_SQL}, CASE WHEN coalesce(n, 0) < 2 THEN 'reconstruction needs at least two images' END) AS error, n,
+           CASE WHEN {MODE_SQL} IS NOT NULL THEN uris END AS image_uris, CASE WHEN {MODE_SQL} IS NOT NULL THEN n_frames END AS n_frames,
+           CASE WHEN source_type = 'single_video' OR (source_type = 'image_folder' AND n_frames > 20) THEN 'swin' END AS pairing_strategy,
+           CASE WHEN {MODE_SQL} IS NOT NULL THEN n_groups END AS sync_group_count
+    FROM uploads LEFT JOIN listed USING (upload_id))"""
+E7 = f"{PLANNED} SELECT * EXCLUDE (n) FROM built"
+
+
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.job_frames(views.frames(spark, sf_dir)).select(F.col("upload_id").alias("job_id"), F.col("output_pos").alias("pos"), F.col("uri").alias("path"), "width", "height", "focal_length_35mm")
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery import views
-from orrery.operators import jobs
+from orrery.operators import jobs, sync
 from orrery.plans import pipelines
-from orrery.registry.capture import JOB_FRAMES, MODE_SQL
+from orrery.registry.capture import PLANNED
 from orrery.registry.uploads import REQUESTS_SQL, _requests
 from orrery.sources import media
 from orrery.streaming import live
@@ -121,22 +121,26 @@ def p2_plan_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, f = views.uploads(spark, sf_dir), views.frames(spark, sf_dir)
     counts = f.groupBy("upload_id").agg(F.count(F.lit(1)).alias("frame_count"))
     headers = u.join(counts, "upload_id").select("upload_id", "source_type", F.lit("track_a_batch").alias("track"), F.when(F.col("upload_id") % 9 == 8, 1.5).otherwise(0.3).alias("compute_priority_score"), "frame_count")
-    ready, errors = pipelines.plan_jobs(headers, f)
+    headers = headers.withColumn("sync_group_id", F.when(F.col("upload_id") % 2 == 0, F.concat(F.lit("sync_"), "upload_id")))
+    # An upload in five has an entry whose frame isn't there.
+    entries = sync.sync_map(f)
+    broken = u.filter("upload_id % 5 = 3").select("upload_id", F.lit(0).cast("int").alias("entry_pos"), F.lit(0.0).alias("anchor_timestamp_ms"), F.create_map(F.lit("cam_9"), F.lit(7)).alias("aligned_frames"), F.create_map(F.lit("cam_9"), F.lit(0.0)).alias("offsets_ms"))
+    ready, errors = pipelines.plan_jobs(headers, f, sync_map=entries.unionByName(broken))
     none = lambda t: F.lit(None).cast(t)
-    return ready.select("upload_id", "mode", F.col("params.pairing_strategy").alias("pairing"), F.size("image_uris").alias("images"), "output_path", none("string").alias("step"), none("string").alias("error")).unionByName(
-        errors.select("upload_id", none("string").alias("mode"), none("string").alias("pairing"), none("int").alias("images"), none("string").alias("output_path"), "step", "error")
-    )
-
-
-P2 = f"""{JOB_FRAMES},
-h AS (SELECT *, CASE WHEN upload_id % 9 = 8 THEN 'contract' WHEN {MODE_SQL} IS NULL THEN 'build' END AS step FROM uploads),
-n AS (SELECT upload_id, count(*)::INTEGER AS images, max(n_frames) AS n_frames FROM used GROUP BY 1)
-SELECT upload_id, CASE WHEN step IS NULL THEN {MODE_SQL} END AS mode,
-       CASE WHEN step IS NULL THEN CASE WHEN source_type = 'single_video' OR (source_type = 'image_folder' AND n_frames > 20) THEN 'swin' ELSE 'complete' END END AS pairing,
-       CASE WHEN step IS NULL THEN images END AS images, CASE WHEN step IS NULL THEN 'data/reconstruction/' || source_type || '_' || upload_id || '/' || source_type || '.glb' END AS output_path, step,
-       CASE step WHEN 'contract' THEN 'score' WHEN 'build' THEN CASE source_type WHEN 'single_image' THEN 'single_view reconstruction is not implemented yet'
-           WHEN 'live_stream' THEN 'live streams cannot be converted into reconstruction jobs' ELSE 'Unsupported source type: unknown' END END AS error
-FROM h JOIN n USING (upload_id)"""
+    planned = ready.select("upload_id", "mode", F.col("params.pairing_strategy").alias("pairing"), F.size("image_uris").alias("images"), "sync_group_count", "sync_group_id", "output_path", none("string").alias("step"), none("string").alias("error"))
+    failed = errors.select("upload_id", *[none(t).alias(c) for c, t in (("mode", "string"), ("pairing", "string"), ("images", "int"), ("sync_group_count", "bigint"), ("sync_group_id", "string"), ("output_path", "string"))], "step", "error")
+    return planned.unionByName(failed)
+
+
+P2 = f"""{PLANNED},
+h AS (
+    SELECT *, CASE WHEN upload_id % 9 = 8 THEN 'contract' WHEN source_type = 'video_folder' AND upload_id % 5 = 3 THEN 'groups' WHEN error IS NOT NULL THEN 'build' END AS step,
+           CASE WHEN upload_id % 2 = 0 AND source_type = 'video_folder' THEN 'sync_' || upload_id END AS group_id FROM built)
+SELECT upload_id, CASE WHEN step IS NULL THEN mode END AS mode, CASE WHEN step IS NULL THEN coalesce(pairing_strategy, 'complete') END AS pairing, CASE WHEN step IS NULL THEN n END::INTEGER AS images,
+       CASE WHEN step IS NULL THEN sync_group_count END AS sync_group_count, CASE WHEN step IS NULL THEN group_id END AS sync_group_id,
+       CASE WHEN step IS NULL THEN 'data/reconstruction/' || coalesce(group_id, source_type) || '_' || upload_id || '/' || coalesce(group_id, source_type) || '.glb' END AS output_path, step,
+       CASE step WHEN 'contract' THEN 'score' WHEN 'groups' THEN 'sync_map references a frame that is not present in the payload: cam_9[7]' WHEN 'build' THEN error END AS error
+FROM h"""
 
 
 def p4_deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
