@@ -58,10 +58,9 @@ def triangulate(faces: DataFrame) -> DataFrame:
     fans = faces.filter(F.size("vids") > 2).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("vids") - 2)))
     corner = lambda i: F.element_at("vids", i)
     tri = fans.select("mesh_id", F.col("fid").alias("was"), "k", F.array(corner(F.lit(1)), corner(F.col("k") + 1), corner(F.col("k") + 2)).alias("vids"))
-    if_one = F.count(F.lit(1)).over(Window.partitionBy("mesh_id", "was"))
     # Numbers leave room for a polygon's triangles: no sort of a whole mesh is needed.
     widest = tri.groupBy("mesh_id").agg(F.max("k").alias("widest"))
-    return tri.withColumn("n", if_one).join(widest, "mesh_id").select("mesh_id", (F.col("was") * F.col("widest") + F.col("k") - 1).alias("fid"), "vids")
+    return tri.join(widest, "mesh_id").select("mesh_id", (F.col("was") * F.col("widest") + F.col("k") - 1).alias("fid"), "vids")
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -142,7 +141,9 @@ def fill_holes(vertices: DataFrame, faces: DataFrame, hole_size: float | None =
     new_vertices = color.select("mesh_id", F.col("middle").alias("vid"), *[F.col(f"m{c}").alias(c) for c in XYZ], "color")
     fan = rim.join(loops.withColumnRenamed("vid", "a"), ["mesh_id", "a"]).join(closed.select("mesh_id", "loop", "middle"), ["mesh_id", "loop"])
     last = faces.groupBy("mesh_id").agg(F.max("fid").alias("last"))
-    new_faces = fan.join(last, "mesh_id").select("mesh_id", (F.col("last") + 1 + F.col("a")).alias("fid"), F.array("b", "a", "middle").alias("vids"))
+    # Where windings are mixed, both edges of a rim vertex can start there: numbers leave room for two.
+    nth = F.row_number().over(Window.partitionBy("mesh_id", "a").orderBy("b")) - 1
+    new_faces = fan.join(last, "mesh_id").select("mesh_id", (F.col("last") + 1 + 2 * F.col("a") + nth).alias("fid"), F.array("b", "a", "middle").alias("vids"))
     return vertices.unionByName(new_vertices.select(*vertices.columns)), faces.unionByName(new_faces)
 
 
@@ -277,23 +278,23 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return total.select("mesh_id", "vid", *[F.try_divide(F.col(n), length).alias(n) for n in names])
 
 
-def transfer_colors(source: DataFrame, target: DataFrame, rings: int = 3) -> DataFrame:
+def transfer_colors(source: DataFrame, target: DataFrame, rounds: int = 40) -> DataFrame:
     """``target`` with the colour of the nearest source vertex of its mesh (the lowest number of those as near).
 
     Vertices meet through the cells of a grid: a vertex looks into its own cell and those around it. What it finds is
-    certain if no nearer vertex can lie outside; the rest looks again on a grid four times as coarse, and the last is
-    compared with all source vertices of its mesh. A source without colours leaves ``target`` as it is.
+    certain if no nearer vertex can lie outside; the rest looks again on a grid four times as coarse, until all have
+    found one. A source without colours leaves ``target`` as it is, and so do vertices without finite coordinates.
     """
     if source.filter("color is not null").isEmpty():
         return target
     count = source.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
     size = bounds(source).join(count, "mesh_id").select("mesh_id", F.greatest(F.col("diagonal") / F.sqrt("n"), F.lit(1e-9)).alias("size"))
     src = source.select("mesh_id", F.col("vid").alias("s_vid"), *[F.col(c).alias(f"s{c}") for c in XYZ], F.col("color").alias("s_color"))
-    open_rows = target.select("mesh_id", "vid", *XYZ)
+    open_rows = target.select("mesh_id", "vid", *XYZ).filter(_finite("x") & _finite("y") & _finite("z")).join(count.select("mesh_id"), "mesh_id", "left_semi")
     far = sum((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in XYZ)
     best = F.min_by(F.col("s_color"), F.struct("d", "s_vid")).alias("new_color")
     found = []
-    for k in range(rings):
+    for k in range(rounds):
         grid = size.withColumn("size", F.col("size") * (4**k))
         cell = lambda names: [F.floor(F.col(c) / F.col("size")).alias(f"c{i}") for i, c in enumerate(names)]  # noqa: E731, B023
         near = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate((a, b, c))]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
@@ -306,9 +307,8 @@ def transfer_colors(source: DataFrame, target: DataFrame, rings: int = 3) -> Dat
         open_rows = written(open_rows.join(sure, ["mesh_id", "vid"], "left_anti"), "mesh-open")
         if open_rows.isEmpty():
             break
-    rest = open_rows.join(src, "mesh_id").withColumn("d", far).groupBy("mesh_id", "vid").agg(best)
-    colors = rest
-    for part in found:
+    colors = found[0]
+    for part in found[1:]:
         colors = colors.unionByName(part)
     return target.join(colors, ["mesh_id", "vid"], "left").withColumn("color", F.coalesce("new_color", "color")).select(*target.columns)
 
@@ -339,9 +339,15 @@ class MeshStepError(RuntimeError):
 
 
 def run_step(step: str, operator, *args, **kwargs):
-    """Runs an operator and names the step in its failure; errors of validation pass through as they are."""
+    """Runs an operator and writes the tables that it declares, so that a failure in the run names the step too.
+
+    Errors of validation pass through as they are.
+    """
     try:
-        return operator(*args, **kwargs)
+        made = operator(*args, **kwargs)
+        if isinstance(made, DataFrame):
+            return written(made, f"mesh-{step}")
+        return tuple(written(table, f"mesh-{step}") for table in made)
     except ValueError:
         raise
     except Exception as cause:

@@ -255,7 +255,19 @@ def e11_job_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, groups = _sync_images(spark, sf_dir)
     images = _images(spark, sf_dir)
     strategies = images.select("job_id").distinct().withColumn("strategy", F.when(F.col("job_id") % 2 == 0, "swin").otherwise("complete"))
-    return pairing.job_pairs(images, groups.filter("job_id % 3 = 0"), strategies).groupBy("job_id", "how").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("a") * 100 + F.col("b")).alias("checksum"))
+    return pairing.job_pairs(images, groups.filter("job_id % 3 = 0"), strategies)
+
+
+# Pairs of a job's groups where there are any, else those of its strategy.
+E11 = f"""{PLANNED},
+used AS (SELECT upload_id, uri, CASE WHEN n_frames > 40 THEN nth - 1 ELSE frame_pos END AS i FROM motioned WHERE nth <= 40),
+idx AS (SELECT upload_id, group_pos, source_id, i FROM capped JOIN used USING (upload_id, uri) WHERE upload_id % 3 = 0),
+sp AS (SELECT DISTINCT l.upload_id, l.i AS a, r.i AS b FROM idx l JOIN idx r ON l.upload_id = r.upload_id AND l.group_pos = r.group_pos AND l.source_id <> r.source_id),
+rest AS (SELECT *, count(*) OVER (PARTITION BY upload_id) AS n FROM used WHERE upload_id NOT IN (SELECT upload_id FROM sp)),
+other AS (SELECT x.upload_id, x.i AS a, y.i AS b, x.n FROM rest x JOIN rest y ON x.upload_id = y.upload_id AND x.i <> y.i)
+SELECT upload_id AS job_id, a, b, 'sync' AS how FROM sp
+UNION ALL SELECT upload_id, a, b, 'swin' FROM other WHERE upload_id % 2 = 0 AND ((b - a + n) % n <= 3 OR (a - b + n) % n <= 3)
+UNION ALL SELECT upload_id, a, b, 'complete' FROM other WHERE upload_id % 2 = 1"""
 
 
 def e12_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,4 +279,4 @@ E12 = f"""{JOB_FRAMES}
 SELECT upload_id AS job_id, uri AS path, focal_length_35mm / 36.0::DOUBLE * greatest(width, height) AS f, width / 2 AS cx FROM used WHERE focal_length_35mm IS NOT NULL"""
 
 QUERIES = {f.__name__: f for f in (c1_motion_score, c3_adaptive_sample, c3_adaptive_sample_long, d5_offsets, d6_nearest, d9_sync_map, e_job_frames, e5_group_cap, e6_flat_groups, e7_jobs, e8_complete_pairs, e9_window_pairs, e10_sync_pairs, e11_job_pairs, e12_priors, e13_modes)}
-ORACLES = dict(zip(QUERIES, (C1, C3, C3, D5, D6, D9, E_FRAMES, E5, E6, E7, E8, E9, E10, None, E12, E13), strict=True))
+ORACLES = dict(zip(QUERIES, (C1, C3, C3, D5, D6, D9, E_FRAMES, E5, E6, E7, E8, E9, E10, E11, E12, E13), strict=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery import views
@@ -32,12 +32,12 @@ FROM t"""
 
 def f1_flatten_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    cube = F.array(*[F.array(*[F.slice("e", 1 + 12 * i + 3 * j, 3) for j in range(4)]) for i in range(2)])
+    cube = F.array(*[F.array(*[F.slice("e", 1 + 16 * i + 4 * j, 4) for j in range(4)]) for i in range(4)])
     rows = e.select("vec_id", F.posexplode(points.flatten_rows(cube, 3)).alias("row", "p"))
-    return rows.select("vec_id", "row", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].alias("z"))
+    return rows.select("vec_id", "row", *[F.col("p")[i].alias(c) for i, c in enumerate("xyzw")])
 
 
-F1 = "SELECT vec_id, k::INTEGER AS row, embedding[3 * k + 1]::DOUBLE AS x, embedding[3 * k + 2]::DOUBLE AS y, embedding[3 * k + 3]::DOUBLE AS z FROM embeddings, range(8) t(k)"
+F1 = "SELECT vec_id, k::INTEGER AS row, embedding[4 * k + 1]::DOUBLE AS x, embedding[4 * k + 2]::DOUBLE AS y, embedding[4 * k + 3]::DOUBLE AS z, embedding[4 * k + 4]::DOUBLE AS w FROM embeddings, range(16) t(k)"
 
 
 def f2_confident_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,16 +109,16 @@ FROM sizes GROUP BY mesh_id"""
 
 def g9_weld(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = mesh.weld(views.vertices(spark, sf_dir), views.faces(spark, sf_dir), 0.05)
-    count = lambda df, name: df.groupBy("mesh_id").agg(F.count(F.lit(1)).alias(name))
-    return count(v, "n_points").join(count(f, "n_cells"), "mesh_id")
+    points_ = v.select("mesh_id", F.lit("point").alias("part"), F.col("vid").alias("id"), F.lit("").alias("corners"))
+    return points_.unionByName(f.select("mesh_id", F.lit("face").alias("part"), F.col("fid").alias("id"), F.array_join("vids", " ").alias("corners")))
 
 
 G9 = f"""{views.sql(views.CELLS, views.FACES, views.VERTICES)},
 d AS (SELECT mesh_id, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) * 0.05::DOUBLE AS size FROM vertices GROUP BY 1),
 k AS (SELECT mesh_id, vid, min(vid) OVER (PARTITION BY mesh_id, floor(x / size + 0.5::DOUBLE), floor(y / size + 0.5::DOUBLE), floor(z / size + 0.5::DOUBLE)) AS t FROM vertices JOIN d USING (mesh_id)),
-e AS (SELECT mesh_id, fid, unnest(vids) AS vid FROM faces),
-n AS (SELECT mesh_id, fid FROM e JOIN k USING (mesh_id, vid) GROUP BY ALL HAVING count(DISTINCT t) = count(*))
-SELECT mesh_id, n_points, n_cells FROM (SELECT mesh_id, count(*) AS n_points FROM k WHERE t = vid GROUP BY 1) JOIN (SELECT mesh_id, count(*) AS n_cells FROM n GROUP BY 1) USING (mesh_id)"""
+e AS (SELECT mesh_id, fid, unnest(vids) AS vid, generate_subscripts(vids, 1) AS i FROM faces),
+n AS (SELECT mesh_id, fid, string_agg(t, ' ' ORDER BY i) AS corners FROM e JOIN k USING (mesh_id, vid) GROUP BY ALL HAVING count(DISTINCT t) = count(*))
+SELECT mesh_id, 'point' AS part, vid AS id, '' AS corners FROM k WHERE t = vid UNION ALL SELECT mesh_id, 'face', fid, corners FROM n"""
 
 
 def g10_triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +132,14 @@ SELECT mesh_id, vids[1] AS a, vids[2] AS b, vids[3] AS c FROM faces UNION ALL SE
 
 def g12_transfer_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.vertices(spark, sf_dir)
-    moved = v.filter("vid % 3 = 0").select("mesh_id", "vid", (F.col("x") * 1.07 + 0.21).alias("x"), (F.col("y") * 0.93 + 0.13).alias("y"), (F.col("z") + 1.7).alias("z"), F.lit(None).cast("array<double>").alias("color"))
-    out = mesh.transfer_colors(v.filter("vid % 2 = 0"), moved)
+    moved = v.select("mesh_id", "vid", (F.col("x") * 1.07 + 0.21).alias("x"), (F.col("y") * 0.93 + 0.13).alias("y"), (F.col("z") + 1.7).alias("z"), F.lit(None).cast("array<double>").alias("color"))
+    out = mesh.transfer_colors(v, moved)
     return out.select("mesh_id", "vid", F.col("color")[0].alias("c0"), F.col("color")[1].alias("c1"))
 
 
 G12 = f"""{views.sql(views.VERTICES)},
-t AS (SELECT mesh_id, vid, x * 1.07::DOUBLE + 0.21::DOUBLE AS x, y * 0.93::DOUBLE + 0.13::DOUBLE AS y, z + 1.7::DOUBLE AS z FROM vertices WHERE vid % 3 = 0)
-SELECT t.mesh_id, t.vid, s.color[1] AS c0, s.color[2] AS c1 FROM t JOIN vertices s ON s.mesh_id = t.mesh_id AND s.vid % 2 = 0
+t AS (SELECT mesh_id, vid, x * 1.07::DOUBLE + 0.21::DOUBLE AS x, y * 0.93::DOUBLE + 0.13::DOUBLE AS y, z + 1.7::DOUBLE AS z FROM vertices)
+SELECT t.mesh_id, t.vid, s.color[1] AS c0, s.color[2] AS c1 FROM t JOIN vertices s ON s.mesh_id = t.mesh_id
 QUALIFY row_number() OVER (PARTITION BY t.mesh_id, t.vid ORDER BY (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z), s.vid) = 1"""
 
 
@@ -199,17 +199,49 @@ SELECT mesh_id, vid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM g
 
 def g11_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, f = mesh.decimate(views.vertices(spark, sf_dir), mesh.triangulate(views.faces(spark, sf_dir)), 0.5)
-    return f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    return f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.aggregate("vids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("corner_sum"))
+
+
+# A round clusters the mesh on cells half as large again as those of the round before; the first one within the budget counts.
+G11 = f"""{views.sql(views.CELLS, views.FACES, views.VERTICES)},
+tri AS (SELECT mesh_id, fid, 0 AS k, [vids[1], vids[2], vids[3]] AS vids FROM faces UNION ALL SELECT mesh_id, fid, 1, [vids[1], vids[3], vids[4]] FROM faces WHERE len(vids) = 4),
+goal AS (SELECT mesh_id, floor(count(*) * 0.5::DOUBLE) AS target FROM tri GROUP BY 1),
+d AS (SELECT mesh_id, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) / sqrt(2.0::DOUBLE) / 64 AS size FROM vertices GROUP BY 1),
+c AS (SELECT mesh_id, nth, size * power(1.5::DOUBLE, nth) AS size FROM d, range(12) t(nth)),
+p AS (
+    SELECT mesh_id, nth, vid, min(vid) OVER (PARTITION BY mesh_id, nth, floor(x / size + 0.5::DOUBLE), floor(y / size + 0.5::DOUBLE), floor(z / size + 0.5::DOUBLE)) AS t FROM vertices JOIN c USING (mesh_id)),
+e AS (SELECT mesh_id, fid, k, unnest(vids) AS vid FROM tri),
+n AS (SELECT mesh_id, nth, fid, k, sum(t) AS s FROM e JOIN p USING (mesh_id, vid) GROUP BY ALL HAVING count(DISTINCT t) = 3),
+m AS (SELECT mesh_id, nth, count(*) AS n_cells, sum(s)::BIGINT AS corner_sum FROM n GROUP BY ALL)
+SELECT mesh_id, n_cells, corner_sum FROM m JOIN goal USING (mesh_id) WHERE n_cells <= target QUALIFY row_number() OVER (PARTITION BY mesh_id ORDER BY nth) = 1"""
+
+
+def _turned(vids: Column) -> Column:
+    """A triangle's corners, turned so that the smallest comes first; the winding stays."""
+    low = F.array_position(vids, F.array_min(vids)).cast("int") - 1
+    at = lambda k: F.get(vids, (low + k) % 3)
+    return F.array(at(0), at(1), at(2))
 
 
 def g15_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = views.vertices(spark, sf_dir), mesh.triangulate(views.faces(spark, sf_dir))
     mixed = f.withColumn("vids", F.when(F.col("fid") % 3 == 0, F.reverse("vids")).otherwise(F.col("vids")))
-    oriented = mesh.orient(v, mixed)
-    return oriented.groupBy("mesh_id", "orientable").agg(F.count(F.lit(1)).alias("n_cells"))
+    oriented = mesh.orient(v, mixed).select("mesh_id", "orientable", _turned(F.col("vids")).alias("t"))
+    return oriented.select("mesh_id", "orientable", *[F.col("t")[i].alias(c) for i, c in enumerate("abc")])
 
 
-G15 = f"""{views.sql(views.CELLS, views.FACES)} SELECT mesh_id, true AS orientable, sum(len(vids) - 2)::BIGINT AS n_cells FROM faces GROUP BY 1"""
+# The lattice winds its triangles alike: those of a component (over shared edges) stay so, or turn if their volume is negative.
+G15 = f"""{views.sql(views.CELLS, views.FACES, views.VERTICES, recursive=True)},
+tri AS (SELECT mesh_id, 2 * fid AS id, vids[1] AS a, vids[2] AS b, vids[3] AS c FROM faces UNION ALL SELECT mesh_id, 2 * fid + 1, vids[1], vids[3], vids[4] FROM faces WHERE len(vids) = 4),
+side AS (SELECT mesh_id, id, least(p, q) AS lo, greatest(p, q) AS hi FROM (SELECT mesh_id, id, a AS p, b AS q FROM tri UNION ALL SELECT mesh_id, id, b, c FROM tri UNION ALL SELECT mesh_id, id, c, a FROM tri)),
+link AS (SELECT x.mesh_id, x.id, y.id AS other FROM side x JOIN side y ON x.mesh_id = y.mesh_id AND x.lo = y.lo AND x.hi = y.hi AND x.id <> y.id),
+reach AS (SELECT mesh_id, id, id AS seen FROM tri UNION SELECT r.mesh_id, l.other, r.seen FROM reach r JOIN link l ON r.mesh_id = l.mesh_id AND r.id = l.id AND r.seen < l.other),
+label AS (SELECT mesh_id, id, min(seen) AS part FROM reach GROUP BY ALL),
+det AS (
+    SELECT t.*, part, x.x * (y.y * z.z - y.z * z.y) - x.y * (y.x * z.z - y.z * z.x) + x.z * (y.x * z.y - y.y * z.x) AS d FROM tri t JOIN label USING (mesh_id, id)
+    JOIN vertices x ON x.mesh_id = t.mesh_id AND x.vid = a JOIN vertices y ON y.mesh_id = t.mesh_id AND y.vid = b JOIN vertices z ON z.mesh_id = t.mesh_id AND z.vid = c),
+way AS (SELECT mesh_id, a, CASE WHEN s < 0 THEN c ELSE b END AS b, CASE WHEN s < 0 THEN b ELSE c END AS c FROM (SELECT *, sum(d) OVER (PARTITION BY mesh_id, part) AS s FROM det))
+SELECT mesh_id, true AS orientable, least(a, b, c) AS a, CASE least(a, b, c) WHEN a THEN b WHEN b THEN c ELSE a END AS b, CASE least(a, b, c) WHEN a THEN c WHEN b THEN a ELSE b END AS c FROM way"""
 
 
 def j1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,25 +319,26 @@ H2 = f"{JOINTS} SELECT mesh_id, joint_idx, joint, round(x::DOUBLE, 9) AS x, roun
 
 
 def h4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = rig.skin(*_joints(spark, sf_dir))
-    return w.groupBy("mesh_id", "vid").agg(F.count(F.lit(1)).alias("influences"), F.round(F.sum("w"), 9).alias("total"), F.round(F.max("w"), 6).alias("largest"))
+    return rig.skin(*_joints(spark, sf_dir)).select("mesh_id", "vid", "joint_idx", F.round("w", 9).alias("w"))
 
 
 WEIGHTS = f"""{JOINTS},
 raw AS (SELECT u.mesh_id, u.vid, joint_idx, 1 / greatest(sqrt((u.x - j.x) * (u.x - j.x) + (u.y - j.y) * (u.y - j.y) + (u.z - j.z) * (u.z - j.z)), 1e-6) AS w FROM unit u JOIN joints j USING (mesh_id)),
 top AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY mesh_id, vid ORDER BY w DESC, joint_idx) <= 4),
 weights AS (SELECT mesh_id, vid, joint_idx, w / sum(w) OVER (PARTITION BY mesh_id, vid) AS w FROM top)"""
-H4 = f"{WEIGHTS} SELECT mesh_id, vid, count(*) AS influences, round(sum(w)::DOUBLE, 9) AS total, round(max(w)::DOUBLE, 6) AS largest FROM weights GROUP BY ALL"
+H4 = f"{WEIGHTS} SELECT mesh_id, vid, joint_idx, round(w::DOUBLE, 9) AS w FROM weights"
 
 
 def h5_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = rig.pack_influences(rig.skin(*_joints(spark, sf_dir)))
-    return packed.select("mesh_id", "vid", F.size("joints").alias("n_joints"), F.round(F.col("weights")[0], 6).alias("first"), F.round(F.col("weights")[3], 6).alias("last"), "error")
+    return packed.select("mesh_id", "vid", F.array_join("joints", " ").alias("joints"), *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(4)], "error")
 
 
-H5 = f"""{WEIGHTS},
-p AS (SELECT mesh_id, vid, list(w ORDER BY w DESC, joint_idx) AS ws FROM weights GROUP BY ALL)
-SELECT mesh_id, vid, 4 AS n_joints, round(ws[1]::DOUBLE, 6) AS first, round(coalesce(ws[4], 0)::DOUBLE, 6) AS last, NULL::VARCHAR AS error FROM p"""
+PACKED = f"""{WEIGHTS},
+p AS (SELECT mesh_id, vid, list(w ORDER BY w DESC, joint_idx) AS ws, list_resize(list(joint_idx ORDER BY w DESC, joint_idx), 4, 0) AS js FROM weights GROUP BY ALL),
+packed AS (
+    SELECT mesh_id, vid, array_to_string(js, ' ') AS joints, {", ".join(f"round(coalesce(ws[{i + 1}], 0)::DOUBLE, 6) AS w{i}" for i in range(4))}, NULL::VARCHAR AS error FROM p)"""
+H5 = f"{PACKED} SELECT * FROM packed"
 
 
 def h6_bones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,13 +368,16 @@ def a8_rig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = views.vertices(spark, sf_dir), views.faces(spark, sf_dir)
     joints, packed, _ = pipelines.rig_meshes(v, f, _kinds(spark, sf_dir))
     rig_rows = media.rig_metadata(joints, rig.bones(joints), packed)
-    read = F.from_json("rig", "bones ARRAY<STRUCT<bone: STRING>>, joints ARRAY<STRUCT<joint: STRING>>, skin ARRAY<STRUCT<vid: BIGINT>>")
-    return rig_rows.select("mesh_id", read.alias("r")).select("mesh_id", F.coalesce(F.size("r.bones"), F.lit(0)).alias("n_bones"), F.size("r.joints").alias("n_joints"), F.size("r.skin").alias("n_skin"), F.col("r.joints")[0]["joint"].alias("root"))
+    read = F.from_json("rig", "bones ARRAY<STRUCT<bone: STRING>>, joints ARRAY<STRUCT<joint: STRING>>, skin ARRAY<STRUCT<vid: BIGINT, joints: ARRAY<INT>, weights: ARRAY<DOUBLE>>>")
+    names = lambda c: F.coalesce(F.array_join(F.transform(f"r.{c}s", lambda x: x[c]), " "), F.lit(""))
+    each = rig_rows.select("mesh_id", read.alias("r")).select("mesh_id", names("bone").alias("bones"), names("joint").alias("joint_names"), F.explode("r.skin").alias("s"))
+    return each.select("mesh_id", "bones", "joint_names", F.col("s.vid").alias("vid"), F.array_join("s.joints", " ").alias("joints"), *[F.round(F.col("s.weights")[i], 6).alias(f"w{i}") for i in range(4)])
 
 
-A8 = f"""{JOINTS}
-SELECT mesh_id, (n - 1)::INTEGER AS n_bones, n::INTEGER AS n_joints, v::INTEGER AS n_skin, root
-FROM (SELECT mesh_id, count(*) AS n, min_by(joint, joint_idx) AS root FROM joints GROUP BY 1) JOIN (SELECT mesh_id, count(*) AS v FROM vertices GROUP BY 1) USING (mesh_id)"""
+A8 = f"""{PACKED}, b AS (SELECT * FROM (VALUES {_bone_values()}) t(articulation, bone, parent, child)),
+named AS (SELECT mesh_id, string_agg(joint, ' ' ORDER BY joint_idx) AS joint_names FROM joints GROUP BY 1),
+boned AS (SELECT mesh_id, string_agg(bone, ' ' ORDER BY bone) AS bones FROM kinds JOIN b USING (articulation) GROUP BY 1)
+SELECT mesh_id, coalesce(bones, '') AS bones, joint_names, vid, joints, w0, w1, w2, w3 FROM packed JOIN named USING (mesh_id) LEFT JOIN boned USING (mesh_id)"""
 
 QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g11_decimate, g13_topology, g14_clean_report, g15_normals, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
-ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, None, G13, None, G15, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))
+ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, G11, G13, None, G15, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))

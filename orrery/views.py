@@ -75,9 +75,9 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(upload % 4 == 2, F.when(place < 2, F.element_at(images, at)).otherwise(F.element_at(videos, at)))
         .otherwise(F.when(place == 3, F.lit(".txt")).when(place == 4, F.lit("")).otherwise(F.element_at(images, at)))
     )
-    # Some uploads hold one file; some items repeat a name.
-    return d.filter((upload % 6 != 5) | (place == 0)).select(
-        upload.alias("upload_id"),
+    # Every file of an upload in six is an upload of its own; some items repeat a name.
+    return d.select(
+        F.when(upload % 6 == 5, 1_000_000_000 + F.col("doc_id")).otherwise(upload).alias("upload_id"),
         place.cast("int").alias("pos"),
         F.concat(F.lit("item_"), F.when(F.col("doc_id") % 11 == 4, F.col("doc_id") - 1).otherwise(F.col("doc_id")), ext).alias("filename"),
         F.when(F.col("doc_id") % 13 == 0, F.lit("IMAGE/x-raw")).when(F.col("doc_id") % 17 == 0, F.lit("video/x-raw")).alias("mime_type"),
@@ -87,14 +87,14 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEDIA_ITEMS = """
 media_items AS (
-    SELECT doc_id // 5 AS upload_id, (doc_id % 5)::INTEGER AS pos,
+    SELECT CASE WHEN doc_id // 5 % 6 = 5 THEN 1000000000 + doc_id ELSE doc_id // 5 END AS upload_id, (doc_id % 5)::INTEGER AS pos,
            'item_' || CASE WHEN doc_id % 11 = 4 THEN doc_id - 1 ELSE doc_id END ||
            CASE WHEN doc_id // 5 % 4 = 0 OR (doc_id // 5 % 4 = 2 AND doc_id % 5 < 2) OR (doc_id // 5 % 4 = 3 AND doc_id % 5 < 3)
                 THEN ['.jpg', '.PNG', '.webp', '.Tiff', '.bmp'][doc_id % 5 + 1]
                 WHEN doc_id // 5 % 4 < 3 THEN ['.mp4', '.MOV', '.webm', '.m4v', '.avi'][doc_id % 5 + 1]
                 WHEN doc_id % 5 = 3 THEN '.txt' ELSE '' END AS filename,
            CASE WHEN doc_id % 13 = 0 THEN 'IMAGE/x-raw' WHEN doc_id % 17 = 0 THEN 'video/x-raw' END AS mime_type, n_chars * 50000 AS size_bytes
-    FROM documents WHERE doc_id // 5 % 6 <> 5 OR doc_id % 5 = 0)"""
+    FROM documents)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
