@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from orrery import views
 from orrery.operators import jobs, sync
 from orrery.plans import pipelines
-from orrery.registry.capture import PLANNED
-from orrery.registry.uploads import REQUESTS_SQL, _requests
+from orrery.registry.capture import ENTRIES, PLANNED
+from orrery.registry.uploads import KIND_SQL, REQUESTS_SQL, _requests
 from orrery.sources import media
 from orrery.streaming import live
 
@@ -76,12 +76,15 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k1_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _payloads(spark, sf_dir)
-    return p.select("upload_id", "source_type", "frame_count", F.col("resolution.w").alias("w"), F.col("resolution.h").alias("h"), F.col("frames")[0]["frame_id"].alias("first_frame"), F.element_at("frames", -1)["frame_id"].alias("last_frame"))
+    camera = lambda c: F.col(f"{c}.camera_intrinsics.focal_length_35mm")
+    ends = p.withColumn("a", F.col("frames")[0]).withColumn("z", F.element_at("frames", -1))
+    return ends.select("upload_id", "source_type", "frame_count", F.col("resolution.w").alias("w"), F.col("resolution.h").alias("h"), F.col("a.frame_id").alias("first_frame"), F.col("z.frame_id").alias("last_frame"), camera("z").alias("last_f"), F.col("camera_intrinsics.focal_length_35mm").alias("f"))
 
 
 K1 = f"""{views.sql(views.FRAMES, views.UPLOADS)}
-SELECT upload_id, source_type, count(*)::INTEGER AS frame_count, min_by(width, pos) AS w, min_by(height, pos) AS h, min_by(frame_id, pos) AS first_frame, max_by(frame_id, pos) AS last_frame
-FROM uploads JOIN frames USING (upload_id) GROUP BY ALL"""
+SELECT upload_id, source_type, frame_count, w, h, first_frame, last_frame, fs[len(fs)] AS last_f, CASE WHEN source_type IN ('single_image', 'image_folder') THEN fs[1] END AS f
+FROM (SELECT upload_id, source_type, count(*)::INTEGER AS frame_count, min_by(width, pos) AS w, min_by(height, pos) AS h, min_by(frame_id, pos) AS first_frame, max_by(frame_id, pos) AS last_frame, list(focal_length_35mm ORDER BY pos) AS fs
+      FROM uploads JOIN frames USING (upload_id) GROUP BY ALL)"""
 
 
 def a3_payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +92,10 @@ def a3_payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = p.select(F.col("upload_id").cast("string").alias("upload_id"), *[c for c in p.columns if c != "upload_id"])
     back = media.parse_payload_json(media.to_payload_json(payload))
     frames = back.select("upload_id", F.explode("frames").alias("f"))
-    return frames.select("upload_id", "f.frame_id", "f.uri", "f.index", "f.source_id", "f.timestamp_ms", "f.motion_score")
+    return frames.select("upload_id", "f.frame_id", "f.uri", "f.index", "f.source_id", "f.timestamp_ms", "f.motion_score", F.col("f.resolution.w").alias("w"), F.col("f.camera_intrinsics.focal_length_35mm").alias("f35"))
 
 
-A3 = f"""{views.sql(views.FRAMES)} SELECT upload_id::VARCHAR AS upload_id, frame_id, uri, "index", source_id, timestamp_ms, motion_score FROM frames"""
+A3 = f"""{views.sql(views.FRAMES)} SELECT upload_id::VARCHAR AS upload_id, frame_id, uri, "index", source_id, timestamp_ms, motion_score, width AS w, focal_length_35mm AS f35 FROM frames"""
 
 
 def a7_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +116,32 @@ FROM orders"""
 
 def p1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = views.media_items(spark, sf_dir)
-    p = pipelines.ingest(items.select("upload_id").distinct(), items, views.frames(spark, sf_dir))
-    return p.select("upload_id", "source_type", "frame_count", F.coalesce(F.size("sync_map"), F.lit(0)).alias("sync_entries"))
+    p = pipelines.ingest(items.select("upload_id").distinct(), items, views.frames(spark, sf_dir).withColumn("fps", F.lit(12.0)))
+    return p.select("upload_id", "source_type", "frame_count", F.coalesce(F.size("sync_map"), F.lit(0)).alias("sync_entries"), F.col("sync_group_id").isNotNull().alias("grouped"))
+
+
+_ALL = views.FRAMES.replace("frames AS (", "decoded AS (", 1)
+_SAMPLED = f"""{views.MEDIA_ITEMS},
+named AS (SELECT upload_id, filename, max_by({KIND_SQL}, pos) AS kind, count(*) AS n, max(size_bytes) AS largest FROM media_items GROUP BY ALL),
+grouped AS (SELECT upload_id, sum(n) AS n, list_sort(list(DISTINCT kind)) AS kinds FROM named GROUP BY 1 HAVING max(largest) <= 536870912),
+classes AS (
+    SELECT upload_id, CASE WHEN kinds = ['single_image'] THEN CASE WHEN n = 1 THEN 'single_image' ELSE 'image_folder' END
+                           WHEN kinds = ['single_video'] THEN CASE WHEN n = 1 THEN 'single_video' ELSE 'video_folder' END END AS source_type FROM grouped),
+steps AS (
+    SELECT d.*, row_number() OVER (PARTITION BY upload_id, source_id ORDER BY "index") AS nth,
+           CASE WHEN coalesce(motion_score, 0) >= 0.18 THEN 4 WHEN coalesce(motion_score, 0) >= 0.055 THEN 12 ELSE 24 END AS step FROM decoded d JOIN classes USING (upload_id)),
+walk AS (
+    SELECT upload_id, source_id, nth, true AS kept, "index" AS last FROM steps WHERE nth = 1
+    UNION ALL
+    SELECT s.upload_id, s.source_id, s.nth, s."index" - w.last >= s.step, CASE WHEN s."index" - w.last >= s.step THEN s."index" ELSE w.last END
+    FROM walk w JOIN steps s ON s.upload_id = w.upload_id AND s.source_id = w.source_id AND s.nth = w.nth + 1),
+frames AS (
+    SELECT s.* EXCLUDE (nth, step) FROM steps s JOIN classes USING (upload_id) LEFT JOIN walk w USING (upload_id, source_id, nth)
+    WHERE source_type IS NOT NULL AND (w.kept OR source_type NOT IN ('single_video', 'video_folder')))"""
+P1 = f"""{ENTRIES.replace(views.FRAMES, _ALL + "," + _SAMPLED)}
+SELECT upload_id, source_type, coalesce(n, 0)::INTEGER AS frame_count, CASE WHEN source_type = 'video_folder' THEN coalesce(m, 0) ELSE 0 END::INTEGER AS sync_entries, source_type = 'video_folder' AS grouped
+FROM classes LEFT JOIN (SELECT upload_id, count(*) AS n FROM frames GROUP BY 1) USING (upload_id) LEFT JOIN (SELECT upload_id, count(*) AS m FROM kept GROUP BY 1) USING (upload_id)
+WHERE source_type IS NOT NULL"""
 
 
 def p2_plan_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,4 +184,4 @@ SELECT o_orderkey AS job_key, track, coalesce(error, CASE WHEN o_orderkey % 10 =
 FROM t"""
 
 QUERIES = {f.__name__: f for f in (a3_payload_round_trip, a7_manifests, i1_decisions, i2_snapshot, i3_dropped, i4_rate_limit, i6_headers, k1_payloads, p1_ingest, p2_plan_jobs, p4_deliver)}
-ORACLES = dict(zip(QUERIES, (A3, A7, I1, I2, I3, I4, I6, K1, None, P2, P4), strict=True))
+ORACLES = dict(zip(QUERIES, (A3, A7, I1, I2, I3, I4, I6, K1, P1, P2, P4), strict=True))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.scalars import IMAGE_EXTENSIONS, suffix
+from orrery.operators.contracts import check, payload_rules
 
-PAYLOAD_SCHEMA = """
-    upload_id STRING, source_type STRING, track STRING, sync_group_id STRING, compute_priority_score DOUBLE, frame_count INT, resolution STRUCT<w: INT, h: INT>,
-    frames ARRAY<STRUCT<pos: BIGINT, frame_id: STRING, uri: STRING, index: INT, source_id: STRING, timestamp_ms: DOUBLE, motion_score: DOUBLE>>,
+INTRINSICS = "focal_length_mm double, focal_length_35mm double, make string, model string, lens_model string"
+_CAMERA = "STRUCT<" + ", ".join(": ".join(f.split()) for f in INTRINSICS.split(", ")) + ">"
+PAYLOAD_SCHEMA = f"""
+    upload_id STRING, source_type STRING, track STRING, sync_group_id STRING, compute_priority_score DOUBLE, frame_count INT, resolution STRUCT<w: INT, h: INT>, camera_intrinsics {_CAMERA},
+    frames ARRAY<STRUCT<pos: BIGINT, frame_id: STRING, uri: STRING, index: INT, source_id: STRING, timestamp_ms: DOUBLE, motion_score: DOUBLE, resolution: STRUCT<w: INT, h: INT>, camera_intrinsics: {_CAMERA}>>,
     sync_map ARRAY<STRUCT<anchor_timestamp_ms: DOUBLE, aligned_frames: MAP<STRING, INT>, offsets_ms: MAP<STRING, DOUBLE>>>, metadata MAP<STRING, STRING>
 """
 CORRUPT = "_corrupt"
@@ -32,6 +35,14 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{PAYLOAD_SCHEMA}, {CORRUPT} STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
+def checked_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(payloads that keep the contract, the others with their ``violations``); one that didn't parse breaks ``corrupt``."""
+    rules = payload_rules()
+    if CORRUPT in payloads.columns:
+        rules = {"corrupt": F.col(CORRUPT).isNull()} | rules
+    return check(payloads, rules)
+
+
 def write_payloads(payloads: DataFrame, path: str) -> None:
     """Payloads as JSON lines that ``read_payloads`` reads back."""
     payloads.drop(CORRUPT).write.json(path)
