@@ -376,3 +376,51 @@ def test_only_the_entry_knows_the_training_operators():
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name)) as lines:
                         assert "orrery.llm" not in lines.read(), name
+
+
+def test_holes_of_mixed_winding(spark):
+    v, f = tables(spark, sphere(cap=True))
+    mixed = f.withColumn("vids", F.when(F.col("fid") % 3 == 0, F.reverse("vids")).otherwise(F.col("vids")))
+    fv, ff = mesh.fill_holes(v, mixed, 2.0)
+    assert ff.count() == ff.select("fid").distinct().count() and mesh.topology(ff).first()["is_watertight"]
+    out = pipelines.clean_meshes(v, mixed, contracts.MeshCleaningConfig(smoothing_iters=0, hole_size=2.0))
+    assert out.reports.first()["is_watertight"] and out.faces.count() == ff.count()
+
+
+def test_empty_and_uncoloured_meshes(spark):
+    v, f = tables(spark, sphere(), sphere(mesh_id=2), sphere(mesh_id=3))
+    # All points of mesh 2 are one; of mesh 3 only a vertex without faces has a colour.
+    v = v.withColumn("x", F.when(F.col("mesh_id") == 2, F.lit(1.0)).otherwise(F.col("x"))).withColumn("y", F.when(F.col("mesh_id") == 2, F.lit(1.0)).otherwise(F.col("y"))).withColumn("z", F.when(F.col("mesh_id") == 2, F.lit(1.0)).otherwise(F.col("z")))
+    v = v.withColumn("color", F.when(F.col("mesh_id") != 3, F.col("color")))
+    lone = spark.createDataFrame([(3, 10_000, 900.0, 0.0, 0.0, [0.25, 0.5, 0.75])], v.schema)
+    # A point cloud's faces degenerate: their corners are welded into one.
+    out = pipelines.clean_meshes(v.unionByName(lone), f, contracts.MeshCleaningConfig(smoothing_iters=0, merge_tolerance=0.0))
+    assert {r["mesh_id"] for r in out.reports.collect()} >= {1, 3}
+    assert out.vertices.filter("mesh_id = 3 and color[0] = 0.25").count() == out.vertices.filter("mesh_id = 3").count() > 0
+    welded = pipelines.clean_meshes(v, f, contracts.MeshCleaningConfig(smoothing_iters=0, merge_tolerance=10.0))
+    assert {(r["mesh_id"], r["error"]) for r in welded.errors.collect()} >= {(1, "Final mesh is empty after cleaning")}
+    assert welded.reports.filter("mesh_id = 1").count() == 0
+
+
+def test_failures_of_a_run_name_their_step(spark):
+    v, f = tables(spark, sphere())
+    with pytest.raises(mesh.MeshStepError, match="step 'weld' failed"):
+        mesh.run_step("weld", lambda: v.withColumn("x", F.raise_error(F.lit("late")).cast("double")))
+
+
+def test_defaults_of_the_configuration():
+    c = contracts.MeshCleaningConfig()
+    assert (c.min_cell_count, c.pass_band, c.merge_tolerance) == (500, 0.1, 1e-5)
+
+
+def test_synchronised_jobs(spark):
+    frames = spark.createDataFrame(
+        [("u", s, o, 10 * o + i, f"{s}{i}", f"{s}{i}.png", i, 0.1 * i) for o, s in enumerate("ab") for i in range(3)], "upload_id string, source_id string, source_order int, pos long, frame_id string, uri string, index int, motion_score double"
+    )
+    frames = frames.unionByName(frames.withColumn("upload_id", F.lit("w"))).unionByName(frames.withColumn("upload_id", F.lit("x")).withColumn("uri", F.when(F.col("frame_id") != "b1", F.col("uri"))))
+    entries = spark.createDataFrame([("u", 0, "a", 0), ("u", 0, "b", 0), ("u", 1, "a", 1), ("u", 1, "b", 1), ("w", 0, "a", 0), ("w", 0, "b", 9), ("x", 0, "a", 0)], "upload_id string, entry_pos int, source_id string, index int")
+    uploads = spark.createDataFrame([(u, "video_folder") for u in "uwx"], "upload_id string, source_type string")
+    used, errors = jobs.used_frames(uploads, frames, entries)
+    job = jobs.assemble(uploads.filter("upload_id = 'u'"), used).first()
+    assert job["image_uris"] == ["a0.png", "b0.png", "a1.png", "b1.png"] and (job["n_frames"], job["sync_group_count"]) == (6, 2)
+    assert {r["upload_id"]: r["error"] for r in errors.collect()} == {"w": "sync_map references a frame that is not present in the payload: b[9]", "x": "Frame b1 is missing a normalized asset URI"}
