@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 one's ``docs``. All but the last return the columns of ``documents``:
 
 1. language ID: documents whose text is in none of the learned languages go;
-2. exact dedup: of equal texts the document with the largest id stays;
+2. exact dedup: of equal texts one row stays, that of the largest id;
 3. near-dedup: of texts linked by word shingles (five words, similarity 0.8) the document with the smallest id stays;
 4. secret scan: credentials that look live are redacted, copied examples stay; no document goes;
 5. packing: token pieces placed in sequences of 2048.
@@ -53,7 +53,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Neither the language models nor the tokenizer can be put in SQL; the tests hold the stages against brute force.
+#: Neither the language models nor the tokenizer can be put in SQL. The tests hold exact and near duplicates against all
+#: pairs, redaction against the texts before it, and the models and the packing each against their definitions.
 ORACLE_SQL: str | None = None
 
 
