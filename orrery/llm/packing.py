@@ -6,7 +6,8 @@ sequences, and local search closes them. The search takes one underfull sequence
 gives its pieces to fuller ones, by moves and by exchanges of one or two of its pieces for one, and moves the pieces of
 whole sequences into the room of others, as long as that raises the sum of squared fills. It ends with the fewest
 sequences that the tokens can fill, or when no step is left. What is underfull then, in all groups, is dealt into new
-groups and searched again, until it is a single group.
+groups and searched again, until it is a single group, or until a round leaves nearly as many sequences underfull as it
+was given: pieces that can't be combined (all of more than half a sequence, say) end there.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import slices, written
+from orrery.llm.scratch import dropped, slices, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Sequences' worth of tokens, and pieces, that a group has on average at most.
 SEQUENCES_PER_GROUP, PIECES_PER_GROUP = 2000, 20_000
+#: Sequences that a group of a later round has on average at least; they hold no more pieces than a group may have.
+LEAST_SEQUENCES = 8
 #: Sequences with at least this part of their room free after a round are searched again with those of other groups.
 UNDERFULL = 1 / 16
+#: Another round follows one that left at most this part of its sequences underfull: rounds shrink by a constant factor.
+STILL_OPEN = 7 / 8
 #: Texts with more characters than this are encoded by the library whose splitting needs no stack.
 LONG_TEXT = 100_000
 
@@ -266,7 +271,8 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     return Search(lengths, bins, capacity).run()
 
 
-_ROUND, _GROUP = 1 << 56, 1 << 24
+# Numbers of sequences: round, group, and place in the group. 1,023 rounds fit, more than any 64-bit count of rows takes.
+_ROUND, _GROUP = 1 << 53, 1 << 24
 
 
 def _pack(capacity: int, nth: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -295,17 +301,25 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
     columns of ``docs`` don't matter. Texts of any length are encoded whole.
     """
     zero = F.lit(0).cast("long")
-    left = written(pieces(docs, text, doc_id, capacity, ranks_path, with_ids), "pack-pieces").select("*", zero.alias("sequence_id"), zero.alias("offset"), zero.alias("fill"))
-    done, nth, key = None, 0, F.xxhash64(F.monotonically_increasing_id())
+    left = written(pieces(docs, text, doc_id, capacity, ranks_path, with_ids).select("*", *[zero.alias(c) for c in ("sequence_id", "offset", "fill")]), "pack-pieces")
+    done, nth, key, n_open = None, 0, F.xxhash64(F.monotonically_increasing_id()), None
+    again = F.col("fill") <= capacity * (1 - UNDERFULL)
     while True:
         tokens, n = left.agg(F.sum("length"), F.count(F.lit(1))).first()
-        n_groups = max(1, -(-(tokens or 0) // (SEQUENCES_PER_GROUP * capacity)), -(-n // PIECES_PER_GROUP))
+        by_pieces = -(-n // PIECES_PER_GROUP)
+        if n_open is not None:
+            by_pieces = min(by_pieces, n_open // LEAST_SEQUENCES)
+        n_groups = max(1, -(-(tokens or 0) // (SEQUENCES_PER_GROUP * capacity)), by_pieces)
         placed = left.groupBy(F.pmod(key, F.lit(n_groups)).alias("group")).applyInPandas(_pack(capacity, nth), left.schema)
         if n_groups == 1:
             break
         placed = written(placed, "pack-placed")
-        again = F.col("fill") <= capacity * (1 - UNDERFULL)
-        closed, left = placed.filter(~again), placed.filter(again)
+        dropped(left)
+        given, n_open = n_open, placed.filter(again & (F.col("offset") == 0)).count()
+        if not n_open or (given is not None and n_open > STILL_OPEN * given):
+            break
+        closed, left = written(placed.filter(~again), "pack-closed"), written(placed.filter(again), "pack-open")
+        dropped(placed)
         done = closed if done is None else done.unionByName(closed)
         nth, key = nth + 1, F.xxhash64("sequence_id")
     out = placed if done is None else done.unionByName(placed)

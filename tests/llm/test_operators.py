@@ -239,6 +239,29 @@ def test_local_search_fills():
         assert fill.max() <= 100 and (fill > 0).sum() == best
 
 
+def test_packing_ends(spark, monkeypatch):
+    # Documents of more than half a sequence can't be combined, alone or beside few short ones: rounds end without progress.
+    lengths = lambda df: sorted(r[1] for r in df.groupBy("sequence_id").agg(F.sum("length")).collect())
+    rounds = []
+    monkeypatch.setattr(packing, "dropped", lambda *t, inner=packing.dropped: (rounds.append(len(t)), inner(*t)))
+    long = [(i, " a" * 1200, "en", "s") for i in range(4500)]
+    assert lengths(packing.pack(table(spark, long))) == [1201] * 4500
+    assert len(rounds) < 8
+    rounds.clear()
+    short = [(10_000 + i, " a" * (100 + i % 300), "en", "s") for i in range(3000)]
+    packed = packing.pack(table(spark, long + short))
+    got = lengths(packed)
+    assert packed.count() == 7500 and max(got) <= 2048 and len(rounds) < 30
+    total = 4500 * 1201 + sum(101 + i % 300 for i in range(3000))
+    assert sum(got) == total and len(got) == 4500  # no two long ones fit together, and the room beside them takes the short ones
+    # Groups whose pieces fill up only together go on until one group is left, and no table of a round before stays.
+    monkeypatch.setattr(packing, "PIECES_PER_GROUP", 300)
+    mixed = packing.pack(table(spark, [(i, " a" * (600 + 17 * (i % 60)), "en", "s") for i in range(1500)]))
+    each = np.array([601 + 17 * (i % 60) for i in range(1500)])
+    got = lengths(mixed)
+    assert sum(got) == each.sum() and mixed.count() == 1500 and max(got) <= 2048 and len(got) <= 1.01 * len(set(packing.fewest(each, 2048).tolist()))
+
+
 def test_codec(spark, rows):
     from sentencepiece import SentencePieceProcessor
 
