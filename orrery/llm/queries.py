@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.centroids import clustered, with_inertia
 from orrery.llm.chat_format import digest_formatted, format_conversations
+from orrery.llm.collocations import collocations
 from orrery.llm.exact_dedup import exact_groups
 from orrery.llm.html_extract import extract
 from orrery.llm.language_id import fit, identify, learnable
@@ -17,6 +19,7 @@ from orrery.llm.quality_rules import quality
 from orrery.llm.secret_scan import find_secrets
 from orrery.llm.sentencepiece_codec import round_trip
 from orrery.llm.sharding import interleaved_shards
+from orrery.llm.url_filter import PATTERN_RULES, SITE_RULES, judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), (*SITE_RULES, *PATTERN_RULES)).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_html_extract": op9_html_extract,
     "op10_sharding": op10_sharding,
+    "op11_centroids": op11_centroids,
+    "op12_collocations": op12_collocations,
+    "op13_url_filter": op13_url_filter,
 }
 
 OP6_SQL = r"""
@@ -190,4 +208,91 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard,
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_chat_format": OP8_SQL, "op7_exact_dedup": OP7_SQL, "op10_sharding": OP10_SQL}
+
+
+def _op11_sql(rounds: int = 10) -> str:
+    """Rounds as pairs of common tables: a{k} assigns, c{k} holds the centroids after round k."""
+    far = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} AS MATERIALIZED (SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT rid, cluster, {far} AS d FROM v, c{k} c) GROUP BY rid)"
+        )
+        if k < rounds:
+            steps.append(
+                f"""s{k} AS (SELECT cluster, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT a.cluster, unnest(v.q) AS x, generate_subscripts(v.q, 1) AS i FROM a{k} a JOIN v USING (rid)) GROUP BY cluster, i),
+m{k} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM s{k} GROUP BY cluster),
+c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m USING (cluster))"""
+            )
+    last = f"a{rounds}"
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+    SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, q) - 1)::INTEGER AS cluster, q FROM v
+    ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, q LIMIT 8),
+{", ".join(steps)}
+SELECT vec_id, a.cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM {last} a JOIN v USING (rid) JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
+
+OP11_SQL = _op11_sql()
+
+OP12_SQL = r"""
+WITH p AS (
+    SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+s AS (SELECT pid, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
+t AS (
+    SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM s WINDOW o AS (PARTITION BY pid ORDER BY i)),
+f AS (
+    SELECT lang, 1 AS size, w1 AS phrase, count(*) AS a FROM t GROUP BY lang, w1
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM t WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM t WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+    UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM t WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+x AS (
+    SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, (2000000::HUGEINT * k.a) // (l.a + r.a) AS score
+    FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k.k + 1:], ' ')),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+m AS (SELECT lang, size, a, w, unnest(range(2, size)) AS m FROM c),
+b AS (SELECT lang, a, w, m, unnest(range(1, size - m + 2)) AS i FROM m),
+g AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM b GROUP BY ALL),
+z AS (
+    SELECT y.*, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM y LEFT JOIN g USING (lang, phrase) WHERE g.longer IS NULL OR 100 * g.longer < 80 * y.a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+_PATTERNS = ", ".join(f"('{r.pattern}', '{r.verdict}')" for r in PATTERN_RULES)
+
+OP13_SQL = rf"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+    SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM u),
+s AS (
+    SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                   WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                   WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                   WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM h),
+r AS (
+    SELECT pattern, verdict, CASE WHEN starts_with(pattern, '||') THEN '^([^/]*[.])?' ELSE '' END
+           || replace(replace(replace(ltrim(pattern, '|'), '.', '[.]'), '*', '.*'), '^', '([^a-z0-9]|$)') AS expression
+    FROM (VALUES {_PATTERNS}) AS t(pattern, verdict)),
+m AS (
+    SELECT rid, arg_min(r.pattern, (-length(r.pattern), r.pattern)) AS pattern, arg_min(r.verdict, (-length(r.pattern), r.pattern)) AS verdict
+    FROM s JOIN r ON s.rule IS NULL AND regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), r.expression, 's')
+    GROUP BY rid)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(m.verdict, 'allow') END AS verdict, m.pattern AS pattern
+FROM s LEFT JOIN m USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_chat_format": OP8_SQL, "op7_exact_dedup": OP7_SQL, "op10_sharding": OP10_SQL, "op11_centroids": OP11_SQL, "op12_collocations": OP12_SQL, "op13_url_filter": OP13_SQL}

@@ -30,7 +30,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(queries.ORACLES[name])
     df = queries.QUERIES[name](spark, SF)
