@@ -59,7 +59,7 @@ def starting(held: DataFrame, centroids: int = CENTROIDS, seed: str = SEED) -> n
     """The vectors whose ids have the smallest sha256, in that order; null ids come last, repeated ids by components."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = held.select(digest.alias("digest"), "q").orderBy(F.col("digest").asc_nulls_last(), "q").limit(centroids).collect()
-    return np.array([r["q"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["q"] for r in rows], np.int64)
 
 
 def _round(old: np.ndarray | None, new: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -68,7 +68,6 @@ PATTERN_RULES = (
     *[Rule(f"||{w}{sep}") for w in ADVERTS for sep in ".-"],
     *[Rule(f"||*-{w}{sep}") for w in TRADES for sep in ".-"],
     *[Rule(f"/{w}/") for w in (*TRADES, *ADVERTS)],
-    *[Rule(f"/{w}-*^", ALLOW) for w in ("anti", "against", "stop", "report")],
 )
 
 
