@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.components import connected_components
+from orrery.operators.decimation import decimate as decimate
 from orrery.sources.scratch import written
 
 # Names of arrays that hold vertex colours.
@@ -208,26 +209,6 @@ def weld(vertices: DataFrame, faces: DataFrame, tolerance: float) -> tuple[DataF
     return _weld(vertices, faces, bounds(vertices).select("mesh_id", (F.col("diagonal") * tolerance).alias("size")))
 
 
-def decimate(vertices: DataFrame, faces: DataFrame, reduction: float, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Clusters vertices on grids of growing cells until a mesh has at most (1 - ``reduction``) of its faces."""
-    target = faces.groupBy("mesh_id").agg(F.floor(F.count(F.lit(1)) * (1 - reduction)).alias("target"))
-    size = bounds(vertices).select("mesh_id", (F.col("diagonal") / F.sqrt(F.lit(2.0)) / 64).alias("size"))
-    open_meshes, done_v, done_f = target, None, None
-    v, f = written(vertices, "mesh-v"), written(faces, "mesh-f")
-    for k in range(rounds):
-        cell = size.join(open_meshes, "mesh_id", "left_semi").select("mesh_id", (F.col("size") * (1.5**k)).alias("size"))
-        nv, nf = (written(x, "mesh-cluster") for x in _weld(v, f, cell))
-        met = open_meshes.join(nf.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")), "mesh_id", "left")
-        over = written(met.filter(F.coalesce("n", F.lit(0)) > F.col("target")).select("mesh_id", "target"), "mesh-open")
-        ready = lambda df: df.join(over, "mesh_id", "left_anti")
-        done_v, done_f = (ready(nv), ready(nf)) if done_v is None else (done_v.unionByName(ready(nv)), done_f.unionByName(ready(nf)))
-        open_meshes = over
-        v, f = v.join(over, "mesh_id", "left_semi"), f.join(over, "mesh_id", "left_semi")
-        if over.isEmpty():
-            break
-    return done_v, done_f
-
-
 def face_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(mesh_id, fid, nx, ny, nz) of triangles; a normal is as long as twice the triangle's area."""
     corner = vertices.select("mesh_id", "vid", F.struct(*XYZ).alias("p"))

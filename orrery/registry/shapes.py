@@ -198,22 +198,29 @@ SELECT mesh_id, vid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM g
 
 
 def g11_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, f = mesh.decimate(views.vertices(spark, sf_dir), mesh.triangulate(views.faces(spark, sf_dir)), 0.5)
-    return f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.aggregate("vids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("corner_sum"))
-
-
-# A round clusters the mesh on cells half as large again as those of the round before; the first one within the budget counts.
-G11 = f"""{views.sql(views.CELLS, views.FACES, views.VERTICES)},
-tri AS (SELECT mesh_id, fid, 0 AS k, [vids[1], vids[2], vids[3]] AS vids FROM faces UNION ALL SELECT mesh_id, fid, 1, [vids[1], vids[3], vids[4]] FROM faces WHERE len(vids) = 4),
-goal AS (SELECT mesh_id, floor(count(*) * 0.5::DOUBLE) AS target FROM tri GROUP BY 1),
-d AS (SELECT mesh_id, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) / sqrt(2.0::DOUBLE) / 64 AS size FROM vertices GROUP BY 1),
-c AS (SELECT mesh_id, nth, size * power(1.5::DOUBLE, nth) AS size FROM d, range(12) t(nth)),
-p AS (
-    SELECT mesh_id, nth, vid, min(vid) OVER (PARTITION BY mesh_id, nth, floor(x / size + 0.5::DOUBLE), floor(y / size + 0.5::DOUBLE), floor(z / size + 0.5::DOUBLE)) AS t FROM vertices JOIN c USING (mesh_id)),
-e AS (SELECT mesh_id, fid, k, unnest(vids) AS vid FROM tri),
-n AS (SELECT mesh_id, nth, fid, k, sum(t) AS s FROM e JOIN p USING (mesh_id, vid) GROUP BY ALL HAVING count(DISTINCT t) = 3),
-m AS (SELECT mesh_id, nth, count(*) AS n_cells, sum(s)::BIGINT AS corner_sum FROM n GROUP BY ALL)
-SELECT mesh_id, n_cells, corner_sum FROM m JOIN goal USING (mesh_id) WHERE n_cells <= target QUALIFY row_number() OVER (PARTITION BY mesh_id ORDER BY nth) = 1"""
+    tri = mesh.triangulate(views.faces(spark, sf_dir))
+    _, f = mesh.decimate(views.vertices(spark, sf_dir), tri, 0.5)
+    n = lambda df, name: df.groupBy("mesh_id").agg(F.count(F.lit(1)).alias(name))
+    points_ = f.select("mesh_id", F.explode("vids").alias("vid")).distinct()
+    bodies = mesh.components(f).select("mesh_id", "component").distinct()
+    edges = mesh.edge_uses(f)
+    each = n(f, "cells").join(n(points_, "points"), "mesh_id").join(n(edges, "edges"), "mesh_id").join(n(bodies, "bodies"), "mesh_id").join(n(tri, "before"), "mesh_id")
+    each = each.join(edges.groupBy("mesh_id").agg(F.count_if(F.col("uses") > 2).alias("non_manifold_edge_count")), "mesh_id")
+    return each.select("mesh_id", "bodies", (F.col("points") - F.col("edges") + F.col("cells")).alias("euler"), "non_manifold_edge_count", (F.col("cells") <= F.floor(F.col("before") * 0.5)).alias("within_budget"))
+
+
+# What a decimation must leave as it is: bodies, Euler number and overused edges of the triangles before it.
+G11 = f"""{views.sql(views.CELLS, views.FACES, recursive=True)},
+tri AS (SELECT mesh_id, vids[1] AS a, vids[2] AS b, vids[3] AS c FROM faces UNION ALL SELECT mesh_id, vids[1], vids[3], vids[4] FROM faces WHERE len(vids) = 4),
+side AS (SELECT mesh_id, least(p, q) AS lo, greatest(p, q) AS hi FROM (SELECT mesh_id, a AS p, b AS q FROM tri UNION ALL SELECT mesh_id, b, c FROM tri UNION ALL SELECT mesh_id, c, a FROM tri)),
+edge AS (SELECT mesh_id, lo, hi, count(*) AS uses FROM side GROUP BY ALL),
+both_ AS (SELECT mesh_id, lo AS p, hi AS q FROM edge UNION ALL SELECT mesh_id, hi, lo FROM edge),
+reach AS (SELECT DISTINCT mesh_id, p AS vid, p AS seen FROM both_ UNION SELECT r.mesh_id, l.q, r.seen FROM reach r JOIN both_ l ON r.mesh_id = l.mesh_id AND r.vid = l.p AND r.seen < l.q),
+label AS (SELECT mesh_id, vid, min(seen) AS part FROM reach GROUP BY ALL),
+v AS (SELECT mesh_id, count(*) AS points, count(DISTINCT part) AS bodies FROM label GROUP BY 1),
+e AS (SELECT mesh_id, count(*) AS edges, count(*) FILTER (uses > 2) AS non_manifold_edge_count FROM edge GROUP BY 1),
+f AS (SELECT mesh_id, count(*) AS cells FROM tri GROUP BY 1)
+SELECT mesh_id, bodies, points - edges + cells AS euler, non_manifold_edge_count, true AS within_budget FROM v JOIN e USING (mesh_id) JOIN f USING (mesh_id)"""
 
 
 def _turned(vids: Column) -> Column:

@@ -424,3 +424,61 @@ def test_synchronised_jobs(spark):
     job = jobs.assemble(uploads.filter("upload_id = 'u'"), used).first()
     assert job["image_uris"] == ["a0.png", "b0.png", "a1.png", "b1.png"] and (job["n_frames"], job["sync_group_count"]) == (6, 2)
     assert {r["upload_id"]: r["error"] for r in errors.collect()} == {"w": "sync_map references a frame that is not present in the payload: b[9]", "x": "Frame b1 is missing a normalized asset URI"}
+
+
+CUBE = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
+
+
+def cube(mesh_id, size=(1.0, 1.0, 1.0), first=0, first_face=0, shift=0.0):
+    v = [(mesh_id, first + k, shift + size[0] * (k >> 2), size[1] * (k >> 1 & 1), size[2] * (k & 1), [0.1, 0.2, 0.3]) for k in range(8)]
+    return v, [(mesh_id, first_face + i, [first + c for c in f]) for i, f in enumerate(CUBE)]
+
+
+def shape_of(faces):
+    """(cells, bodies, Euler number, open edges, overused edges) of triangles."""
+    uses, up = {}, {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for f in faces:
+        for a, b in zip(f, (*f[1:], f[0]), strict=True):
+            uses[min(a, b), max(a, b)] = uses.get((min(a, b), max(a, b)), 0) + 1
+            up[top(a)] = top(b)
+    return len(faces), len({top(x) for x in up}), len(up) - len(uses) + len(faces), sum(n == 1 for n in uses.values()), sum(n > 2 for n in uses.values())
+
+
+def test_decimation_keeps_topology(spark):
+    holed, pinched = plane(12, mesh_id=6), plane(12, mesh_id=7)
+    gone = {6: {40, 41, 90, 91}, 7: {40, 41, 66, 67}}  # two holes apart, and two that share a corner
+    holed, pinched = ((v, [f for f in faces if f[1] not in gone[m]]) for m, (v, faces) in ((6, holed), (7, pinched)))
+    two = [x + y for x, y in zip(cube(4), cube(4, first=8, first_face=12, shift=5.0), strict=True)]
+    shapes = [sphere(64, 63, cap=True), cube(2), cube(3, (10.0, 1.0, 0.01)), two, ([(5, k, float(k), float(k * k), 0.0, None) for k in range(3)], [(5, 0, [0, 1, 2])]), holed, pinched, sphere(24, 23, cap=True, mesh_id=8)]
+    v, f = tables(spark, *shapes)
+    f = mesh.triangulate(f)
+    listed = lambda df: {m: [r["vids"] for r in rows] for m in range(1, 9) for rows in [[r for r in df.collect() if r["mesh_id"] == m]]}
+    before = listed(f)
+    for reduction, patch in ((0.5, 40_000), (0.9, 40_000), (0.5, 600)):
+        dv, df = mesh.decimate(v, f, reduction, patch_faces=patch)
+        after = listed(df)
+        for m in before:
+            (n, *was), (left, *now) = shape_of(before[m]), shape_of(after[m])
+            assert now[:2] == was[:2] and now[2] <= was[2] and now[3] == was[3] == 0, m
+            assert left <= n and (left <= int(n * (1 - reduction)) or m in (2, 3, 4, 5, 6, 7)), (m, n, left)
+            if reduction == 0.5:
+                assert left <= n // 2 or m == 5
+        assert len(after[5]) == 1
+        ids = {(r["mesh_id"], r["vid"]) for r in dv.collect()}
+        assert ids == {(m, x) for m, faces in after.items() for face in faces for x in face}
+        radius = dv.filter("mesh_id = 1").select(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2).alias("r")).agg(F.min("r"), F.max("r")).first()
+        assert 0.45 < radius[0] <= radius[1] < 0.51
+        assert df.join(f.select("mesh_id", "fid"), ["mesh_id", "fid"]).count() == df.count() == df.select("mesh_id", "fid").distinct().count()
+    assert mesh.decimate(v.limit(0), f.limit(0), 0.5)[1].count() == 0
+
+
+def test_decimated_mesh_stays_in_cleaning(spark):
+    v, f = tables(spark, cube(1), sphere(mesh_id=2, cap=True))
+    out = pipelines.clean_meshes(v, f, contracts.MeshCleaningConfig(smoothing_iters=0, decimate_target_reduction=0.5))
+    assert out.errors.count() == 0 and {r["mesh_id"]: (r["output_cell_count"], r["is_watertight"]) for r in out.reports.collect()}[1] == (6, True)
