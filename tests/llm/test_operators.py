@@ -683,17 +683,16 @@ def phrases_by_hand(rows, least, top):
     return sorted(out)
 
 
-def test_collocations(spark, rows, monkeypatch):
+def test_collocations(spark, rows):
     many = [*rows, (300, "a b c d e. A B\tC d, a b c; d e!\x0ba b\xa0c d", None, "s"), (301, "é è ç. " * 40 + "hot pair x hot pair y " * 30, "fr", "s"), (302, "word " * 500, "fr", "s"), (303, "a.b,,c;;d", "en", "s")]
     docs = table(spark, many).withColumn("phrase", F.lit("p")).withColumn("rank", F.lit(1))
-    got = lambda least, top: sorted(tuple(r) for r in collocations.collocations(docs, least=least, top=top).collect())
+    got = lambda least, top, limits=None: sorted(tuple(r) for r in collocations.collocations(docs, least=least, top=top, limits=limits).collect())
     assert got(3, 50) == phrases_by_hand(many, 3, 50)
     want = phrases_by_hand(many, 2, 10_000)
     assert got(2, 10_000) == want
-    # Small chunks and windows, a bitmap that hardly tells words apart, and buckets that leading words overfill.
-    for name, value in (("CHUNK", 700), ("WINDOW", 100), ("BITS", 16), ("BUCKET", 40), ("OVERFULL", 2)):
-        monkeypatch.setattr(collocations, name, value)
-    assert got(2, 10_000) == want
+    # Small chunks and windows, bitmaps that hardly tell words apart, and buckets that leading words overfill.
+    for limits in (collocations.Limits(700, 100, 8, 4, 40, 2), collocations.Limits(5000, 50, 16, 10, 300, 1), collocations.Limits(100, 4 << 20, 27, 20, 20, 1)):
+        assert got(2, 10_000, limits) == want
     assert collocations.collocations(docs.limit(0)).count() == 0
     assert collocations.collocations(docs.filter("text is null")).count() == 0
 
