@@ -116,35 +116,85 @@ def merge_pieces(vertices: DataFrame, faces: DataFrame, more_vertices: DataFrame
     return vertices.unionByName(v), faces.unionByName(f)
 
 
+def rim_links(vertices: DataFrame, faces: DataFrame, rim: DataFrame) -> DataFrame:
+    """(mesh_id, e, next) of open edges that follow each other around a hole; ``rim`` has (mesh_id, e, fid, a, b).
+
+    At most vertices two open edges meet, whatever their windings. Where rims share a vertex, its faces form fans, each
+    with one open edge that comes in and one that goes out: the one that comes into a fan is followed by the one that
+    goes out of the next fan around the vertex, so each hole keeps its own loop. Vertices at which fans have no such two
+    edges link nothing.
+    """
+    ends = rim.select("mesh_id", "e", "fid", F.explode(F.array(F.struct(F.col("a").alias("vid"), F.lit(True).alias("out"), F.col("b").alias("other")), F.struct(F.col("b").alias("vid"), F.lit(False).alias("out"), F.col("a").alias("other")))).alias("p")).select("mesh_id", "e", "fid", "p.*")
+    at = ends.groupBy("mesh_id", "vid").agg(F.count(F.lit(1)).alias("degree"), F.min("e").alias("e"), F.max("e").alias("next"))
+    plain = at.filter("degree = 2").select("mesh_id", "e", "next")
+    shared = written(at.filter("degree > 2").select("mesh_id", "vid"), "mesh-pinches")
+    if shared.isEmpty():
+        return plain
+    # Fans: faces around the vertex that share an inner edge there.
+    sides = edges(faces).select("mesh_id", "fid", F.explode(F.array(F.struct(F.col("a").alias("vid"), F.col("b").alias("other")), F.struct(F.col("b").alias("vid"), F.col("a").alias("other")))).alias("p")).select("mesh_id", "fid", "p.*").join(shared, ["mesh_id", "vid"], "left_semi")
+    node = lambda c: F.struct("mesh_id", "vid", F.col(c).alias("fid"))
+    alike = sides.groupBy("mesh_id", "vid", "other").agg(F.min("fid").alias("f"), F.max("fid").alias("g"))
+    found = connected_components(alike.select(node("f").alias("src"), node("g").alias("dst")))
+    fans = found.select("vertex.*", F.col("component.fid").alias("fan"))
+    # The order of fans around a vertex: the direction of the edge that goes out, in the plane across the mean normal.
+    near = triangulate(faces.join(fans.select("mesh_id", "fid").distinct(), ["mesh_id", "fid"], "left_semi"))
+    around = near.join(face_normals(vertices, near), ["mesh_id", "fid"])
+    normal = around.select("mesh_id", F.explode("vids").alias("vid"), "nx", "ny", "nz").join(shared, ["mesh_id", "vid"], "left_semi").groupBy("mesh_id", "vid").agg(*[F.sum(c).alias(c) for c in ("nx", "ny", "nz")])
+    of = ends.join(fans, ["mesh_id", "vid", "fid"])
+    pair = of.groupBy("mesh_id", "vid", "fan").agg(F.count_if("out").alias("outs"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("out"), F.col("e"))).alias("gone"), F.max(F.when(~F.col("out"), F.col("e"))).alias("come"), F.max(F.when(F.col("out"), F.col("other"))).alias("towards"))
+    p = lambda name, prefix: vertices.select("mesh_id", F.col("vid").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in XYZ])
+    placed = pair.join(normal, ["mesh_id", "vid"]).join(p("vid", "p"), ["mesh_id", "vid"]).join(p("towards", "t"), ["mesh_id", "towards"])
+    d = [F.col(f"t{c}") - F.col(f"p{c}") for c in XYZ]
+    n = [F.col(f"n{c}") for c in XYZ]
+    # Two directions across the normal: u is the axis least along it, made upright, and v = n x u.
+    axis = F.array_position(F.array(*[F.abs(x) for x in n]), F.array_min(F.array(*[F.abs(x) for x in n])))
+    e = [F.when(axis == k + 1, F.lit(1.0)).otherwise(F.lit(0.0)) for k in range(3)]
+    length = sum(x * x for x in n)
+    along = sum(a * b for a, b in zip(e, n, strict=True))
+    u = [e[k] * length - along * n[k] for k in range(3)]
+    v = [n[1] * u[2] - n[2] * u[1], n[2] * u[0] - n[0] * u[2], n[0] * u[1] - n[1] * u[0]]
+    angle = F.atan2(sum(a * b for a, b in zip(d, v, strict=True)) / F.greatest(F.sqrt(length), F.lit(1e-300)), sum(a * b for a, b in zip(d, u, strict=True)))
+    order = Window.partitionBy("mesh_id", "vid")
+    turned = placed.withColumn("angle", angle).withColumn("sound", F.min((F.col("outs") == 1) & (F.col("n") == 2)).over(order))
+    turn = order.orderBy("angle", "fan")
+    followed = turned.filter("sound").withColumn("next", F.coalesce(F.lead("gone").over(turn), F.first("gone").over(turn)))
+    return plain.unionByName(followed.select("mesh_id", F.col("come").alias("e"), "next"))
+
+
 def fill_holes(vertices: DataFrame, faces: DataFrame, hole_size: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Closes boundary loops of a radius up to ``hole_size`` with a fan around a new vertex in their middle.
 
-    Without a size, flat meshes stay as they are and others take half their diagonal. Only loops whose vertices have
-    exactly two boundary edges are closed. A loop's radius is its farthest vertex from its middle.
+    Without a size, flat meshes stay as they are and others take half their diagonal. Holes that share a vertex are loops
+    of their own. A loop's radius is its farthest vertex from its middle.
     """
     limit = bounds(vertices).select("mesh_id", F.lit(hole_size).cast("double").alias("limit") if hole_size is not None else F.when(~F.col("sheet_like"), F.col("default_hole_size")).alias("limit")).filter("limit is not null")
     open_edges = edge_uses(faces).filter("uses = 1").join(limit.select("mesh_id"), "mesh_id", "left_semi")
-    rim = edges(faces).withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(open_edges, ["mesh_id", "lo", "hi"]).select("mesh_id", "a", "b")
-    node = lambda c: F.struct("mesh_id", F.col(c).alias("vid"))
-    found = connected_components(rim.select(node("a").alias("src"), node("b").alias("dst")))
-    loops = found.select(F.col("vertex.mesh_id").alias("mesh_id"), F.col("vertex.vid").alias("vid"), F.col("component.vid").alias("loop"))
-    degree = rim.select("mesh_id", F.explode(F.array("a", "b")).alias("vid")).groupBy("mesh_id", "vid").agg(F.count(F.lit(1)).alias("degree"))
-    corners = loops.join(degree, ["mesh_id", "vid"]).join(vertices, ["mesh_id", "vid"])
-    middles = corners.groupBy("mesh_id", "loop").agg(F.max("degree").alias("degree"), *[F.avg(c).alias(f"m{c}") for c in XYZ])
-    middles = middles.filter("degree = 2").drop("degree")
+    widest = faces.groupBy("mesh_id").agg(F.max(F.size("vids")).cast("long").alias("widest"), F.max("fid").alias("last"))
+    sided = faces.select("mesh_id", "fid", "vids", F.posexplode("vids").alias("k", "a")).select("mesh_id", "fid", "k", "a", F.element_at("vids", F.pmod(F.col("k") + 1, F.size("vids")) + 1).alias("b"))
+    rim = sided.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(open_edges, ["mesh_id", "lo", "hi"]).join(widest, "mesh_id")
+    # An open edge is a side of one face only: that numbers it, and what is made from it.
+    rim = written(rim.select("mesh_id", "fid", "a", "b", "last", (F.col("fid") * F.col("widest") + F.col("k")).alias("e")), "mesh-rim")
+    if rim.isEmpty():
+        return vertices, faces
+    links = written(rim_links(vertices, faces, rim), "mesh-rim-links")
+    node = lambda c: F.struct("mesh_id", F.col(c).alias("e"))
+    found = connected_components(links.select(node("e").alias("src"), node("next").alias("dst")))
+    loops = found.select(F.col("vertex.mesh_id").alias("mesh_id"), F.col("vertex.e").alias("e"), F.col("component.e").alias("loop"))
+    sizes = loops.groupBy("mesh_id", "loop").agg(F.count(F.lit(1)).alias("n"))
+    steps = links.join(loops, ["mesh_id", "e"]).groupBy("mesh_id", "loop").agg(F.count(F.lit(1)).alias("steps"))
+    whole = sizes.join(steps, ["mesh_id", "loop"]).filter("n = steps").select("mesh_id", "loop")
+    looped = rim.join(loops, ["mesh_id", "e"]).join(whole, ["mesh_id", "loop"], "left_semi")
+    corners = looped.select("mesh_id", "loop", F.explode(F.array("a", "b")).alias("vid")).distinct().join(vertices, ["mesh_id", "vid"])
+    middles = corners.groupBy("mesh_id", "loop").agg(F.min("vid").alias("first"), *[F.avg(c).alias(f"m{c}") for c in XYZ])
     far = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in XYZ))
     radius = corners.join(middles, ["mesh_id", "loop"]).groupBy("mesh_id", "loop").agg(F.max(far).alias("radius"))
     closed = middles.join(radius, ["mesh_id", "loop"]).join(limit, "mesh_id").filter(F.col("radius") <= F.col("limit"))
     top = vertices.groupBy("mesh_id").agg(F.max("vid").alias("top"))
-    # A loop's own smallest vertex numbers its middle: unique, and no ranking of loops is needed.
     closed = closed.join(top, "mesh_id").withColumn("middle", F.col("top") + 1 + F.col("loop"))
-    color = closed.join(vertices.select("mesh_id", F.col("vid").alias("loop"), "color"), ["mesh_id", "loop"], "left")
+    color = closed.join(vertices.select("mesh_id", F.col("vid").alias("first"), "color"), ["mesh_id", "first"], "left")
     new_vertices = color.select("mesh_id", F.col("middle").alias("vid"), *[F.col(f"m{c}").alias(c) for c in XYZ], "color")
-    fan = rim.join(loops.withColumnRenamed("vid", "a"), ["mesh_id", "a"]).join(closed.select("mesh_id", "loop", "middle"), ["mesh_id", "loop"])
-    last = faces.groupBy("mesh_id").agg(F.max("fid").alias("last"))
-    # Where windings are mixed, both edges of a rim vertex can start there: numbers leave room for two.
-    nth = F.row_number().over(Window.partitionBy("mesh_id", "a").orderBy("b")) - 1
-    new_faces = fan.join(last, "mesh_id").select("mesh_id", (F.col("last") + 1 + 2 * F.col("a") + nth).alias("fid"), F.array("b", "a", "middle").alias("vids"))
+    fan = looped.join(closed.select("mesh_id", "loop", "middle"), ["mesh_id", "loop"])
+    new_faces = fan.select("mesh_id", (F.col("last") + 1 + F.col("e")).alias("fid"), F.array("b", "a", "middle").alias("vids"))
     return vertices.unionByName(new_vertices.select(*vertices.columns)), faces.unionByName(new_faces)
 
 
@@ -192,21 +242,50 @@ def smooth(vertices: DataFrame, faces: DataFrame, mode: str, iterations: int, pa
     return now
 
 
-def _weld(vertices: DataFrame, faces: DataFrame, cell: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points in the same grid cell become one, the smallest; faces that lose a corner go. ``cell`` has (mesh_id, size)."""
-    keyed = vertices.join(cell, "mesh_id").withColumn("key", F.when(F.col("size") > 0, F.array(*[F.floor(F.col(c) / F.col("size") + 0.5) for c in XYZ])))
-    keyed = keyed.withColumn("key", F.coalesce(F.array_join("key", ","), F.concat(F.lit("v"), F.col("vid").cast("string"))))
-    to = keyed.groupBy("mesh_id", "key").agg(F.min("vid").alias("to"))
-    remap = keyed.join(to, ["mesh_id", "key"]).select("mesh_id", "vid", "to")
-    each = faces.select("mesh_id", "fid", F.posexplode("vids").alias("k", "vid")).join(remap, ["mesh_id", "vid"])
-    new = each.groupBy("mesh_id", "fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "to"))), lambda x: x["to"]).alias("vids"))
-    new = new.filter(F.size(F.array_distinct("vids")) == F.size("vids"))
-    return vertices.join(remap.filter("vid = to").select("mesh_id", "vid"), ["mesh_id", "vid"], "left_semi"), new
+def close_points(vertices: DataFrame, size: DataFrame) -> DataFrame:
+    """(mesh_id, vid, to): each vertex with the smallest one that it reaches over steps of at most its mesh's ``size``.
+
+    ``size`` has (mesh_id, size). Points of a cube whose diagonal is ``size`` are one step apart without being paired, so
+    crowds of points in one place stay cheap. Points of different cubes meet through cells four steps wide: each stands in
+    its own, and looks into those that a step reaches, which for most is no other. Without a positive size, and without
+    finite coordinates, only equal points are one.
+    """
+    sized = vertices.join(size, "mesh_id").withColumn("ok", F.coalesce(F.col("size") > 0, F.lit(False)) & _finite("x") & _finite("y") & _finite("z"))
+    at = lambda width: F.array(*[F.floor(F.col(c) / width).cast("long") for c in XYZ])
+    # Cubes a little smaller than that: rounding must not join points beyond a step.
+    small = sized.withColumn("cube", F.when(F.col("ok"), at(F.col("size") * (0.999999 / math.sqrt(3)))))
+    exact = F.when(~F.col("ok"), F.concat_ws(",", *[F.col(c).cast("string") for c in XYZ]))
+    held = written(small.withColumn("rep", F.min("vid").over(Window.partitionBy("mesh_id", "cube", exact))).select("mesh_id", "vid", *XYZ, "size", "ok", "rep"), "mesh-cubes")
+    spots = held.filter("ok").groupBy("mesh_id", *XYZ, "size").agg(F.min("rep").alias("rep"))
+    wide = 4 * F.col("size")
+    home = spots.select("mesh_id", F.col("rep").alias("other"), *[F.col(c).alias(f"o{c}") for c in XYZ], *[F.floor(F.col(c) / wide).alias(f"c{c}") for c in XYZ])
+    reach = spots
+    for c in XYZ:
+        reach = reach.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(c) - F.col("size")) / wide), F.floor((F.col(c) + F.col("size")) / wide))))
+    apart = sum((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in XYZ)
+    met = reach.join(home, ["mesh_id", *[f"c{c}" for c in XYZ]]).filter((F.col("rep") < F.col("other")) & (apart <= F.col("size") * F.col("size")))
+    node = lambda c: F.struct("mesh_id", F.col(c).alias("vid"))
+    links = written(met.select(node("rep").alias("src"), node("other").alias("dst")).distinct(), "mesh-close")
+    if links.isEmpty():
+        return held.select("mesh_id", "vid", F.col("rep").alias("to"))
+    found = connected_components(links)
+    to = found.select(F.col("vertex.mesh_id").alias("mesh_id"), F.col("vertex.vid").alias("rep"), F.col("component.vid").alias("to"))
+    return held.join(to, ["mesh_id", "rep"], "left").select("mesh_id", "vid", F.coalesce("to", "rep").alias("to"))
 
 
 def weld(vertices: DataFrame, faces: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Welds points that fall into the same cell of a grid of ``tolerance`` times the mesh's diagonal."""
-    return _weld(vertices, faces, bounds(vertices).select("mesh_id", (F.col("diagonal") * tolerance).alias("size")))
+    """Welds points that are at most ``tolerance`` times the mesh's diagonal apart, step by step, into the smallest one.
+
+    Faces that lose a corner go.
+    """
+    remap = written(close_points(vertices, bounds(vertices).select("mesh_id", (F.col("diagonal") * tolerance).alias("size"))), "mesh-remap")
+    moved = remap.filter("vid <> to")
+    if moved.isEmpty():
+        return vertices, faces.filter(F.size(F.array_distinct("vids")) == F.size("vids"))
+    each = faces.select("mesh_id", "fid", F.posexplode("vids").alias("k", "vid")).join(remap, ["mesh_id", "vid"])
+    new = each.groupBy("mesh_id", "fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "to"))), lambda x: x["to"]).alias("vids"))
+    new = new.filter(F.size(F.array_distinct("vids")) == F.size("vids"))
+    return vertices.join(moved, ["mesh_id", "vid"], "left_anti"), new
 
 
 def face_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:

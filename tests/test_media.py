@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import os
 import re
 
@@ -482,3 +483,55 @@ def test_decimated_mesh_stays_in_cleaning(spark):
     v, f = tables(spark, cube(1), sphere(mesh_id=2, cap=True))
     out = pipelines.clean_meshes(v, f, contracts.MeshCleaningConfig(smoothing_iters=0, decimate_target_reduction=0.5))
     assert out.errors.count() == 0 and {r["mesh_id"]: (r["output_cell_count"], r["is_watertight"]) for r in out.reports.collect()}[1] == (6, True)
+
+
+def test_holes_that_share_corners(spark):
+    # Two holes that share a corner, three in a ring around one face, and a hole whose corner the border shares.
+    n = 12
+    v, f = plane(n, mesh_id=1)
+    cell = lambda i, k: 2 * (i * n + k)
+    gone = {cell(3, 3), cell(4, 4), cell(8, 3), cell(9, 4), cell(8, 5), cell(7, 4), cell(0, 8), cell(1, 9)}
+    left = [x for x in f if x[1] - x[1] % 2 not in gone]
+    mixed = [(m, i, x[::-1] if i % 3 == 0 else x) for m, i, x in left]
+    for rows in (left, mixed):
+        tv, tf = tables(spark, (v, rows))
+        fv, ff = mesh.fill_holes(tv, tf, 1.2)
+        got = mesh.topology(ff).first()
+        assert ff.count() == ff.select("fid").distinct().count() and got["non_manifold_edge_count"] == 0
+        # Open stay the border, longer by the two more edges of the cell cut out of it.
+        if rows is left:
+            assert got["boundary_edge_count"] == 4 * n + 2 and fv.count() == len(v) + 7
+    # At a vertex of three fans each hole is closed by itself.
+    ring = [(2, 0, 0.0, 0.0, 0.0, None)] + [(2, 1 + k, math.cos(k * math.pi / 6), math.sin(k * math.pi / 6), 0.0, None) for k in range(12)] + [(2, 13 + k, 2 * math.cos(k * math.pi / 6), 2 * math.sin(k * math.pi / 6), 0.0, None) for k in range(12)]
+    inner = [[0, 1 + k, 1 + (k + 1) % 12] for k in range(12) if k not in (1, 4, 5, 9)]
+    outer = [x for k in range(12) for x in ([1 + k, 13 + k, 13 + (k + 1) % 12], [1 + k, 13 + (k + 1) % 12, 1 + (k + 1) % 12])]
+    tv, tf = tables(spark, (ring, [(2, i, x) for i, x in enumerate(inner + outer)]))
+    fv, ff = mesh.fill_holes(tv, tf, 1.0)
+    assert mesh.topology(ff).first()["boundary_edge_count"] == 12 and fv.count() == 25 + 3 and ff.count() == 32 + 3 + 3 + 4
+
+
+def test_weld_by_distance(spark):
+    r = random.Random(4)
+    rows = [(1, k, r.uniform(0, 10), r.uniform(0, 10), r.uniform(0, 1), None) for k in range(400)]
+    rows += [(1, 400 + k, rows[k][2] + r.uniform(-0.3, 0.3), rows[k][3], rows[k][4], None) for k in range(100)] + [(1, 500 + k, 5.0, 5.0, 0.5, None) for k in range(50)]
+    rows += [(2, 0, -1e-9, 0.0, 0.0, None), (2, 1, 1e-9, 0.0, 0.0, None), (2, 2, 1.0, 0.0, 0.0, None), (2, 3, float("nan"), 0.0, 0.0, None), (2, 4, 1.0, 1.0, 0.0, None)]
+    rows += [(3, k, 0.0, 0.0, 0.0, None) for k in range(4)] + [(4, k, 0.09 * k, 0.0, 0.0, None) for k in range(60)]
+    v = spark.createDataFrame(rows, VERTEX)
+    size = {1: 0.35, 2: 1e-6, 3: 0.0, 4: 0.1}
+    got = {(r["mesh_id"], r["vid"]): r["to"] for r in mesh.close_points(v, spark.createDataFrame(list(size.items()), "mesh_id long, size double")).collect()}
+    up = {(m, i): i for m, i, *_ in rows}
+
+    def top(m, i):
+        while up[m, i] != i:
+            i = up[m, i]
+        return i
+
+    for m, i, *p, _ in rows:
+        for m2, k, *q, _ in rows:
+            if m == m2 and i < k and sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= size[m] ** 2:
+                a, b = sorted((top(m, i), top(m, k)))
+                up[m, b] = a
+    assert got == {(m, i): top(m, i) for m, i in up}
+    # Twins across a cell's border are one, and the faces know it.
+    wv, wf = mesh.weld(v.filter("mesh_id = 2 and vid <> 3"), spark.createDataFrame([(2, 0, [0, 2, 4]), (2, 1, [4, 1, 0]), (2, 2, [1, 4, 2])], FACE), 1e-6)
+    assert wv.count() == 3 and sorted(r["vids"] for r in wf.collect()) == [[0, 2, 4], [0, 4, 2]]
