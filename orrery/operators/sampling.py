@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.folds import fold
+
 #: Pixels whose gray values differ by more than this count as changed.
 CHANGED = 18
 HIGH, LOW = 0.18, 0.055
@@ -42,52 +40,26 @@ def min_gap(fps: Column) -> Column:
     return F.greatest(F.lit(1), F.rint(F.coalesce(F.nullif(fps, F.lit(0.0)), F.lit(30.0)) * 0.08).cast("int"))
 
 
+def _sampled(state: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+    video, at, step = row
+    last, n = state or (None, 0)
+    if last is not None and at - last < step:
+        return (last, n), None
+    return (at, n + 1), (video, at, n)
+
+
 def adaptive_sample(frames: DataFrame) -> DataFrame:
     """The frames that sampling keeps, with ``sample_index`` 0 to n - 1: ``frames`` (video_id, index, motion_score, fps, …).
 
     The first frame stays; a later one stays if its distance from the last kept one is the interval of its own motion
-    and the least gap at least. The decision depends on earlier decisions, so each video is one fold over its
-    (index, step) pairs; the rows themselves are joined again afterwards and never gathered.
+    and the least gap at least. The decision depends on earlier decisions: a video's frames stream through in order, the
+    state is the last kept one, and the rows themselves are joined again afterwards.
     """
     step = F.greatest(min_gap(F.col("fps")), interval(F.coalesce("motion_score", F.lit(0.0))))
-    narrow = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("long").alias("index"), step.cast("long").alias("step")))).alias("steps"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def fold(state: Column, x: Column) -> Column:
-        take = state["last"].isNull() | (x["index"] - state["last"] >= x["step"])
-        return F.struct(F.when(take, x["index"]).otherwise(state["last"]).alias("last"), F.when(take, F.array_append(state["kept"], x["index"])).otherwise(state["kept"]).alias("kept"))
-
-    kept = narrow.select("video_id", F.aggregate("steps", start, fold)["kept"].alias("kept"))
-    return _numbered(frames, kept.select("video_id", F.posexplode("kept").alias("sample_index", "index")))
-
-
-def _numbered(frames: DataFrame, kept: DataFrame) -> DataFrame:
+    narrow = frames.select("video_id", F.col("index").cast("long").alias("index"), step.cast("long").alias("step"))
+    kept = fold(narrow, ["video_id"], ["index"], _sampled, f"video_id {frames.schema['video_id'].dataType.simpleString()}, index long, sample_index int")
     return frames.join(kept, ["video_id", "index"])
 
 
-def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    video, last, n = None, 0, 0
-    for batch in batches:
-        ids, index, step = batch.column("video_id").to_pylist(), batch.column("index").to_numpy(), batch.column("step").to_numpy()
-        rows, numbers = [], []
-        for i, (v, at, gap) in enumerate(zip(ids, index, step, strict=True)):
-            if v != video or n == 0:
-                video, last, n = v, at, 0
-                rows.append(i)
-                numbers.append(0)
-                n = 1
-            elif at - last >= gap:
-                last = at
-                rows.append(i)
-                numbers.append(n)
-                n += 1
-        taken = batch.take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([taken.column("video_id"), taken.column("index"), pa.array(np.array(numbers, np.int32))], names=["video_id", "index", "sample_index"])
-
-
-def adaptive_sample_long(frames: DataFrame) -> DataFrame:
-    """The same as ``adaptive_sample`` for videos of any length: rows stream through sorted, with one row's state."""
-    step = F.greatest(min_gap(F.col("fps")), interval(F.coalesce("motion_score", F.lit(0.0))))
-    narrow = frames.select("video_id", F.col("index").cast("long").alias("index"), step.cast("long").alias("step")).repartition("video_id").sortWithinPartitions("video_id", "index")
-    kind = frames.schema["video_id"].dataType.simpleString()
-    return _numbered(frames, narrow.mapInArrow(_fold_sorted, f"video_id {kind}, index long, sample_index int"))
+#: The name that it has for videos of any length, which are no other case any more.
+adaptive_sample_long = adaptive_sample

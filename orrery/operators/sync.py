@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.folds import fold
 from orrery.sources.scratch import written
 
 MOTION_TOLERANCE = 0.03
@@ -33,25 +34,32 @@ def offsets(usable: DataFrame, chosen: DataFrame) -> DataFrame:
     Pairs of frames of like motion vote with their time difference. The fullest bucket wins (then the one whose mean is
     nearest to zero, then the first in order of the pairs), and its median is the offset. Sources with fewer than two
     frames, with hardly any variance of motion, or without pairs have none: 0.
+
+    Frames meet through bands of motion as wide as the tolerance, so those of other motion are never paired, and votes are
+    summed by bucket before they move. The pairs of a winning bucket are found again through their times alone.
     """
     motion = F.coalesce("motion_score", F.lit(0.0))
     rows = usable.join(chosen, "upload_id").select("upload_id", "source_id", "anchor", "ts_pos", "timestamp_ms", motion.alias("motion"))
     lively = rows.groupBy("upload_id", "source_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.var_pop("motion").alias("v")).filter((F.col("n") > 1) & (F.col("v") >= MIN_VARIANCE))
     signal = rows.join(lively.select("upload_id", "source_id"), ["upload_id", "source_id"], "left_semi")
-    a = signal.filter("source_id = anchor").select("upload_id", F.col("ts_pos").alias("a_pos"), F.col("timestamp_ms").alias("a_ts"), F.col("motion").alias("a_motion"))
     c = signal.filter("source_id <> anchor").select("upload_id", "source_id", F.col("ts_pos").alias("c_pos"), F.col("timestamp_ms").alias("c_ts"), F.col("motion").alias("c_motion"))
-    # Few rows make many pairs: fixed partitions by upload and source, which Spark doesn't merge for their few bytes.
-    n = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = a.join(c.select("upload_id", "source_id").distinct(), "upload_id").repartition(n, "upload_id", "source_id")
-    pairs = a.join(c.repartition(n, "upload_id", "source_id"), ["upload_id", "source_id"]).filter(F.abs(F.col("a_motion") - F.col("c_motion")) <= MOTION_TOLERANCE)
+    a = signal.filter("source_id = anchor").select("upload_id", F.col("ts_pos").alias("a_pos"), F.col("timestamp_ms").alias("a_ts"), F.col("motion").alias("a_motion"))
+    c, a = written(c, "sync-others"), written(a.join(c.select("upload_id", "source_id").distinct(), "upload_id"), "sync-anchor-frames")
+    alike = F.abs(F.col("a_motion") - F.col("c_motion")) <= MOTION_TOLERANCE
+    beside = lambda at: F.explode(F.sequence(F.floor(at) - 1, F.floor(at) + 1))
+    band = 1.000001 * MOTION_TOLERANCE  # rounding must not put frames as far apart as the tolerance two bands apart
+    # Few rows make many pairs: fixed partitions by band, which Spark doesn't merge for their few bytes.
+    n, by = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["upload_id", "source_id", "band"]
+    banded = a.withColumn("band", F.floor(F.col("a_motion") / band)).repartition(n, *by).join(c.withColumn("band", beside(F.col("c_motion") / band)).repartition(n, *by), by)
     place = F.col("a_pos").cast("long") * (1 << 31) + F.col("c_pos")
-    votes = pairs.select("upload_id", "source_id", (F.col("a_ts") - F.col("c_ts")).alias("offset"), place.alias("at")).withColumn("bucket", F.rint(F.col("offset") / BUCKET_MS))
+    apart = F.col("a_ts") - F.col("c_ts")
+    votes = banded.filter(alike).select("upload_id", "source_id", apart.alias("offset"), place.alias("at")).withColumn("bucket", F.rint(F.col("offset") / BUCKET_MS))
     buckets = votes.groupBy("upload_id", "source_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("offset")).alias("far"), F.min("at").alias("first"))
-    best = Window.partitionBy("upload_id", "source_id").orderBy(F.col("n").desc(), "far", "first")
-    winners = buckets.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("upload_id", "source_id", "bucket")
+    winners = written(buckets.groupBy("upload_id", "source_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "far", "first", "bucket")).alias("best")).select("upload_id", "source_id", "best.bucket"), "sync-winners")
     # The exact median holds all values of its group: only the winners' values get there.
-    medians = votes.join(winners, ["upload_id", "source_id", "bucket"]).groupBy("upload_id", "source_id").agg(F.percentile("offset", F.lit(0.5)).alias("median"))
-    found = medians.select("upload_id", "source_id", F.round("median", 3).alias("offset_ms"))
+    goal = c.join(winners, ["upload_id", "source_id"]).withColumn("slot", beside((F.col("c_ts") + F.col("bucket") * BUCKET_MS) / BUCKET_MS))
+    met = a.withColumn("slot", F.floor(F.col("a_ts") / BUCKET_MS)).join(goal, ["upload_id", "source_id", "slot"]).filter(alike & (F.rint(apart / BUCKET_MS) == F.col("bucket")))
+    found = met.groupBy("upload_id", "source_id").agg(F.round(F.percentile(apart, F.lit(0.5)), 3).alias("offset_ms"))
     others = rows.filter("source_id <> anchor").select("upload_id", "source_id").distinct()
     return others.join(found, ["upload_id", "source_id"], "left").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0.0)))
 
@@ -80,20 +88,20 @@ def complete_entries(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy("upload_id", "entry_pos", "anchor", "anchor_index", "anchor_ts", "n_sources").agg(gathered).filter(F.size("others") == F.col("n_sources") - 1)
 
 
+def _unlike(last: list | None, row: tuple) -> tuple[list, tuple | None]:
+    upload, entry, used = row
+    if last is not None and any(p == q for p, q in zip(last, used, strict=True)):
+        return last, None
+    return used, (upload, entry)
+
+
 def drop_conflicts(entries: DataFrame) -> DataFrame:
     """Entries without those that use a frame of an entry kept before, in anchor order.
 
-    Alignment is monotone in time, so an entry can only share frames with the last one kept: the fold of an upload
-    carries that one's frames and the positions kept.
+    Alignment is monotone in time, so an entry can only share frames with the last one kept, whose frames are the state.
     """
-    narrow = F.array_sort(F.collect_list(F.struct("entry_pos", F.concat(F.array(F.col("anchor_index")), F.transform("others", lambda o: o["index"])).alias("used")))).alias("all")
-    start = F.struct(F.array().cast("array<int>").alias("last"), F.array().cast("array<int>").alias("kept"))
-
-    def fold(state: Column, x: Column) -> Column:
-        clash = F.exists(F.zip_with(state["last"], x["used"], lambda p, q: p == q), lambda same: F.coalesce(same, F.lit(False)))
-        return F.struct(F.when(clash, state["last"]).otherwise(x["used"]).alias("last"), F.when(clash, state["kept"]).otherwise(F.array_append(state["kept"], x["entry_pos"])).alias("kept"))
-
-    kept = entries.groupBy("upload_id").agg(narrow).select("upload_id", F.explode(F.aggregate("all", start, fold)["kept"]).alias("entry_pos"))
+    used = entries.select("upload_id", F.col("entry_pos").cast("long").alias("entry_pos"), F.concat(F.array(F.col("anchor_index")), F.transform("others", lambda o: o["index"])).alias("used"))
+    kept = fold(used, ["upload_id"], ["entry_pos"], _unlike, f"upload_id {entries.schema['upload_id'].dataType.simpleString()}, entry_pos long")
     return entries.join(kept, ["upload_id", "entry_pos"])
 
 

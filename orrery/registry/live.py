@@ -150,7 +150,7 @@ def p2_plan_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = u.join(counts, "upload_id").select("upload_id", "source_type", F.lit("track_a_batch").alias("track"), F.when(F.col("upload_id") % 9 == 8, 1.5).otherwise(0.3).alias("compute_priority_score"), "frame_count")
     headers = headers.withColumn("sync_group_id", F.when(F.col("upload_id") % 2 == 0, F.concat(F.lit("sync_"), "upload_id")))
     # An upload in five has an entry whose frame isn't there.
-    entries = sync.sync_map(f)
+    entries = sync.sync_map(f.join(u.filter("source_type = 'video_folder'").select("upload_id"), "upload_id", "left_semi"))
     broken = u.filter("upload_id % 5 = 3").select("upload_id", F.lit(0).cast("int").alias("entry_pos"), F.lit(0.0).alias("anchor_timestamp_ms"), F.create_map(F.lit("cam_9"), F.lit(7)).alias("aligned_frames"), F.create_map(F.lit("cam_9"), F.lit(0.0)).alias("offsets_ms"))
     ready, errors = pipelines.plan_jobs(headers, f, sync_map=entries.unionByName(broken))
     none = lambda t: F.lit(None).cast(t)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orrery.operators.folds import fold
 from orrery.operators.sampling import interval, min_gap
 
 RING = 64
@@ -53,27 +54,30 @@ def dropped(decided: DataFrame, ring: int = RING) -> DataFrame:
     return decided.groupBy("stream_id").agg(n.alias("accepted"), F.greatest(F.lit(0), n - ring).cast("long").alias("dropped"))
 
 
+def allow(held: list, at, limit: int, window) -> tuple[bool, int]:
+    """Whether a request at ``at`` is allowed and how many remain; ``held`` are the times that count, kept up to date."""
+    held[:] = [t for t in held if at - t <= window]
+    if len(held) >= limit:
+        return False, 0
+    held.append(at)
+    return True, limit - len(held)
+
+
 def rate_limit(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WINDOW_SECONDS) -> DataFrame:
     """``requests`` (subject, request_id, at) with allowed and remaining.
 
     A request is allowed if fewer than ``limit`` allowed ones lie in the window before it; one exactly ``window``
-    seconds old still counts. Refused ones don't count. The fold of a subject holds the times that count, and what it
-    gathers is one narrow array.
+    seconds old still counts. Refused ones don't count. A subject's requests stream through in order, and its state is
+    the at most ``limit`` times that count.
     """
-    narrow = F.array_sort(F.collect_list(F.struct("at", "request_id"))).alias("all")
-    out = "array<struct<request_id:bigint,allowed:boolean,remaining:int>>"
-    kind = requests.schema["at"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("held"), F.array().cast(out).alias("out"))
 
-    def fold(state: Column, x: Column) -> Column:
-        held = F.filter(state["held"], lambda t: x["at"] - t <= window)
-        ok = F.size(held) < limit
-        held_after = F.when(ok, F.array_append(held, x["at"])).otherwise(held)
-        said = F.struct(x["request_id"].cast("long").alias("request_id"), ok.alias("allowed"), F.when(ok, limit - F.size(held) - 1).otherwise(0).alias("remaining"))
-        return F.struct(held_after.alias("held"), F.array_append(state["out"], said).alias("out"))
+    def step(held: list | None, row: tuple) -> tuple[list, tuple]:
+        held = [] if held is None else held
+        return held, (row[0], row[1], *allow(held, row[2], limit, window))
 
-    judged = requests.groupBy("subject").agg(narrow).select("subject", F.explode(F.aggregate("all", start, fold)["out"]).alias("o"))
-    return requests.join(judged.select("subject", "o.*"), ["subject", "request_id"])
+    narrow = requests.select("subject", F.col("request_id").cast("long").alias("request_id"), "at")
+    judged = fold(narrow, ["subject"], ["at", "request_id"], step, f"subject {requests.schema['subject'].dataType.simpleString()}, request_id long, allowed boolean, remaining int")
+    return requests.join(judged, ["subject", "request_id"])
 
 
 def stream_headers(streams: DataFrame, ring: int = RING) -> DataFrame:
@@ -111,12 +115,9 @@ def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window: in
         rows = pd.concat(list(parts)).sort_values(["at", "request_id"], kind="stable")
         allowed, remaining = [], []
         for at in rows["at"].tolist():
-            held = [t for t in held if at - t <= window]
-            ok = len(held) < limit
-            if ok:
-                held.append(at)
+            ok, left = allow(held, at, limit, window)
             allowed.append(ok)
-            remaining.append(limit - len(held) if ok else 0)
+            remaining.append(left)
         state.update((held,))
         yield pd.DataFrame({"subject": key[0], "request_id": rows["request_id"], "at": rows["at"], "allowed": allowed, "remaining": pd.Series(remaining, rows.index, dtype="int32")})
 

@@ -535,3 +535,51 @@ def test_weld_by_distance(spark):
     # Twins across a cell's border are one, and the faces know it.
     wv, wf = mesh.weld(v.filter("mesh_id = 2 and vid <> 3"), spark.createDataFrame([(2, 0, [0, 2, 4]), (2, 1, [4, 1, 0]), (2, 2, [1, 4, 2])], FACE), 1e-6)
     assert wv.count() == 3 and sorted(r["vids"] for r in wf.collect()) == [[0, 2, 4], [0, 4, 2]]
+
+
+def test_hot_keys_stream_through(spark):
+    # A subject with a third of all requests, an upload with most of the entries: as by hand, and in a few seconds.
+    r = random.Random(6)
+    rows = [(0 if i % 3 == 0 else r.randrange(1, 400), i, r.randrange(40_000)) for i in range(60_000)]
+    got = {(x["subject"], x["request_id"]): (x["allowed"], x["remaining"]) for x in live.rate_limit(spark.createDataFrame(rows, "subject long, request_id long, at long"), 5, 20).collect()}
+    held, want = {}, {}
+    for subject, i, at in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        own = held[subject] = [t for t in held.get(subject, []) if at - t <= 20]
+        want[subject, i] = (len(own) < 5, max(0, 4 - len(own)))
+        if len(own) < 5:
+            own.append(at)
+    assert got == want
+    entries = [(u, i, i // 2, [("cam_1", i // 3, 0.0), ("cam_2", i, 0.0)]) for u, n in ((1, 20_000), (2, 7)) for i in range(n)]
+    table = spark.createDataFrame(entries, "upload_id long, entry_pos int, anchor_index int, others array<struct<source_id: string, index: int, offset_ms: double>>")
+    kept = {(x["upload_id"], x["entry_pos"]) for x in sync.drop_conflicts(table).collect()}
+    last, want = {}, set()
+    for u, i, a, others in entries:
+        used = [a, *[x for _, x, _ in others]]
+        if u not in last or all(p != q for p, q in zip(last[u], used, strict=True)):
+            last[u] = used
+            want.add((u, i))
+    assert kept == want
+
+
+def test_offsets_by_hand(spark):
+    r = random.Random(12)
+    rows = []
+    for u, shift, n in ((1, 350.0, 300), (2, -1234.5, 120), (3, 0.0, 2)):
+        scores = [round(r.random() ** 2, 3) for _ in range(n)]
+        for cam, (late, order) in {"a": (0.0, 0), "b": (shift, 1)}.items():
+            rows += [(u, cam, order, k, 40.0 * k - late + r.randrange(-3, 4), scores[k] + (0.03 if k % 17 == 0 and cam == "b" else 0.0)) for k in range(n - (cam == "b"))]
+    frames = spark.createDataFrame(rows, "upload_id long, source_id string, source_order int, pos long, timestamp_ms double, motion_score double").withColumn("index", F.col("pos").cast("int"))
+    usable = sync.usable_frames(frames)
+    got = {x["upload_id"]: x["offset_ms"] for x in sync.offsets(usable, sync.anchors(usable)).collect()}
+    for u in (1, 2):
+        by = {c: sorted((t, p, m) for x, c, _, p, t, m in rows if x == u and c == cam) for cam in "ab" for c in [cam]}
+        votes = {}
+        for i, (ta, _, ma) in enumerate(by["a"]):
+            for k, (tc, _, mc) in enumerate(by["b"]):
+                if abs(ma - mc) <= 0.03:
+                    votes.setdefault(round((ta - tc) / 100.0), []).append(((i, k), ta - tc))
+        best = min(votes.values(), key=lambda v: (-len(v), abs(sum(x for _, x in v) / len(v)), min(v)[0]))
+        values = sorted(x for _, x in best)
+        middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+        assert got[u] == pytest.approx(middle, abs=1e-3)
+    assert got[3] == 0.0
