@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.components import connected_components
+from orrery.operators.contraction import contracted_components
 from orrery.operators.decimation import decimate as decimate
 from orrery.sources.scratch import written
 
@@ -86,7 +87,7 @@ def components(faces: DataFrame) -> DataFrame:
     first = F.element_at("vids", 1)
     links = faces.select("mesh_id", first.alias("a"), F.explode("vids").alias("b"))
     node = lambda c: F.struct("mesh_id", F.col(c).alias("vid"))
-    found = connected_components(links.select(node("a").alias("src"), node("b").alias("dst")))
+    found = contracted_components(links.select(node("a").alias("src"), node("b").alias("dst")))
     labels = found.select(F.col("vertex.mesh_id").alias("mesh_id"), F.col("vertex.vid").alias("first_vid"), F.col("component.vid").alias("component"))
     return faces.withColumn("first_vid", first).join(labels, ["mesh_id", "first_vid"]).drop("first_vid")
 
@@ -288,12 +289,15 @@ def weld(vertices: DataFrame, faces: DataFrame, tolerance: float) -> tuple[DataF
     return vertices.join(moved, ["mesh_id", "vid"], "left_anti"), new
 
 
+def corner_points(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(mesh_id, fid, p0, p1, p2) of triangles: all corners meet their points in one join."""
+    each = faces.select("mesh_id", "fid", F.posexplode("vids").alias("k", "vid")).join(vertices.select("mesh_id", "vid", F.struct(*XYZ).alias("p")), ["mesh_id", "vid"])
+    return each.groupBy("mesh_id", "fid").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"p{k}") for k in range(3)])
+
+
 def face_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(mesh_id, fid, nx, ny, nz) of triangles; a normal is as long as twice the triangle's area."""
-    corner = vertices.select("mesh_id", "vid", F.struct(*XYZ).alias("p"))
-    f = faces.select("mesh_id", "fid", *[F.element_at("vids", i + 1).alias(f"v{i}") for i in range(3)])
-    for i in range(3):
-        f = f.join(corner.select("mesh_id", F.col("vid").alias(f"v{i}"), F.col("p").alias(f"p{i}")), ["mesh_id", f"v{i}"])
+    f = corner_points(vertices, faces)
     u, w = ([F.col(f"p{i}.{c}") - F.col(f"p0.{c}") for c in XYZ] for i in (1, 2))
     cross = [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
     return f.select("mesh_id", "fid", *[c.alias(n) for c, n in zip(cross, ("nx", "ny", "nz"), strict=True)])
@@ -302,29 +306,32 @@ def face_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 def orient(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Triangles with consistent winding, outwards, and ``orientable``.
 
-    Each face stands twice in a graph, as it is and flipped; neighbours over an edge link the copies that agree. A
-    component that holds both copies of a face can't be oriented and stays as it is. The others choose the copy with
-    the smaller label, and turn round where the signed volume of their surface is negative.
+    Neighbours over an edge of two faces agree if they run along it in opposite directions. Where all of a mesh agree, its
+    surfaces are those that neighbours link. Elsewhere each face stands twice in the graph, as it is and flipped, and
+    neighbours link the copies that agree: a surface that holds both copies of a face can't be oriented and stays as it
+    is, the others choose the copy with the smaller label. Surfaces turn round where their signed volume is negative.
     """
-    sided = edges(faces).select("mesh_id", "fid", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), (F.col("a") < F.col("b")).alias("up"))
-    sides = sided.select("mesh_id", "lo", "hi", F.col("fid").alias("g"), F.col("up").alias("g_up"))
-    manifold = sided.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("uses")).filter("uses = 2").drop("uses")
-    met = sided.join(manifold, ["mesh_id", "lo", "hi"]).join(sides, ["mesh_id", "lo", "hi"]).filter("fid < g")
-    agree = F.col("up") != F.col("g_up")  # neighbours run along a shared edge in opposite directions
+    sided = edges(faces).select("mesh_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.struct("fid", (F.col("a") < F.col("b")).alias("up")).alias("s"))
+    pair = sided.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("uses"), F.min("s").alias("f"), F.max("s").alias("g"))
+    met = written(pair.filter("uses = 2 and f.fid < g.fid").select("mesh_id", F.col("f.fid").alias("fid"), F.col("g.fid").alias("g"), (F.col("f.up") != F.col("g.up")).alias("agree")), "mesh-met")
+    torn = written(met.filter(~F.col("agree")).select("mesh_id").distinct(), "mesh-torn")
     node = lambda fid, flip: F.struct("mesh_id", F.col(fid).alias("fid"), flip.cast("int").alias("flip"))
-    links = met.select(F.explode(F.array(*[F.struct(node("fid", F.lit(s == 1)).alias("src"), node("g", F.when(agree, F.lit(s == 1)).otherwise(F.lit(s == 0))).alias("dst")) for s in (0, 1)])).alias("l")).select("l.*")
-    alone = faces.select(F.explode(F.array(*[node("fid", F.lit(s == 1)) for s in (0, 1)])).alias("src")).withColumn("dst", F.col("src"))
-    found = connected_components(links.unionByName(alone))
+    flat = F.lit(0)
+    calm = met.join(torn, "mesh_id", "left_anti").select(node("fid", flat).alias("src"), node("g", flat).alias("dst"))
+    wild = met.join(torn, "mesh_id", "left_semi")
+    doubled = wild.select(F.explode(F.array(*[F.struct(node("fid", F.lit(s == 1)).alias("src"), node("g", F.when(F.col("agree"), F.lit(s == 1)).otherwise(F.lit(s == 0))).alias("dst")) for s in (0, 1)])).alias("l")).select("l.*")
+    found = contracted_components(calm.unionByName(doubled), spread=True)
     labels = found.select("vertex.*", F.struct("component.fid", "component.flip").alias("label"))
-    both = labels.groupBy("mesh_id", "fid").agg(F.min("label").alias("label"), F.min_by("flip", "label").alias("flip"), (F.count_distinct("label") == 2).alias("orientable"))
-    turned = faces.join(both, ["mesh_id", "fid"]).withColumn("flip", F.when(F.col("orientable"), F.col("flip")).otherwise(0))
-    turned = turned.withColumn("vids", F.when(F.col("flip") == 1, F.reverse("vids")).otherwise(F.col("vids")))
-    corner = vertices.select("mesh_id", "vid", *XYZ)
-    f = turned.select("mesh_id", "fid", "label", *[F.element_at("vids", i + 1).alias(f"v{i}") for i in range(3)])
-    for i in range(3):
-        f = f.join(corner.select("mesh_id", F.col("vid").alias(f"v{i}"), *[F.col(c).alias(f"{c}{i}") for c in XYZ]), ["mesh_id", f"v{i}"])
-    det = F.col("x0") * (F.col("y1") * F.col("z2") - F.col("z1") * F.col("y2")) - F.col("y0") * (F.col("x1") * F.col("z2") - F.col("z1") * F.col("x2")) + F.col("z0") * (F.col("x1") * F.col("y2") - F.col("y1") * F.col("x2"))
-    inward = f.groupBy("mesh_id", "label").agg((F.sum(det) < 0).alias("inward"))
+    both = labels.groupBy("mesh_id", "fid").agg(F.min("label").alias("label"), F.min_by("flip", "label").alias("flip"), ((F.count(F.lit(1)) == 1) | (F.min("label") != F.max("label"))).alias("orientable"))
+    # A face without neighbours is a surface of its own.
+    alone = F.struct(F.col("fid"), F.lit(0).alias("flip"))
+    turned = faces.join(both, ["mesh_id", "fid"], "left").withColumn("orientable", F.coalesce("orientable", F.lit(True))).withColumn("label", F.coalesce("label", alone))
+    turned = turned.withColumn("flip", F.when(F.col("orientable"), F.coalesce("flip", F.lit(0))).otherwise(0))
+    turned = written(turned.withColumn("vids", F.when(F.col("flip") == 1, F.reverse("vids")).otherwise(F.col("vids"))), "mesh-turned")
+    x, y, z = ([F.col(f"p{k}.{c}") for k in range(3)] for c in XYZ)
+    det = x[0] * (y[1] * z[2] - z[1] * y[2]) - y[0] * (x[1] * z[2] - z[1] * x[2]) + z[0] * (x[1] * y[2] - y[1] * x[2])
+    volume = corner_points(vertices, turned).join(turned.select("mesh_id", "fid", "label"), ["mesh_id", "fid"])
+    inward = volume.groupBy("mesh_id", "label").agg((F.sum(det) < 0).alias("inward"))
     out = turned.join(inward, ["mesh_id", "label"], "left")
     return out.select("mesh_id", "fid", F.when(F.col("inward") & F.col("orientable"), F.reverse("vids")).otherwise(F.col("vids")).alias("vids"), "orientable")
 

@@ -173,6 +173,22 @@ def g14_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.reports
 
 
+def p3_clean_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pipelines.clean_meshes(views.ring_vertices(spark, sf_dir), views.ring_faces(spark, sf_dir), MeshCleaningConfig(smoothing_iters=0))
+    done = out.reports.select("mesh_id", "input_cell_count", "output_cell_count", "boundary_edge_count", "non_manifold_edge_count", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("bigint")
+    return done.unionByName(out.errors.select("mesh_id", *[none.alias(c) for c in done.columns[1:-1]], "error"))
+
+
+# Every open edge takes one more triangle, and none is left.
+P3 = f"""{views.sql(views.RING_FACES)},
+side AS (SELECT mesh_id, least(p, q) AS lo, greatest(p, q) AS hi FROM (SELECT mesh_id, vids[k] AS p, vids[k % 3 + 1] AS q FROM ring_faces, range(1, 4) t(k))),
+edge AS (SELECT mesh_id, count(*) AS uses FROM side GROUP BY mesh_id, lo, hi),
+rim AS (SELECT mesh_id, count(*) FILTER (uses = 1) AS n FROM edge GROUP BY 1),
+f AS (SELECT mesh_id, count(*) AS cells FROM ring_faces GROUP BY 1)
+SELECT mesh_id, cells AS input_cell_count, cells + n AS output_cell_count, 0 AS boundary_edge_count, 0 AS non_manifold_edge_count, NULL::VARCHAR AS error FROM f JOIN rim USING (mesh_id)"""
+
+
 def g7_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # More cells are left out, so that some holes share a corner.
     f = views.faces(spark, sf_dir).filter(F.floor(F.col("fid") / 2) % 37 != 26)
@@ -403,5 +419,5 @@ named AS (SELECT mesh_id, string_agg(joint, ' ' ORDER BY joint_idx) AS joint_nam
 boned AS (SELECT mesh_id, string_agg(bone, ' ' ORDER BY bone) AS bones FROM kinds JOIN b USING (articulation) GROUP BY 1)
 SELECT mesh_id, coalesce(bones, '') AS bones, joint_names, vid, joints, w0, w1, w2, w3 FROM packed JOIN named USING (mesh_id) LEFT JOIN boned USING (mesh_id)"""
 
-QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g11_decimate, g13_topology, g14_clean_report, g15_normals, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
-ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, G11, G13, None, G15, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))
+QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g11_decimate, g13_topology, g14_clean_report, g15_normals, p3_clean_meshes, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
+ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, G11, G13, None, G15, P3, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))

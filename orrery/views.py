@@ -5,6 +5,8 @@ Each view is given twice: as a DataFrame, and as a SQL text that DuckDB runs ove
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +200,41 @@ vertices AS (
           FROM (SELECT DISTINCT p_partkey // {PARTS_PER_MESH} AS mesh_id FROM part), range({(LATTICE_WIDTH + 1) ** 2}) t(vid)))"""
 
 
+#: Cells around a ring's tube, cells that an event stands for, and rows of cells to a ring.
+TUBE, STRIP, RING_ROWS = 120, 6, 500
+
+
+def ring_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles of rings, from ``events``: each is a strip of cells of a ring's surface; errors and a few more are left out."""
+    per_row = TUBE // STRIP
+    e = table(spark, sf_dir, "events").filter((F.col("event_type") != "error") & (F.col("event_id") % 41 != 7))
+    row = F.floor(F.col("event_id") / per_row)
+    cells = e.select(F.floor(row / RING_ROWS).alias("mesh_id"), (row % RING_ROWS).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(STRIP - 1))).alias("s"), (F.col("event_id") % per_row * STRIP).alias("j0"))
+    j = F.col("j0") + F.col("s")
+    at = lambda di, dj: (F.col("i") + di) % RING_ROWS * TUBE + (j + dj) % TUBE
+    pair = F.array(F.array(at(0, 0), at(1, 0), at(1, 1)), F.array(at(0, 0), at(1, 1), at(0, 1)))
+    return cells.select("mesh_id", (2 * at(0, 0)).alias("cell"), F.posexplode(pair).alias("k", "vids")).select("mesh_id", (F.col("cell") + F.col("k")).alias("fid"), "vids")
+
+
+RING_FACES = f"""
+ring_cells AS (
+    SELECT event_id // {TUBE // STRIP} // {RING_ROWS} AS mesh_id, event_id // {TUBE // STRIP} % {RING_ROWS} AS i, event_id % {TUBE // STRIP} * {STRIP} + s AS j
+    FROM events, range({STRIP}) t(s) WHERE event_type <> 'error' AND event_id % 41 <> 7),
+ring_faces AS (
+    SELECT mesh_id, 2 * (i * {TUBE} + j) + k AS fid,
+           CASE WHEN k = 0 THEN [i * {TUBE} + j, (i + 1) % {RING_ROWS} * {TUBE} + j, (i + 1) % {RING_ROWS} * {TUBE} + (j + 1) % {TUBE}]
+                ELSE [i * {TUBE} + j, (i + 1) % {RING_ROWS} * {TUBE} + (j + 1) % {TUBE}, i * {TUBE} + (j + 1) % {TUBE}] END AS vids
+    FROM ring_cells, (SELECT unnest([0, 1]) AS k))"""
+
+
+def ring_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the rings' faces, on a ring of radius 10 with a tube of radius 3."""
+    used = ring_faces(spark, sf_dir).select("mesh_id", F.explode("vids").alias("vid")).distinct()
+    around, tube = F.floor(F.col("vid") / TUBE) * (2 * math.pi / RING_ROWS), F.col("vid") % TUBE * (2 * math.pi / TUBE)
+    far = 10 + 3 * F.cos(tube)
+    return used.select("mesh_id", "vid", (far * F.cos(around)).alias("x"), (far * F.sin(around)).alias("y"), (3 * F.sin(tube)).alias("z"), F.lit(None).cast("array<double>").alias("color"))
+
+
 def sql(*views: str, recursive: bool = False) -> str:
     """The WITH clause that defines ``views``, to go before a SELECT."""
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(views)

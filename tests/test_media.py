@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
-from orrery.operators import classify, components, contracts, deliver, jobs, mesh, pairing, points, rig, sampling, sync
+from orrery.operators import classify, components, contraction, contracts, deliver, jobs, mesh, pairing, points, rig, sampling, sync
 from orrery.plans import pipelines
 from orrery.sources import media, ply
 from orrery.streaming import live
@@ -583,3 +583,14 @@ def test_offsets_by_hand(spark):
         middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
         assert got[u] == pytest.approx(middle, abs=1e-3)
     assert got[3] == 0.0
+
+
+def test_contracted_components(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(1, k, k + 1) for k in range(3000) if k % 97] + [(2, r.randrange(4000), r.randrange(4000)) for _ in range(3500)] + [(3, 5, 5), (1, None, 4)]
+    edges = spark.createDataFrame(rows, "m long, a long, b long").repartition(7).select(*[F.when(F.col(c).isNotNull(), F.struct("m", F.col(c).alias("v"))).alias(n) for c, n in (("a", "src"), ("b", "dst"))])
+    want = {tuple(x["vertex"]): tuple(x["component"]) for x in components.connected_components(edges).collect()}
+    for spread in (False, True):
+        got = contraction.contracted_components(edges, spread).collect()
+        assert len(got) == len(want) and {tuple(x["vertex"]): tuple(x["component"]) for x in got} == want
+    assert contraction.contracted_components(edges.limit(0)).count() == 0
