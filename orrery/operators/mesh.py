@@ -7,14 +7,17 @@ follow those that are there.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.components import connected_components
 from orrery.operators.contraction import contracted_components
 from orrery.operators.decimation import decimate as decimate
-from orrery.sources.scratch import written
+from orrery.sources.scratch import dropped, written
 
 # Names of arrays that hold vertex colours.
 COLOR_NAMES = ("RGBA", "RGB", "rgba", "rgb", "COLOR_0", "color_0")
@@ -210,37 +213,92 @@ def feature_edges(vertices: DataFrame, faces: DataFrame, angle: float) -> DataFr
     return pair.filter((F.col("uses") != 2) | (cosine < math.cos(math.radians(angle)))).select("mesh_id", "lo", "hi")
 
 
-def smooth(vertices: DataFrame, faces: DataFrame, mode: str, iterations: int, pass_band: float, feature_angle: float = 45.0) -> DataFrame:
-    """Taubin smoothing: each iteration a step of 0.5 towards the neighbours' mean and one back, which keeps the volume.
+def sinc_weights(terms: int, pass_band: float) -> list[float]:
+    """Weights of the polynomials T_0 to T_terms of a low-pass filter that keeps frequencies below ``pass_band`` (0 to 2).
 
-    In room mode vertices on feature or boundary edges move only with their neighbours along such edges.
+    They are those of an ideal filter's series under a Hamming window; its edge is moved up until the filter keeps the
+    pass band itself (to two in a thousand), and the weights add up to 1, so that what doesn't vary stays as it is.
+    """
+    edge = math.acos(1 - pass_band / 2)
+    window = [0.54 + 0.46 * math.cos(math.pi * j / (terms + 1)) for j in range(terms + 1)]
+
+    def weights(at: float) -> list[float]:
+        raw = [window[j] * (at / math.pi if j == 0 else 2 * math.sin(j * at) / (j * math.pi)) for j in range(terms + 1)]
+        return [x / sum(raw) for x in raw]
+
+    lost = lambda at: 1 - sum(w * math.cos(j * edge) for j, w in enumerate(weights(at)))
+    # The least shift that is enough; few terms can't be as sharp, and take the one that comes nearest.
+    shifts = [edge + k / 1000 * (math.pi - edge) for k in range(900)]
+    return weights(next((at for at in shifts if abs(lost(at)) <= 0.002), min(shifts, key=lambda at: abs(lost(at)))))
+
+
+def smoothing_neighbours(vertices: DataFrame, faces: DataFrame, mode: str, feature_angle: float) -> DataFrame:
+    """(mesh_id, vid, other): whose mean a vertex is compared with.
+
+    For most these are all vertices that they share an edge with. Vertices on lines (open edges; in room mode feature edges
+    too) look along their line only, and stay where they are unless two edges of it meet there.
+    """
+    both = lambda df: df.select("mesh_id", F.explode(F.array(F.struct(F.col("lo").alias("vid"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("vid"), F.col("lo").alias("other")))).alias("p")).select("mesh_id", "p.*")
+    uses = edge_uses(faces)
+    lines = feature_edges(vertices, faces, feature_angle) if mode == "room" else uses.filter("uses <> 2").select("mesh_id", "lo", "hi")
+    along = both(lines)
+    ends = along.groupBy("mesh_id", "vid").agg(F.count(F.lit(1)).alias("n"), F.collect_list("other").alias("others"))
+    led = ends.filter("n = 2").select("mesh_id", "vid", F.explode("others").alias("other"))
+    return led.unionByName(both(uses).join(ends.select("mesh_id", "vid"), ["mesh_id", "vid"], "left_anti"))
+
+
+#: Meshes of up to so many vertices are smoothed whole, each in one task.
+WHOLE_VERTICES = 200_000
+
+
+def _smooth_whole(weights: list[float]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(points: pa.Table, near: pa.Table) -> pa.Table:
+        vid = points.column("vid").to_numpy()
+        order = np.argsort(vid, kind="stable")
+        start = np.stack([points.column(c).to_numpy(zero_copy_only=False)[order] for c in XYZ], axis=1)
+        of, to = (np.searchsorted(vid[order], near.column(c).to_numpy()) for c in ("n_vid", "n_other"))
+        degree = np.bincount(of, minlength=len(vid))[:, None]
+        mean = lambda x: np.where(degree > 0, np.stack([np.bincount(of, weights=x[to, i], minlength=len(vid)) for i in range(3)], axis=1) / np.maximum(degree, 1), x)
+        before, now = start, (start + mean(start)) / 2
+        out = weights[0] * before + weights[1] * now
+        for w in weights[2:]:
+            before, now = now, now + mean(now) - before
+            out += w * now
+        out = np.where(degree > 0, out, start)
+        return pa.Table.from_arrays([points.column("mesh_id"), pa.array(vid[order]), *[pa.array(out[:, i]) for i in range(3)]], names=["mesh_id", "vid", *XYZ])
+
+    return run
+
+
+def smooth(vertices: DataFrame, faces: DataFrame, mode: str, iterations: int, pass_band: float, feature_angle: float = 45.0, whole: int = WHOLE_VERTICES) -> DataFrame:
+    """A windowed-sinc filter of ``iterations`` terms: details beyond ``pass_band`` go, and the volume stays.
+
+    The terms are Chebyshev polynomials of the step half-way to the neighbours' mean; each comes from the two before it.
+    Meshes of up to ``whole`` vertices are filtered whole in one task each. For larger ones each term is a join with the
+    neighbours and a mean.
     """
     if not iterations:
         return vertices
-    shrink = 0.5
-    grow = 1.0 / (pass_band - 1.0 / shrink)
-    links = edge_uses(faces).select("mesh_id", "lo", "hi")
-    if mode == "room":
-        lines = feature_edges(vertices, faces, feature_angle)
-        pinned = lines.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vid")).distinct()
-        end = lambda c: pinned.withColumnRenamed("vid", c)
-        both = lines.select("mesh_id", F.explode(F.array(F.struct(F.col("lo").alias("vid"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("vid"), F.col("lo").alias("other")))).alias("p"))
-        free = links.select("mesh_id", F.explode(F.array(F.struct(F.col("lo").alias("vid"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("vid"), F.col("lo").alias("other")))).alias("p"))
-        neighbours = both.select("mesh_id", "p.*").unionByName(free.select("mesh_id", "p.*").join(end("vid"), ["mesh_id", "vid"], "left_anti"))
-    else:
-        pairs = F.array(F.struct(F.col("lo").alias("vid"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("vid"), F.col("lo").alias("other")))
-        neighbours = links.select("mesh_id", F.explode(pairs).alias("p")).select("mesh_id", "p.*")
-    neighbours = written(neighbours, "mesh-neighbours")
-    now = vertices
-    for step in range(2 * iterations):
-        factor = shrink if step % 2 == 0 else grow
-        around = neighbours.join(now.select("mesh_id", F.col("vid").alias("other"), *XYZ), ["mesh_id", "other"]).groupBy("mesh_id", "vid").agg(*[F.avg(c).alias(f"m{c}") for c in XYZ])
-        met = now.join(around, ["mesh_id", "vid"], "left")
-        moved = [F.coalesce(F.col(c) + factor * (F.col(f"m{c}") - F.col(c)), F.col(c)).alias(c) for c in XYZ]
-        now = met.select(*[c for c in vertices.columns if c not in XYZ], *moved).select(*vertices.columns)
-        if step % 4 == 3:
-            now = written(now, "mesh-smooth")
-    return now
+    weights = sinc_weights(iterations, pass_band)
+    near = written(smoothing_neighbours(vertices, faces, mode, feature_angle), "mesh-neighbours")
+    large = written(vertices.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).select("mesh_id"), "mesh-large")
+    small = vertices.select("mesh_id", "vid", *XYZ).join(large, "mesh_id", "left_anti")
+    own = near.join(large, "mesh_id", "left_anti").select(F.col("mesh_id").alias("n_mesh"), F.col("vid").alias("n_vid"), F.col("other").alias("n_other"))
+    done = small.groupBy("mesh_id").cogroup(own.groupBy("n_mesh")).applyInArrow(_smooth_whole(weights), "mesh_id long, vid long, x double, y double, z double")
+    if not large.isEmpty():
+        near = near.join(large, "mesh_id", "left_semi")
+        now = vertices.join(large, "mesh_id", "left_semi").select("mesh_id", "vid", *XYZ, *[F.col(c).alias(f"b{c}") for c in XYZ], *[(weights[0] * F.col(c)).alias(f"s{c}") for c in XYZ])
+        for k, w in enumerate(weights[1:]):
+            around = near.join(now.select("mesh_id", F.col("vid").alias("other"), *XYZ), ["mesh_id", "other"]).groupBy("mesh_id", "vid").agg(*[F.avg(c).alias(f"m{c}") for c in XYZ])
+            met = now.join(around, ["mesh_id", "vid"], "left")
+            after = lambda c: F.coalesce((F.col(c) + F.col(f"m{c}")) / 2 if k == 0 else F.col(c) + F.col(f"m{c}") - F.col(f"b{c}"), F.col(c))  # noqa: E731, B023
+            now = met.select("mesh_id", "vid", *[after(c).alias(c) for c in XYZ], *[F.col(c).alias(f"b{c}") for c in XYZ], *[(F.col(f"s{c}") + w * after(c)).alias(f"s{c}") for c in XYZ])
+            if k % 3 == 2:
+                held, now = now, written(now, "mesh-smooth")
+                dropped(held)
+        done = done.unionByName(now.select("mesh_id", "vid", *[F.col(f"s{c}").alias(c) for c in XYZ]))
+    moved = done.select("mesh_id", "vid", *[F.col(c).alias(f"n{c}") for c in XYZ])
+    return vertices.join(moved, ["mesh_id", "vid"], "left").select(*[F.coalesce(f"n{c}", c).alias(c) if c in XYZ else F.col(f"`{c}`") for c in vertices.columns])
 
 
 def close_points(vertices: DataFrame, size: DataFrame) -> DataFrame:
@@ -421,6 +479,47 @@ def run_step(step: str, operator, *args, **kwargs):
         raise MeshStepError(step, cause) from cause
 
 
+def faults(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(mesh_id, error) of meshes that no step can work on: corners without a vertex or null, vertices that stand twice.
+
+    The first of a mesh is named. Null corners and faces of fewer than three corners count as faults of the face.
+    """
+    corner = faces.select("mesh_id", "fid", F.explode_outer("vids").alias("vid"))
+    there = vertices.groupBy("mesh_id", "vid").agg(F.count(F.lit(1)).alias("n"))
+    met = corner.join(there, ["mesh_id", "vid"], "left").filter("n is null")
+    lost = F.concat(F.lit("face "), F.col("fid").cast("string"), F.coalesce(F.concat(F.lit(" names vertex "), F.col("vid").cast("string"), F.lit(", which isn't there")), F.lit(" has a null corner")))
+    few = faces.filter(F.coalesce(F.size("vids"), F.lit(0)) < 3).select("mesh_id", F.concat(F.lit("face "), F.col("fid").cast("string"), F.lit(" has fewer than three corners")).alias("error"))
+    twice = there.filter("n > 1").select("mesh_id", F.concat(F.lit("vertex "), F.coalesce(F.col("vid").cast("string"), F.lit("null")), F.lit(" stands there "), F.col("n").cast("string"), F.lit(" times")).alias("error"))
+    return met.select("mesh_id", lost.alias("error")).unionByName(few).unionByName(twice).groupBy("mesh_id").agg(F.min("error").alias("error"))
+
+
+ERRORS = "mesh_id long, error string, step string"
+
+
+def run_step_each(step: str, operator: Callable[..., DataFrame | tuple[DataFrame, ...]], tables: tuple[DataFrame, ...], *args, level: int = 0) -> tuple[tuple[DataFrame, ...], DataFrame | None]:
+    """(the tables that ``operator`` makes of ``tables``, error rows): meshes that make the step fail don't stop the others.
+
+    The step runs once for all. Only if it fails, its meshes are halved by a hash of their number, again and again, until
+    the failing ones stand alone: each gives an error row with the step, all others their results.
+    """
+    try:
+        made = run_step(step, operator, *tables, *args)
+        return (made if isinstance(made, tuple) else (made,)), None
+    except MeshStepError as failed:
+        ids = [r[0] for r in tables[0].select("mesh_id").unionByName(tables[-1].select("mesh_id")).distinct().limit(2).collect()]
+        if len(ids) < 2 or level > 62:
+            cause = str(failed.__cause__).strip().splitlines()
+            spark = tables[0].sparkSession
+            return (), spark.createDataFrame([(i, f"Mesh cleaning step '{step}' failed: {cause[0] if cause else type(failed.__cause__).__name__}", step) for i in ids], ERRORS)
+    made, errors = (), None
+    for half in (0, 1):
+        own = tuple(t.filter(F.shiftright(F.xxhash64("mesh_id"), level).bitwiseAND(1) == half) for t in tables)
+        part, wrong = run_step_each(step, operator, own, *args, level=level + 1)
+        made = tuple(a.unionByName(b) for a, b in zip(made, part, strict=True)) if made and part else made or part
+        errors = wrong if errors is None else errors.unionByName(wrong) if wrong is not None else errors
+    return made, errors
+
+
 def tagged(errors: DataFrame, step: str) -> DataFrame:
     """Error rows (mesh_id, error) with the step that made them."""
     return errors.withColumn("step", F.lit(step))

@@ -211,23 +211,53 @@ n AS (SELECT c.mesh_id, boundary - 4 * (SELECT count(*) FROM alone a WHERE a.mes
 SELECT mesh_id, boundary_edge_count, non_manifold_edge_count, boundary_edge_count + non_manifold_edge_count = 0 AS is_watertight, boundary_edge_count + non_manifold_edge_count AS open_edge_count FROM n"""
 
 
-def g8_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = views.vertices(spark, sf_dir)
-    out = mesh.smooth(v, views.faces(spark, sf_dir), "object", 1, 0.1)
+def _smoothed(spark: SparkSession, sf_dir: str, mode: str, whole: int) -> DataFrame:
+    out = mesh.smooth(views.vertices(spark, sf_dir), mesh.triangulate(views.faces(spark, sf_dir)), mode, 2, 0.1, 20.0, whole)
     return out.select("mesh_id", "vid", *[F.round(c, 9).alias(c) for c in ("x", "y", "z")])
 
 
-def _half_step(name: str, source: str, factor: str) -> str:
+def g8_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _smoothed(spark, sf_dir, "object", mesh.WHOLE_VERTICES)
+
+
+def g8_smooth_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature edges stay lines; as if every mesh were too large for one task."""
+    return _smoothed(spark, sf_dir, "room", 0)
+
+
+def _term(name: str, now: str, before: str | None) -> str:
+    """The next polynomial from the one before it and the one before that."""
+    move = lambda c: f"coalesce((n.{c} + m.{c}) / 2, n.{c})" if before is None else f"coalesce(n.{c} + m.{c} - b.{c}, n.{c})"
+    join = "" if before is None else f" JOIN {before} b USING (mesh_id, vid)"
     return f"""
-m_{name} AS (SELECT n.mesh_id, n.vid, avg(o.x) AS mx, avg(o.y) AS my, avg(o.z) AS mz FROM near n JOIN {source} o ON o.mesh_id = n.mesh_id AND o.vid = n.other GROUP BY ALL),
-{name} AS (
-    SELECT mesh_id, vid, coalesce(x + {factor} * (mx - x), x) AS x, coalesce(y + {factor} * (my - y), y) AS y, coalesce(z + {factor} * (mz - z), z) AS z FROM {source} LEFT JOIN m_{name} USING (mesh_id, vid))"""
+m_{name} AS (SELECT n.mesh_id, n.vid, avg(o.x) AS x, avg(o.y) AS y, avg(o.z) AS z FROM near n JOIN {now} o ON o.mesh_id = n.mesh_id AND o.vid = n.other GROUP BY ALL),
+{name} AS (SELECT mesh_id, vid, {", ".join(f"{move(c)} AS {c}" for c in "xyz")} FROM {now} n LEFT JOIN m_{name} m USING (mesh_id, vid){join})"""
 
 
-G8 = f"""{views.sql(views.CELLS, views.FACES, views.VERTICES)},
-d AS (SELECT mesh_id, vids[k] AS a, vids[k % len(vids) + 1] AS b FROM faces, range(1, 5) t(k) WHERE k <= len(vids)),
-near AS (SELECT mesh_id, a AS vid, b AS other FROM d UNION SELECT mesh_id, b, a FROM d),{_half_step("shrunk", "vertices", "0.5::DOUBLE")},{_half_step("grown", "shrunk", "(1 / (0.1::DOUBLE - 1 / 0.5::DOUBLE))")}
-SELECT mesh_id, vid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM grown"""
+def _smooth_sql(lines: str) -> str:
+    w = [f"({x!r})::DOUBLE" for x in mesh.sinc_weights(2, 0.1)]
+    mix = ", ".join(f"round(CASE WHEN s.vid IS NULL THEN v.{c} ELSE {w[0]} * v.{c} + {w[1]} * one.{c} + {w[2]} * two.{c} END, 9) AS {c}" for c in "xyz")
+    return f"""{views.sql(views.CELLS, views.FACES, views.VERTICES)},
+tri AS (SELECT mesh_id, 2 * fid AS id, vids[1] AS a, vids[2] AS b, vids[3] AS c FROM faces UNION ALL SELECT mesh_id, 2 * fid + 1, vids[1], vids[3], vids[4] FROM faces WHERE len(vids) = 4),
+side AS (SELECT mesh_id, id, least(p, q) AS lo, greatest(p, q) AS hi FROM (SELECT mesh_id, id, a AS p, b AS q FROM tri UNION ALL SELECT mesh_id, id, b, c FROM tri UNION ALL SELECT mesh_id, id, c, a FROM tri)),
+d AS (SELECT mesh_id, lo, hi, count(*) AS uses, min(id) AS f, max(id) AS g FROM side GROUP BY ALL),
+{lines},
+both_ AS (SELECT mesh_id, lo AS vid, hi AS other FROM d UNION ALL SELECT mesh_id, hi, lo FROM d),
+along AS (SELECT mesh_id, lo AS vid, hi AS other FROM line UNION ALL SELECT mesh_id, hi, lo FROM line),
+ends AS (SELECT mesh_id, vid, count(*) AS n FROM along GROUP BY ALL),
+near AS (SELECT a.* FROM along a JOIN ends e USING (mesh_id, vid) WHERE n = 2 UNION ALL SELECT b.* FROM both_ b ANTI JOIN ends e USING (mesh_id, vid)),
+seen AS (SELECT DISTINCT mesh_id, vid FROM near),{_term("one", "vertices", None)},{_term("two", "one", "vertices")}
+SELECT v.mesh_id, v.vid, {mix} FROM vertices v JOIN one USING (mesh_id, vid) JOIN two USING (mesh_id, vid) LEFT JOIN seen s ON s.mesh_id = v.mesh_id AND s.vid = v.vid"""
+
+
+G8 = _smooth_sql("line AS (SELECT mesh_id, lo, hi FROM d WHERE uses <> 2)")
+G8_ROOM = _smooth_sql("""
+p AS (
+    SELECT mesh_id, id, (y.y - x.y) * (z.z - x.z) - (y.z - x.z) * (z.y - x.y) AS nx, (y.z - x.z) * (z.x - x.x) - (y.x - x.x) * (z.z - x.z) AS ny, (y.x - x.x) * (z.y - x.y) - (y.y - x.y) * (z.x - x.x) AS nz
+    FROM tri t JOIN vertices x USING (mesh_id) JOIN vertices y USING (mesh_id) JOIN vertices z USING (mesh_id) WHERE x.vid = a AND y.vid = b AND z.vid = c),
+line AS (
+    SELECT mesh_id, lo, hi FROM d LEFT JOIN p ON d.mesh_id = p.mesh_id AND d.f = p.id LEFT JOIN p q ON d.mesh_id = q.mesh_id AND d.g = q.id
+    WHERE uses <> 2 OR (p.nx * q.nx + p.ny * q.ny + p.nz * q.nz) / sqrt((p.nx * p.nx + p.ny * p.ny + p.nz * p.nz) * (q.nx * q.nx + q.ny * q.ny + q.nz * q.nz)) < cos(radians(20)))""".replace("SELECT mesh_id, lo, hi FROM d LEFT", "SELECT d.mesh_id, lo, hi FROM d LEFT"))
 
 
 def g11_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,5 +449,5 @@ named AS (SELECT mesh_id, string_agg(joint, ' ' ORDER BY joint_idx) AS joint_nam
 boned AS (SELECT mesh_id, string_agg(bone, ' ' ORDER BY bone) AS bones FROM kinds JOIN b USING (articulation) GROUP BY 1)
 SELECT mesh_id, coalesce(bones, '') AS bones, joint_names, vid, joints, w0, w1, w2, w3 FROM packed JOIN named USING (mesh_id) LEFT JOIN boned USING (mesh_id)"""
 
-QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g11_decimate, g13_topology, g14_clean_report, g15_normals, p3_clean_meshes, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
-ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, G11, G13, None, G15, P3, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))
+QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g8_smooth_room, g11_decimate, g13_topology, g14_clean_report, g15_normals, p3_clean_meshes, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
+ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, G8_ROOM, G11, G13, None, G15, P3, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))

@@ -594,3 +594,56 @@ def test_contracted_components(spark, monkeypatch):
         got = contraction.contracted_components(edges, spread).collect()
         assert len(got) == len(want) and {tuple(x["vertex"]): tuple(x["component"]) for x in got} == want
     assert contraction.contracted_components(edges.limit(0)).count() == 0
+
+
+def test_windowed_sinc(spark):
+    w = mesh.sinc_weights(20, 0.1)
+    response = lambda k: sum(x * math.cos(j * math.acos(1 - k / 2)) for j, x in enumerate(w))
+    assert sum(w) == pytest.approx(1) and response(0.1) == pytest.approx(1, abs=3e-3) and all(abs(response(k / 10)) < 0.05 for k in range(8, 20))
+    # By hand, whole and by joins, with an open rim and a vertex that nothing touches.
+    v, f = tables(spark, sphere(cap=True), plane(5))
+    v = v.unionByName(spark.createDataFrame([(2, 900, 3.0, 3.0, 3.0, None)], VERTEX))
+    rows, faces = v.collect(), [(r["mesh_id"], r["vids"]) for r in mesh.triangulate(f).collect()]
+    uses = {}
+    for m, t in faces:
+        for a, b in zip(t, (*t[1:], t[0]), strict=True):
+            uses[m, min(a, b), max(a, b)] = uses.get((m, min(a, b), max(a, b)), 0) + 1
+    near, rim = {}, {}
+    for (m, a, b), n in uses.items():
+        for x, y in ((a, b), (b, a)):
+            near.setdefault((m, x), []).append(y)
+            if n != 2:
+                rim.setdefault((m, x), []).append(y)
+    near = {k: rim.get(k, ys) if len(rim.get(k, [0, 0])) == 2 else [] for k, ys in near.items()}
+    xyz = {(r["mesh_id"], r["vid"]): [r["x"], r["y"], r["z"]] for r in rows}
+    step = lambda p: {k: [sum(p[k[0], o][i] for o in near[k]) / len(near[k]) for i in range(3)] if near.get(k) else x for k, x in p.items()}
+    w = mesh.sinc_weights(4, 0.3)
+    before, now = xyz, {k: [(a + b) / 2 for a, b in zip(xyz[k], m, strict=True)] for k, m in step(xyz).items()}
+    want = {k: [w[0] * a + w[1] * b for a, b in zip(xyz[k], now[k], strict=True)] for k in xyz}
+    for x in w[2:]:
+        mean = step(now)
+        before, now = now, {k: [a + b - c for a, b, c in zip(now[k], mean[k], before[k], strict=True)] for k in now}
+        want = {k: [a + x * b for a, b in zip(want[k], now[k], strict=True)] for k in want}
+    want = {k: p if near.get(k) else xyz[k] for k, p in want.items()}
+    for whole in (mesh.WHOLE_VERTICES, 0):
+        got = {(r["mesh_id"], r["vid"]): [r["x"], r["y"], r["z"]] for r in mesh.smooth(v, mesh.triangulate(f), "object", 4, 0.3, whole=whole).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == pytest.approx(want[k], abs=1e-9), k
+
+
+def test_one_mesh_fails_and_the_others_go_on(spark, monkeypatch):
+    v, f = tables(spark, *[sphere(cap=True, mesh_id=m) for m in range(1, 11)])
+    # Mesh 3 names a vertex that isn't there, mesh 5 has a vertex twice, mesh 9 makes smoothing itself fail.
+    f = f.withColumn("vids", F.when((F.col("mesh_id") == 3) & (F.col("fid") == 4), F.array(F.lit(0), F.lit(1), F.lit(77))).otherwise(F.col("vids")))
+    v = v.unionByName(v.filter("mesh_id = 5 and vid = 2"))
+    inner = mesh.smooth
+    breaks = lambda points, *rest: inner(points, *rest).withColumn("x", F.when(F.col("mesh_id") == 9, F.raise_error(F.lit("no such filter")).cast("double")).otherwise(F.col("x")))
+    monkeypatch.setattr(mesh, "smooth", breaks)
+    out = pipelines.clean_meshes(v, f, contracts.MeshCleaningConfig(smoothing_iters=1))
+    assert {r["mesh_id"] for r in out.reports.collect()} == {1, 2, 4, 6, 7, 8, 10}
+    errors = {r["mesh_id"]: (r["step"], r["error"]) for r in out.errors.collect()}
+    assert errors[3] == ("component_filter", "Mesh cleaning step 'component_filter' failed: face 4 names vertex 77, which isn't there")
+    assert errors[5][1].endswith("vertex 2 stands there 2 times") and errors.keys() == {3, 5, 9}
+    assert errors[9][0] == "smooth" and "no such filter" in errors[9][1]
+    assert out.faces.filter("mesh_id in (3, 5, 9)").count() == 0
