@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery import views
 from orrery.operators import jobs, sync
 from orrery.plans import pipelines
-from orrery.registry.capture import ENTRIES, PLANNED
+from orrery.registry.capture import C3, ENTRIES, PLANNED, _video_frames
 from orrery.registry.uploads import KIND_SQL, REQUESTS_SQL, _requests
 from orrery.sources import media
+from orrery.sources.scratch import shared_dir
 from orrery.streaming import live
 
 #: A user of the table has at most about a hundred events: smaller limits than those of live use make the rules act.
@@ -61,6 +65,30 @@ fold AS (
 SELECT subject, request_id, "at", allowed, remaining FROM fold"""
 
 
+def _streamed(rows: DataFrame, place: Column, build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What ``build`` makes of ``rows`` as a stream of three files, by their ``place`` in it (0, 1 or 2)."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for k in range(3):
+        rows.filter(place == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    made = build(source)
+    made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+def i4_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.requests(spark, sf_dir)
+    third = F.least(F.lit(2), F.floor(F.col("at") / (10 * DAY)))
+    return _streamed(r, third, lambda s: live.rate_limit_stream(s, LIMIT, DAY), "live-limit")
+
+
+def i5_live_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _video_frames(spark, sf_dir)
+    third = F.least(F.lit(2), F.floor(F.col("index") / 20))
+    return _streamed(f, third, live.adaptive_sample_stream, "live-sample")
+
+
 def i6_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = views.live_frames(spark, sf_dir).select("stream_id").distinct().withColumn("transport", F.lit("websocket"))
     return live.stream_headers(streams)
@@ -114,6 +142,22 @@ SELECT o_orderkey::VARCHAR AS job_id, '{"backend":"mast3r","device":"auto","dry_
 FROM orders"""
 
 
+def a2_payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/payloads-{uuid.uuid4().hex}"
+    p = _payloads(spark, sf_dir)
+    media.write_payloads(p.select(F.col("upload_id").cast("string").alias("upload_id"), *[c for c in p.columns if c != "upload_id"]), f"{folder}/good")
+    # Files with a payload that breaks the contract, and with one that is no JSON.
+    spark.range(2).select(F.when(F.col("id") == 0, F.lit('{"upload_id": "x1", "source_type": "single_image", "track": "track_z", "compute_priority_score": 0.5}')).otherwise(F.lit("{no json")).alias("value")).write.text(f"{folder}/bad")
+    good, bad = media.checked_payloads(media.read_payloads(spark, f"{folder}/*/*"))
+    kept = good.select("upload_id", "source_type", F.size("frames").cast("long").alias("frames"), F.lit(0).alias("refused"))
+    return kept.unionByName(bad.agg(F.lit(None).cast("string").alias("upload_id"), F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("long").alias("frames"), F.count(F.lit(1)).cast("int").alias("refused")))
+
+
+A2 = f"""{views.sql(views.FRAMES, views.UPLOADS)}
+SELECT upload_id::VARCHAR AS upload_id, source_type, count(*) AS frames, 0 AS refused FROM uploads JOIN frames USING (upload_id) GROUP BY ALL
+UNION ALL SELECT NULL, NULL, NULL, 2"""
+
+
 def p1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = views.media_items(spark, sf_dir)
     p = pipelines.ingest(items.select("upload_id").distinct(), items, views.frames(spark, sf_dir).withColumn("fps", F.lit(12.0)))
@@ -183,5 +227,5 @@ SELECT o_orderkey AS job_key, track, coalesce(error, CASE WHEN o_orderkey % 10 =
        CASE WHEN error IS NOT NULL OR o_orderkey % 10 = 0 THEN 'rejected' WHEN track = 'C' THEN 'not_implemented' ELSE 'delivered' END AS status
 FROM t"""
 
-QUERIES = {f.__name__: f for f in (a3_payload_round_trip, a7_manifests, i1_decisions, i2_snapshot, i3_dropped, i4_rate_limit, i6_headers, k1_payloads, p1_ingest, p2_plan_jobs, p4_deliver)}
-ORACLES = dict(zip(QUERIES, (A3, A7, I1, I2, I3, I4, I6, K1, P1, P2, P4), strict=True))
+QUERIES = {f.__name__: f for f in (a2_payload_files, a3_payload_round_trip, a7_manifests, i1_decisions, i2_snapshot, i3_dropped, i4_rate_limit, i4_rate_limit_stream, i5_live_sample, i6_headers, k1_payloads, p1_ingest, p2_plan_jobs, p4_deliver)}
+ORACLES = dict(zip(QUERIES, (A2, A3, A7, I1, I2, I3, I4, I4, C3, I6, K1, P1, P2, P4), strict=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from orrery.operators import mesh, points, rig
 from orrery.operators.contracts import MeshCleaningConfig
 from orrery.plans import pipelines
 from orrery.sources import media
+from orrery.sources.ply import PlySource
+from orrery.sources.scratch import shared_dir
 
 
 def b11_rgb_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +51,20 @@ def f2_confident_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 F2 = f"{views.sql(views.POINTS)} SELECT * FROM points WHERE conf > 1.5 AND NOT isnan(conf) AND isfinite(x + y + z)"
 
 
+def a5_ply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(PlySource)
+    folder = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}"
+    p = points.confident(views.points(spark, sf_dir))
+    byte = lambda c: F.floor(F.least(F.col(c), F.lit(1.0)) * 255).cast("int")
+    cloud = p.select(*[F.col(c).cast("float").alias(c) for c in "xyz"], byte("r").alias("red"), byte("g").alias("green"), byte("b").alias("blue"))
+    cloud.write.format("ply").option("path", folder).mode("append").save()
+    return spark.read.format("ply").option("path", folder).load()
+
+
+A5 = f"""{views.sql(views.POINTS)} SELECT x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z, floor(least(r, 1) * 255)::INTEGER AS red, floor(least(g, 1) * 255)::INTEGER AS green, floor(least(b, 1) * 255)::INTEGER AS blue
+FROM points WHERE conf > 1.5 AND NOT isnan(conf) AND isfinite(x + y + z)"""
+
+
 def f3_paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.points(spark, sf_dir).select(F.concat_ws("/", F.col("job_id").cast("string"), F.col("view").cast("string")).alias("cloud_id"), F.col("pix").alias("pos"), "y", "z", "r", "g")
     return points.pair_rows(p.select("cloud_id", "pos", "y", "z"), p.filter("pos < 20").select("cloud_id", "pos", "r", "g"))
@@ -449,5 +467,5 @@ named AS (SELECT mesh_id, string_agg(joint, ' ' ORDER BY joint_idx) AS joint_nam
 boned AS (SELECT mesh_id, string_agg(bone, ' ' ORDER BY bone) AS bones FROM kinds JOIN b USING (articulation) GROUP BY 1)
 SELECT mesh_id, coalesce(bones, '') AS bones, joint_names, vid, joints, w0, w1, w2, w3 FROM packed JOIN named USING (mesh_id) LEFT JOIN boned USING (mesh_id)"""
 
-QUERIES = {f.__name__: f for f in (b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g8_smooth_room, g11_decimate, g13_topology, g14_clean_report, g15_normals, p3_clean_meshes, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
-ORACLES = dict(zip(QUERIES, (B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, G8_ROOM, G11, G13, None, G15, P3, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))
+QUERIES = {f.__name__: f for f in (a5_ply_files, b11_rgb_bytes, f1_flatten_rows, f2_confident_points, f3_paired_rows, g1_validate, g3_bounds, g4_components, g5_object_filter, g6_room_filter, g9_weld, g10_triangulate, g12_transfer_colors, g7_fill_holes, g8_smooth, g8_smooth_room, g11_decimate, g13_topology, g14_clean_report, g15_normals, p3_clean_meshes, j1_merge, j2_first_blocks, a8_rig_metadata, h1_unit_normalise, h2_skeletons, h4_weights, h5_packed, h6_bones, h7_rig_results)}
+ORACLES = dict(zip(QUERIES, (A5, B11, F1, F2, F3, G1, G3, G4, G5, G6, G9, G10, G12, G7, G8, G8_ROOM, G11, G13, None, G15, P3, J1, J2, A8, H1, H2, H4, H5, H6, H7), strict=True))

@@ -19,6 +19,8 @@ from orrery.operators.sampling import interval, min_gap
 RING = 64
 MAX_FRAME_BYTES = 10 * 1024 * 1024
 MAX_REQUESTS, WINDOW_SECONDS = 60, 60
+#: Seconds put before the times of a stream: watermarks begin at 0, and what isn't later counts as late.
+ORIGIN = 1_000_000_000
 
 
 def _verdict(max_bytes: int) -> Column:
@@ -107,10 +109,17 @@ def decide_stream(frames: DataFrame, ring: int = RING, max_bytes: int = MAX_FRAM
     return judged.groupBy("stream_id").applyInPandasWithState(step, schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WINDOW_SECONDS) -> DataFrame:
-    """``rate_limit`` on a streaming table; a subject's state is the at most ``limit`` times that count."""
+def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WINDOW_SECONDS, lateness: str = "10 minutes") -> DataFrame:
+    """``rate_limit`` on a streaming table; a subject's state is the at most ``limit`` times that count.
+
+    Once the stream's watermark (the latest time less ``lateness``) is more than a window beyond a subject's last allowed
+    request, nothing of it counts any more and its state goes. Requests behind the watermark are late and have no row.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(["at", "request_id"], kind="stable")
         allowed, remaining = [], []
@@ -119,10 +128,12 @@ def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window: in
             allowed.append(ok)
             remaining.append(left)
         state.update((held,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(1000 * ((held[-1] if held else rows["at"].max()) + window + 1 + ORIGIN))))
         yield pd.DataFrame({"subject": key[0], "request_id": rows["request_id"], "at": rows["at"], "allowed": allowed, "remaining": pd.Series(remaining, rows.index, dtype="int32")})
 
     kind = requests.schema["subject"].dataType.simpleString()
-    return requests.groupBy("subject").applyInPandasWithState(step, f"subject {kind}, request_id long, at long, allowed boolean, remaining int", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumn("arrived", F.timestamp_seconds(F.col("at") + ORIGIN)).withWatermark("arrived", lateness)
+    return timed.groupBy("subject").applyInPandasWithState(step, f"subject {kind}, request_id long, at long, allowed boolean, remaining int", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def adaptive_sample_stream(frames: DataFrame) -> DataFrame:

@@ -647,3 +647,20 @@ def test_one_mesh_fails_and_the_others_go_on(spark, monkeypatch):
     assert errors[5][1].endswith("vertex 2 stands there 2 times") and errors.keys() == {3, 5, 9}
     assert errors[9][0] == "smooth" and "no such filter" in errors[9][1]
     assert out.faces.filter("mesh_id in (3, 5, 9)").count() == 0
+
+
+def test_idle_subjects_leave_no_state(spark, tmp_path):
+    # Subjects 1 to 20 ask in the first file only; when the clock has moved on, their state is gone, and one that comes back starts anew.
+    rows = [(s, 100 * k + s, k * 5, 0) for s in range(1, 21) for k in range(6)] + [(99, 10_000 + i, 5_000 + i, 1) for i in range(3)] + [(99, 20_000, 9_000, 2), (3, 20_001, 9_001, 2)] + [(99, 30_000, 9_500, 3)]
+    reqs = spark.createDataFrame(rows, "subject long, request_id long, at long, part int")
+    folder = str(tmp_path)
+    for k in range(4):
+        reqs.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema("subject long, request_id long, at long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = live.rate_limit_stream(source, 3, 60, "0 seconds").writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["subject"], r["request_id"]): (r["allowed"], r["remaining"]) for r in spark.table("idle").collect()}
+    want = {(r["subject"], r["request_id"]): (r["allowed"], r["remaining"]) for r in live.rate_limit(reqs.drop("part"), 3, 60).collect()}
+    assert got == want
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) >= 20 and held[-1] <= 2
