@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import written
+from orrery.llm.scratch import fresh, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits of a level for each key that is still without a slot.
@@ -192,12 +192,13 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     id and text of a winner one stays. An empty table gives no rows. The join's keys are (id, digest), so no group of
     copies meets in one task; repeated winners are reduced to one in each task before they meet.
     """
-    marks = written(exact_groups(docs, text, doc_id).select(F.col("doc_id").alias("__own_id"), F.unhex("text_sha256").alias("__own"), "kept"), "exact-marks")
-    keyed = docs.withColumn("__digest", digest(F.col(text)))
-    same = (F.col(doc_id).cast("long").eqNullSafe(F.col("__own_id"))) & (F.col("__digest") == F.col("__own"))
-    left = keyed.join(marks.filter(~F.col("kept")), same, "left_anti")
-    repeated = marks.filter("kept").groupBy("__own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__own")
+    own_id, own, kept, key = fresh(docs.columns, "__own_id", "__own", "__kept", "__digest")
+    marks = written(exact_groups(docs, text, doc_id).select(F.col("doc_id").alias(own_id), F.unhex("text_sha256").alias(own), F.col("kept").alias(kept)), "exact-marks")
+    keyed = docs.withColumn(key, digest(F.col(text)))
+    same = (F.col(doc_id).cast("long").eqNullSafe(F.col(own_id))) & (F.col(key) == F.col(own))
+    left = keyed.join(marks.filter(~F.col(kept)), same, "left_anti")
+    repeated = marks.filter(F.col(kept)).groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own)
     if not repeated.isEmpty():
-        several = F.col("__digest") == F.col("__own")
-        left = left.join(repeated, several, "left_anti").unionByName(left.join(repeated, several, "left_semi").dropDuplicates(["__digest"]))
+        several = F.col(key) == F.col(own)
+        left = left.join(repeated, several, "left_anti").unionByName(left.join(repeated, several, "left_semi").dropDuplicates([key]))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

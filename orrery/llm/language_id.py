@@ -23,6 +23,8 @@ from orrery.llm.scratch import slices, written
 ORDER = 4
 #: Labelled rows of each language in the sample, on average; a fifth of them calibrates.
 ROWS_PER_LANGUAGE = 1500
+#: Labels that may be learned; beyond it a label column holds something else than languages.
+MOST_LANGUAGES = 500
 #: Characters that are scored at a time.
 CHUNK = 1 << 20
 #: A text is rejected if its cross-entropy exceeds its language's mean by this many deviations, or by this many nats if
@@ -219,10 +221,13 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     """Fit on a sample of the rows that ``learn`` allows: ``ROWS_PER_LANGUAGE`` of each language on average, all if fewer.
 
     Which rows are taken depends on their ids alone. Only the sample's n-gram counts reach the driver; their number is
-    bounded by the sample. Without labelled rows there is no model (None).
+    bounded by the sample, and the number of labels by ``MOST_LANGUAGES``: more are an error. Without labelled rows there is
+    no model (None).
     """
     labelled = docs.filter(learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).cast("string").alias("id"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # reads no texts
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}  # reads no texts
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels: each would be a model of its own, which every task gets")
     if not sizes:
         return None
     draw = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce("id", F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -284,4 +289,6 @@ def keep_identified(docs: DataFrame, model: Identifier | None, text: str = "text
     repeated rows are judged each for itself. An empty table gives no rows.
     """
     prefix = "__language_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
     return identify(docs, model, text, prefix).filter(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import slices, written
+from orrery.llm.scratch import dropped, fresh, slices, written
 from orrery.operators.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -427,6 +427,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
             own = texts.join(left, F.col("doc_id") == F.col("id"), "left_semi")
             exact = pairs(prefix_nodes(own, left, words, percent).join(left, "id").join(reps, "id"), False)
             label = joined_by(links(exact), label)
+    dropped(reps, compared, candidates, texts)
     classes = sets.join(label, "id", "left").select(F.col("set_key").alias("k"), F.coalesce("label", "id").alias("class"))
     joined = features.select("doc_id", "n_shingles", "set_key").join(classes, F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
@@ -439,5 +440,6 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     Texts without words, null ones too, and rows with a null id stay. Rows that repeat a kept id stay with it: equal
     texts are the matter of exact deduplication. An empty table gives no rows; other columns don't matter.
     """
-    lost = components(docs, text, doc_id, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, F.col(doc_id).cast("long") == F.col("__lost_id"), "left_anti")
+    (lost_id,) = fresh(docs.columns, "__lost_id")
+    lost = components(docs, text, doc_id, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(lost_id)).distinct()
+    return docs.join(lost, F.col(doc_id).cast("long") == F.col(lost_id), "left_anti")

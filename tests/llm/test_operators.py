@@ -782,3 +782,11 @@ def test_url_filter(spark):
     assert list(index.by_token) == ["de"] and index.always == [1]
     assert url_filter.judge(pages.limit(0)).count() == 0
     assert url_filter.judge(pages, []).filter("verdict <> 'allow' or rule is not null").count() == 0
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    docs = table(spark, [(i, "some text of it", f"l{i % 4}", "s") for i in range(40)])
+    with pytest.raises(ValueError, match="more than 3 labels"):
+        language_id.fit(docs, F.lit(True))
+    assert language_id.fit(docs.filter("lang <> 'l3'"), F.lit(True)) is not None

@@ -40,6 +40,18 @@ def test_empty_table_and_repeated_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_stages_with_clashing_columns(spark):
+    # Columns that bear the names that stages use inside come out as they were.
+    names = ["__own_id", "__own", "__kept", "__digest", "__lost_id", "__language_rejected", "kept", "digest", "Path", "spans"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null").limit(60)
+    wide = docs.unionByName(docs.limit(5)).select("*", *[F.lit(f"{n} of a caller").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        assert out.select(*[f"`{n}`" for n in names]).distinct().collect() == [tuple(f"{n} of a caller" for n in names)], name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() >= 60
+
+
 def test_stages(spark):
     from orrery.llm.scratch import written
 
