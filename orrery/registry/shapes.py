@@ -13,7 +13,7 @@ from orrery.operators import mesh, points, rig
 from orrery.operators.contracts import MeshCleaningConfig
 from orrery.plans import pipelines
 from orrery.sources import media
-from orrery.sources.ply import PlySource
+from orrery.sources.ply import read_clouds, write_clouds
 from orrery.sources.scratch import shared_dir
 
 
@@ -52,13 +52,12 @@ F2 = f"{views.sql(views.POINTS)} SELECT * FROM points WHERE conf > 1.5 AND NOT i
 
 
 def a5_ply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(PlySource)
     folder = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}"
     p = points.confident(views.points(spark, sf_dir))
     byte = lambda c: F.floor(F.least(F.col(c), F.lit(1.0)) * 255).cast("int")
     cloud = p.select(*[F.col(c).cast("float").alias(c) for c in "xyz"], byte("r").alias("red"), byte("g").alias("green"), byte("b").alias("blue"))
-    cloud.write.format("ply").option("path", folder).mode("append").save()
-    return spark.read.format("ply").option("path", folder).load()
+    write_clouds(cloud, folder, 300)
+    return read_clouds(spark, folder)
 
 
 A5 = f"""{views.sql(views.POINTS)} SELECT x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z, floor(least(r, 1) * 255)::INTEGER AS red, floor(least(g, 1) * 255)::INTEGER AS green, floor(least(b, 1) * 255)::INTEGER AS blue

@@ -201,7 +201,7 @@ vertices AS (
 
 
 #: Cells around a ring's tube, cells that an event stands for, and rows of cells to a ring.
-TUBE, STRIP, RING_ROWS = 120, 6, 500
+TUBE, STRIP, RING_ROWS = 160, 8, 500
 
 
 def ring_faces(spark: SparkSession, sf_dir: str) -> DataFrame:

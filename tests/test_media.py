@@ -664,3 +664,61 @@ def test_idle_subjects_leave_no_state(spark, tmp_path):
     assert got == want
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert max(held) >= 20 and held[-1] <= 2
+
+
+def test_clouds_on_any_file_system(spark, tmp_path):
+    from orrery.sources import ply
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.cloud.link./in", f"file://{tmp_path}")
+    folder = "viewfs://cloud/in/points"  # no mounted path: only the session's file systems know it
+    cloud = spark.range(1000).repartition(3).select(*[(F.col("id") * k).cast("float").alias(c) for k, c in enumerate("xyz", 1)], *[(F.col("id") % 256).cast("int").alias(c) for c in ("red", "green", "blue")])
+    assert ply.write_clouds(cloud, folder, 150) >= 7
+    want = sorted(map(tuple, cloud.collect()))
+    assert sorted(map(tuple, ply.read_clouds(spark, folder).collect())) == want
+    names = os.listdir(tmp_path / "points")
+    assert all(n.endswith(".ply") for n in names if not n.startswith(".")) and ply.read_header(str(tmp_path / "points" / next(n for n in names if n.endswith(".ply"))))[0] <= 150
+    # A job that fails leaves nothing that a reader sees, and a second one adds to what is there.
+    with pytest.raises(Exception, match="no such point"):
+        ply.write_clouds(cloud.withColumn("x", F.when(F.col("x") == 900, F.raise_error(F.lit("no such point")).cast("float")).otherwise(F.col("x"))), folder, 10)
+    assert ply.read_clouds(spark, folder).count() == 1000 and not any(n.startswith("_making") for n in os.listdir(tmp_path / "points"))
+    assert ply.write_clouds(cloud.limit(0), folder) == 0 and ply.write_clouds(cloud, folder) == 3
+    assert ply.read_clouds(spark, folder).count() == 2000
+    (tmp_path / "points" / "broken.ply").write_bytes(b"ply\nformat ascii 1.0\n")
+    with pytest.raises(Exception, match="has no header of a point cloud"):
+        ply.read_clouds(spark, folder).count()
+
+
+def test_live_frames_lose_and_repeat_nothing(spark, tmp_path):
+    from orrery.streaming import frames as source
+
+    spark.dataSource.register(source.LiveFrameSource)
+    spool, out, state = (str(tmp_path / n) for n in ("spool", "out", "state"))
+    sent = []
+
+    def send(stream, k, payload):
+        source.append_frame(spool, stream, f"f{k}", payload)
+        sent.append((stream, sum(s == stream for s, *_ in sent), f"f{k}", len(payload), payload[:3] == b"\xff\xd8\xff"))
+
+    def drain():
+        rows = spark.readStream.format("live_frames").option("path", spool).load()
+        q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(tuple(r) for r in spark.read.parquet(out).collect())
+
+    for k in range(20):
+        send(f"cam/{k % 3}", k, (b"\xff\xd8\xff" if k % 4 else b"junk") + bytes(k * 50))
+    assert drain() == sorted(sent)
+    # A query that starts again from its checkpoint goes on where it was, with new streams and half-written records beside.
+    for k in range(20, 33):
+        send(f"cam/{k % 4}", k, b"\xff\xd8\xff" + bytes(k))
+    half = source.spool_file(spool, "cam/1")
+    with open(half, "ab") as f:
+        f.write(source.HEAD.pack(2, 500) + b"xx123")
+    assert drain() == sorted(sent)
+    with open(half, "ab") as f:
+        f.write(bytes(497))
+    sent.append(("cam/1", sum(s == "cam/1" for s, *_ in sent), "xx", 500, False))
+    assert drain() == sorted(sent) and drain() == sorted(sent)
+    decided = live.decide(spark.read.parquet(out), 8, 900)
+    assert decided.filter("action = 'payload_too_large'").count() == sum(n > 900 for *_, n, _ in sent) and decided.filter("action = 'invalid_frame'").count() == sum(n <= 900 and not ok for *_, n, ok in sent)
