@@ -44,8 +44,8 @@ def checked_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
-    """Payloads as JSON lines that ``read_payloads`` reads back."""
-    payloads.drop(CORRUPT).write.json(path)
+    """Payloads as JSON files, one each, that ``read_payloads`` reads back."""
+    payloads.drop(CORRUPT).write.option("maxRecordsPerFile", 1).json(path)
 
 
 def to_payload_json(payloads: DataFrame) -> DataFrame:

@@ -722,3 +722,10 @@ def test_live_frames_lose_and_repeat_nothing(spark, tmp_path):
     assert drain() == sorted(sent) and drain() == sorted(sent)
     decided = live.decide(spark.read.parquet(out), 8, 900)
     assert decided.filter("action = 'payload_too_large'").count() == sum(n > 900 for *_, n, _ in sent) and decided.filter("action = 'invalid_frame'").count() == sum(n <= 900 and not ok for *_, n, ok in sent)
+
+
+def test_every_payload_is_read_back(spark, tmp_path):
+    rows = spark.range(25).coalesce(2).select(F.col("id").cast("string").alias("upload_id"), F.lit("image_folder").alias("source_type"), F.lit("track_a_batch").alias("track"), F.lit(0.5).alias("compute_priority_score"))
+    media.write_payloads(rows, str(tmp_path / "payloads"))
+    back = media.read_payloads(spark, str(tmp_path / "payloads"))
+    assert sorted(int(r["upload_id"]) for r in back.collect()) == list(range(25)) and back.filter(f"{media.CORRUPT} is not null").count() == 0
