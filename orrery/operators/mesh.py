@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from orrery.operators.components import connected_components
 from orrery.operators.contraction import contracted_components
 from orrery.operators.decimation import decimate as decimate
+from orrery.operators.nearest import nearest
 from orrery.sources.scratch import dropped, written
 
 # Names of arrays that hold vertex colours.
@@ -403,38 +404,19 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return total.select("mesh_id", "vid", *[F.try_divide(F.col(n), length).alias(n) for n in names])
 
 
-def transfer_colors(source: DataFrame, target: DataFrame, rounds: int = 40) -> DataFrame:
+def transfer_colors(source: DataFrame, target: DataFrame) -> DataFrame:
     """``target`` with the colour of the nearest source vertex of its mesh (the lowest number of those as near).
 
-    Vertices meet through the cells of a grid: a vertex looks into its own cell and those around it. What it finds is
-    certain if no nearer vertex can lie outside; the rest looks again on a grid four times as coarse, until all have
-    found one. A source without colours leaves ``target`` as it is, and so do vertices without finite coordinates.
+    A source without colours leaves ``target`` as it is, and so do vertices without finite coordinates and a nearest
+    vertex without a colour. Source vertices without finite coordinates are nobody's nearest.
     """
     if source.filter("color is not null").isEmpty():
         return target
-    count = source.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
-    size = bounds(source).join(count, "mesh_id").select("mesh_id", F.greatest(F.col("diagonal") / F.sqrt("n"), F.lit(1e-9)).alias("size"))
-    src = source.select("mesh_id", F.col("vid").alias("s_vid"), *[F.col(c).alias(f"s{c}") for c in XYZ], F.col("color").alias("s_color"))
-    open_rows = target.select("mesh_id", "vid", *XYZ).filter(_finite("x") & _finite("y") & _finite("z")).join(count.select("mesh_id"), "mesh_id", "left_semi")
-    far = sum((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in XYZ)
-    best = F.min_by(F.col("s_color"), F.struct("d", "s_vid")).alias("new_color")
-    found = []
-    for k in range(rounds):
-        grid = size.withColumn("size", F.col("size") * (4**k))
-        cell = lambda names: [F.floor(F.col(c) / F.col("size")).alias(f"c{i}") for i, c in enumerate(names)]  # noqa: E731, B023
-        near = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate((a, b, c))]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-        t = open_rows.join(grid, "mesh_id").select("*", *cell(XYZ)).withColumn("o", F.explode(near))
-        t = t.select("mesh_id", "vid", *XYZ, "size", *[(F.col(f"c{i}") + F.col(f"o.d{i}")).alias(f"c{i}") for i in range(3)])
-        s = src.join(grid, "mesh_id").select("mesh_id", "s_vid", "sx", "sy", "sz", "s_color", *cell(("sx", "sy", "sz")))
-        met = t.join(s, ["mesh_id", "c0", "c1", "c2"]).withColumn("d", far).groupBy("mesh_id", "vid").agg(best, F.min("d").alias("d"), F.first("size").alias("size"))
-        sure = written(met.filter(F.sqrt("d") <= F.col("size")).select("mesh_id", "vid", "new_color"), "mesh-colors")
-        found.append(sure)
-        open_rows = written(open_rows.join(sure, ["mesh_id", "vid"], "left_anti"), "mesh-open")
-        if open_rows.isEmpty():
-            break
-    colors = found[0]
-    for part in found[1:]:
-        colors = colors.unionByName(part)
+    finite = F.col("vid").isNotNull() & _finite("x") & _finite("y") & _finite("z")
+    points = lambda t: t.filter(finite).select("mesh_id", "vid", *XYZ)
+    met = nearest(points(source), points(target.join(source.select("mesh_id").distinct(), "mesh_id", "left_semi")))
+    painted = source.groupBy("mesh_id", F.col("vid").alias("near_vid")).agg(F.min("color").alias("new_color"))
+    colors = met.join(painted, ["mesh_id", "near_vid"]).select("mesh_id", "vid", "new_color")
     return target.join(colors, ["mesh_id", "vid"], "left").withColumn("color", F.coalesce("new_color", "color")).select(*target.columns)
 
 

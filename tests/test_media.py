@@ -282,6 +282,36 @@ def test_colors_and_validation(spark):
         mesh.run_step("smooth", lambda: 1 / 0)
 
 
+def test_nearest_points(spark):
+    import numpy as np
+
+    from orrery.operators import nearest
+
+    rng = np.random.default_rng(5)
+    sides = {}
+    for mesh_id, n in ((1, 12_000), (2, 300), (3, 1), (4, 500)):
+        p = rng.normal(size=(n, 3))
+        p /= np.linalg.norm(p, axis=1)[:, None]
+        sides[mesh_id] = np.round(p, 1 if mesh_id == 4 else 6)  # mesh 4: many points stand twice, many are as near
+    frame = lambda of: spark.createDataFrame([(m, i, *map(float, x)) for m, p in of.items() for i, x in enumerate(p)], "mesh_id long, vid long, x double, y double, z double")
+    source = frame(sides)
+    far = {m: p[:3000] * 1.1 + shift for m, p, shift in ((1, sides[1], (500.0, -20.0, 3.0)), (2, sides[2], 0.01), (3, sides[2], 1e6), (4, sides[4], 0.05), (9, sides[3], 0.0))}
+    got = {(r[0], r[1]): r[2] for r in nearest.nearest(source, frame(far)).collect()}
+    for m, p in far.items():
+        if m not in sides:
+            assert not any(k[0] == m for k in got)
+            continue
+        for i, t in enumerate(p):
+            d = t - sides[m]
+            assert got[m, i] == int((d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]).argmin())
+    assert len(got) == sum(len(far[m]) for m in (1, 2, 3, 4))
+    # However far the sides lie apart, few leaves meet.
+    there, asking = nearest.leaves(source.filter("mesh_id = 1")), nearest.leaves(frame({1: far[1]}))
+    tree = nearest.levels(there)
+    assert len(tree) > 1 and nearest.candidates(asking, tree).count() < 0.25 * there.count() * asking.count()
+    assert nearest.nearest(source.limit(0), frame(far)).count() == 0 == nearest.nearest(source, source.limit(0)).count()
+
+
 def test_clean_meshes(spark):
     v, f = tables(spark, sphere(cap=True))
     out = pipelines.clean_meshes(v.unionByName(v.withColumn("mesh_id", F.lit(7).cast("long"))), f, contracts.MeshCleaningConfig(smoothing_iters=1))
