@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.scratch import written
+
 MAX_FRAMES = 40
 SWIN_THRESHOLD = 20
 
@@ -74,7 +76,7 @@ def resolve_groups(sync_entries: DataFrame, frames: DataFrame) -> tuple[DataFram
     A frame is found by source and index; of several the last position counts; frames without a source match nothing.
     """
     known = frames.filter(F.col("source_id").isNotNull()).groupBy("upload_id", "source_id", "index").agg(F.max_by(F.struct("frame_id", "uri", "motion_score"), "pos").alias("frame"))
-    met = sync_entries.join(known, ["upload_id", "source_id", "index"], "left")
+    met = written(sync_entries.join(known, ["upload_id", "source_id", "index"], "left"), "job-entries")
     resolved = met.filter("frame is not null").select("upload_id", "entry_pos", "source_id", "index", "frame.frame_id", "frame.uri", "frame.motion_score")
     text = F.concat(F.lit("sync_map references a frame that is not present in the payload: "), "source_id", F.lit("["), F.col("index").cast("string"), F.lit("]"))
     return resolved, met.filter("frame is null").select("upload_id", "entry_pos", text.alias("error"))
@@ -115,9 +117,10 @@ def used_frames(uploads: DataFrame, frames: DataFrame, sync_entries: DataFrame,
     job is reported. Rows are (upload_id, uri, output_pos, n_frames before the cap, n_groups).
     """
     moded = with_mode(uploads.select("upload_id", "source_type")).filter("mode is not null").select("upload_id", "mode")
-    known = frames.join(moded, "upload_id")
+    # Errors, groups and jobs all read the frames: they are worked out once.
+    known = written(frames.join(moded, "upload_id").select("upload_id", "mode", "source_id", "index", "frame_id", "pos", "uri", "motion_score"), "job-frames")
     ordered, synced = known.filter("mode <> 'synchronized_views'").drop("mode"), known.filter("mode = 'synchronized_views'").drop("mode")
-    lost = missing_uris(ordered).unionByName(missing_uris(synced.filter(F.col("source_id").isNotNull()), [F.col("pos"), F.col("frame_id")]))
+    lost = written(missing_uris(ordered).unionByName(missing_uris(synced.filter(F.col("source_id").isNotNull()), [F.col("pos"), F.col("frame_id")])), "job-lost")
     entries = sync_entries.join(moded.filter("mode = 'synchronized_views'").select("upload_id"), "upload_id", "left_semi").join(lost.select("upload_id"), "upload_id", "left_anti")
     groups, absent = resolve_groups(entries, synced)
     broken = absent.groupBy("upload_id").agg(F.min_by("error", F.struct("entry_pos", "error")).alias("error"))
