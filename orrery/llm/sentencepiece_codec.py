@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from orrery.llm.scratch import slices
 
 MARK = "▁"
-#: Words whose ids a task remembers between batches; when there are more it starts anew.
-REMEMBERED = 500_000
+#: Bytes of the words and ids that a task remembers between batches; when there are more it starts anew.
+REMEMBERED = 256 << 20
+#: Bytes of a remembered word beside its characters and ids.
+ENTRY = 200
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -42,6 +44,7 @@ class Vocabulary:
             if not merges or self.merged(piece) == [piece]:  # a piece that merges never produce isn't used
                 self.matches.add_word(piece, (piece, len(piece), score, {}))
         self.matches.make_automaton()
+        self.longest = max(map(len, scores), default=1)
 
     @classmethod
     def load(cls, path: str, merges: bool = True) -> Vocabulary:
@@ -105,7 +108,8 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> dict[str, list[str
             shared -= 1
         del lasts[shared + 1 :], upto[shared + 1 :], found[shared + 1 :]
         unset, settled = shared + 1, shared
-        for at, (piece, size, score, follows) in matches(word):
+        # What ends beyond the shared prefix begins less than the longest piece before: the rest isn't walked again.
+        for at, (piece, size, score, follows) in matches(word, max(0, shared + 1 - vocabulary.longest)):
             if at < settled:
                 continue
             while unset <= at + 1:  # a position that no piece reaches ends a character without a piece
@@ -144,7 +148,7 @@ class Encoder:
     """Encodes texts to ids, as little-endian unsigned 32-bit numbers in bytes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known, self.held = vocabulary, {}, 0
         self.packed = {p: i.to_bytes(4, "little") for p, i in vocabulary.ids.items()}
 
     def _ids(self, pieces: list[str]) -> bytes:
@@ -156,10 +160,12 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         fresh = {w for words in split for w in words} - self.known.keys()
-        self.known |= {w: self._ids(p) for w, p in encode_words(list(fresh), self.vocabulary).items()}
+        coded = {w: self._ids(p) for w, p in encode_words(list(fresh), self.vocabulary).items()}
+        self.held += sum(4 * len(w) + len(ids) + ENTRY for w, ids in coded.items())  # a character takes four bytes at most
+        self.known |= coded
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
@@ -225,12 +231,19 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model_path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of each row. A null or empty text has no ids. There is no shuffle."""
+    """(doc_id, ids) of each row. A null or empty text has no ids.
+
+    Repeated rows give repeated rows, a null id stays null, an empty table gives no rows, and other columns don't matter.
+    Texts are encoded whole where they lie, without a shuffle.
+    """
     return _rows(docs, text, doc_id).mapInArrow(_run(model_path, "ids", pa.schema([])), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, text) of each (doc_id, ids) row; null ids give a null text, ids outside the vocabulary nothing."""
+    """(doc_id, text) of each (doc_id, ids) row; null ids give a null text, ids outside the vocabulary nothing.
+
+    Repeated rows, null doc_ids, empty tables and other columns are as with ``encode``.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
     return encoded.select("doc_id", "ids").mapInArrow(_run(model_path, "text", schema), "doc_id long, text string")
 
@@ -238,7 +251,8 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model_path: str | None = None) -> DataFrame:
     """Each row encoded and decoded again: doc_id, n_ids, ids_crc32 (ids as unsigned 32-bit), decoded_sha256, restored.
 
-    ``restored`` says that the text came back; only texts that hold the mark itself don't (it comes back as a space).
+    ``restored`` says that the text came back; only texts that hold the mark itself don't (it comes back as a space). A null
+    text counts as empty; repeated rows, null doc_ids, empty tables and other columns are as with ``encode``.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("restored", pa.bool_())])
     return _rows(docs, text, doc_id).mapInArrow(_run(model_path, "digest", schema), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, restored boolean")

@@ -291,6 +291,36 @@ def test_unigram_viterbi_is_best():
         assert "".join(pieces) == w and math.isclose(sum(scores[p] for p in pieces), best(w))
 
 
+def test_shared_prefixes_are_walked_once(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    path = sentencepiece_codec.default_model()
+    v, model = sentencepiece_codec.Vocabulary.load(path), SentencePieceProcessor(model_file=path)
+    walked = 0
+
+    class Matches:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def iter(self, word, start=0):
+            nonlocal walked
+            walked += len(word) - start
+            return self.inner.iter(word, start)
+
+    v.matches = Matches(v.matches)
+    r = random.Random(8)
+    words = {sentencepiece_codec.MARK + "interpretation" * 40 + "".join(r.choice("aeinrst") for _ in range(6)) for _ in range(200)}
+    for word, pieces in sentencepiece_codec.encode_words(list(words), v).items():
+        assert pieces == model.encode(word[1:], out_type=str)
+    assert walked < 600 + len(words) * (v.longest + 6)
+    # A task that has remembered its share of words starts anew, with the same ids.
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 1000)
+    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.Vocabulary.load(path))
+    texts = [f"some {k} words of text {k}" for k in range(50)]
+    assert [list(memoryview(b).cast("I")) for t in texts for b in encoder.encode_all([t])] == [model.encode(t) for t in texts]
+    assert len(encoder.known) < 50
+
+
 def links(rows, words, percent):
     sets = {}
     for i, t in rows:
