@@ -759,3 +759,24 @@ def test_every_payload_is_read_back(spark, tmp_path):
     media.write_payloads(rows, str(tmp_path / "payloads"))
     back = media.read_payloads(spark, str(tmp_path / "payloads")).collect()
     assert sorted(int(r["upload_id"]) for r in back) == list(range(25)) and all(r[media.CORRUPT] is None for r in back)
+
+
+def broadcast_keys(df):
+    """The keys of each join that sends a side to all tasks."""
+    return re.findall(r"BroadcastHashJoin \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_tables_of_points_are_never_broadcast(spark, monkeypatch):
+    # Their files are small, their rows are not: only tables with a row for each mesh may be sent to all tasks.
+    found, labelled = [], []
+    for module, keys in ((mesh, found), (components, labelled)):
+        monkeypatch.setattr(module, "written", lambda df, label, inner=module.written, keys=keys: (keys.extend(broadcast_keys(df)), inner(df, label))[1])
+    monkeypatch.setattr(components, "SMALL", 0, raising=False)
+    v, f = tables(spark, plane(6))
+    v = v.unionByName(v.withColumn("vid", F.col("vid") + 1000).withColumn("x", F.col("x") + 0.1))
+    f = f.withColumn("vids", F.when(F.col("fid") % 2 == 1, F.transform("vids", lambda x: x + 1000)).otherwise(F.col("vids")))
+    wv, wf = mesh.weld(v, f, 0.02)
+    assert wv.count() == 49 and wf.count() == 72
+    for df in (wv, wf):
+        found += broadcast_keys(df)
+    assert all(re.fullmatch(r"mesh_id#\d+L", keys) for keys in found) and not labelled
