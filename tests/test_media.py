@@ -780,3 +780,19 @@ def test_tables_of_points_are_never_broadcast(spark, monkeypatch):
     for df in (wv, wf):
         found += broadcast_keys(df)
     assert all(re.fullmatch(r"mesh_id#\d+L", keys) for keys in found) and not labelled
+
+
+def test_hole_that_meets_itself_is_closed(spark):
+    # A cell hangs on by one corner inside a hole; another hole goes around two such cells, one of them on the other.
+    n = 12
+    v, f = plane(n, mesh_id=1)
+    cell = lambda i, k: 2 * (i * n + k)
+    around = {cell(i, k) for i in (2, 3, 4) for k in (2, 3, 4)} - {cell(3, 3), cell(2, 2)}
+    around |= {cell(i, k) for i in range(6, 11) for k in range(6, 11)} - {cell(6, 6), cell(7, 7), cell(8, 8)}
+    left = [x for x in f if x[1] - x[1] % 2 not in around]
+    tv, tf = tables(spark, (v, left))
+    fv, ff = mesh.fill_holes(tv, tf, 4.0)
+    got = mesh.topology(ff).first()
+    assert got["non_manifold_edge_count"] == 0 and got["boundary_edge_count"] == 4 * n
+    # Each open edge has taken one triangle: both holes and the three cells are loops.
+    assert fv.count() == len(v) + 5 and ff.count() == len(left) + mesh.edge_uses(tf).filter("uses = 1").count() - 4 * n
