@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.joins import shuffled, spread
 from orrery.operators.mesh import XYZ, bounds, keep_objects
 
 MAX_INFLUENCES = 4
@@ -51,7 +52,7 @@ def templates(spark: SparkSession) -> DataFrame:
 def unit_normalise(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Vertices moved to their box's middle and scaled to an extent of 1; the box is that of the vertices in use."""
     b = bounds(keep_objects(vertices, faces)[0]).withColumn("extent", F.greatest(*[f"span_{c}" for c in XYZ]))
-    met = vertices.join(b.select("mesh_id", "extent", *[((F.col(f"low_{c}") + F.col(f"high_{c}")) / 2).alias(f"mid_{c}") for c in XYZ]), "mesh_id")
+    met = vertices.join(shuffled(b.select("mesh_id", "extent", *[((F.col(f"low_{c}") + F.col(f"high_{c}")) / 2).alias(f"mid_{c}") for c in XYZ])), "mesh_id")
     moved = [F.when(F.col("extent") > 0, (F.col(c) - F.col(f"mid_{c}")) / F.col("extent")).otherwise(F.col(c)).alias(c) for c in XYZ]
     return met.select(*[c for c in vertices.columns if c not in XYZ], *moved).select(*vertices.columns)
 
@@ -78,9 +79,9 @@ def skin(vertices: DataFrame, joints: DataFrame, max_influences: int = MAX_INFLU
     """(mesh_id, vid, joint_idx, w): inverse distances to the nearest joints, normalised to a sum of 1 for each vertex."""
     j = joints.select("mesh_id", "joint_idx", *[F.col(c).alias(f"j{c}") for c in XYZ])
     far = F.sqrt(sum((F.col(c) - F.col(f"j{c}")) * (F.col(c) - F.col(f"j{c}")) for c in XYZ))
-    raw = vertices.select("mesh_id", "vid", *XYZ).join(j, "mesh_id").select("mesh_id", "vid", "joint_idx", (1.0 / F.greatest(far, F.lit(1e-6))).alias("w"))
+    raw = vertices.select("mesh_id", "vid", *XYZ).join(shuffled(j), "mesh_id").select("mesh_id", "vid", "joint_idx", (1.0 / F.greatest(far, F.lit(1e-6))).alias("w"))
     vertex = Window.partitionBy("mesh_id", "vid")
-    top = raw.withColumn("nth", F.row_number().over(vertex.orderBy(F.col("w").desc(), "joint_idx"))).filter(F.col("nth") <= max_influences)
+    top = spread(raw, "mesh_id", "vid").withColumn("nth", F.row_number().over(vertex.orderBy(F.col("w").desc(), "joint_idx"))).filter(F.col("nth") <= max_influences)
     return top.select("mesh_id", "vid", "joint_idx", (F.col("w") / F.greatest(F.sum("w").over(vertex), F.lit(1e-12))).alias("w"))
 
 

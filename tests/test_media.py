@@ -796,3 +796,14 @@ def test_hole_that_meets_itself_is_closed(spark):
     assert got["non_manifold_edge_count"] == 0 and got["boundary_edge_count"] == 4 * n
     # Each open edge has taken one triangle: both holes and the three cells are loops.
     assert fv.count() == len(v) + 5 and ff.count() == len(left) + mesh.edge_uses(tf).filter("uses = 1").count() - 4 * n
+
+
+def test_rigs_of_many_meshes_are_dealt(spark):
+    # A few bytes of compressed numbers must not bring all meshes into one task, nor be sent to all of them.
+    v, f = tables(spark, *[sphere(mesh_id=k) for k in range(1, 25)])
+    kinds = spark.createDataFrame([(k, "biped") for k in range(1, 25)], "mesh_id long, articulation string")
+    joints, packed, _ = pipelines.rig_meshes(v, f, kinds)
+    records = media.rig_metadata(joints, rig.bones(joints), packed)
+    for df in (packed, records):
+        assert df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
+    assert packed.count() == v.count() and records.count() == 24
