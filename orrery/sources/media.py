@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.scalars import IMAGE_EXTENSIONS, suffix
 from orrery.operators.contracts import check, payload_rules
+from orrery.operators.joins import shuffled, spread
 
 INTRINSICS = "focal_length_mm double, focal_length_35mm double, make string, model string, lens_model string"
 _CAMERA = "STRUCT<" + ", ".join(": ".join(f.split()) for f in INTRINSICS.split(", ")) + ">"
@@ -88,9 +89,9 @@ def rig_metadata(joints: DataFrame, bones: DataFrame, packed: DataFrame) -> Data
 
     A record holds a whole mesh, as its file does; ``packed`` rows are narrow.
     """
-    listed = lambda df, name, *cols: df.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    rig = listed(joints, "joints", "joint_idx", "joint", "parent", "x", "y", "z").join(listed(bones, "bones", "bone", "parent", "child"), "mesh_id", "left")
-    rig = rig.join(listed(packed, "skin", "vid", "joints", "weights"), "mesh_id")
+    listed = lambda df, name, *cols: spread(df, "mesh_id").groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    rig = listed(joints, "joints", "joint_idx", "joint", "parent", "x", "y", "z").join(shuffled(listed(bones, "bones", "bone", "parent", "child")), "mesh_id", "left")
+    rig = rig.join(shuffled(listed(packed, "skin", "vid", "joints", "weights")), "mesh_id")
     return rig.select("mesh_id", F.to_json(F.struct("bones", "joints", "skin")).alias("rig"))
 
 
