@@ -37,8 +37,8 @@ FIRST, DEEPER = 2, (6, 6, 6)
 SMALL, BLOCK = 48, 32
 #: Texts of a crowded node, about, from which the most frequent token of each position is taken.
 SAMPLE = 64
-#: Texts in a chunk of those that share a rare shingle; chunks are compared in twos.
-CHUNK = 128
+#: Texts in a chunk of those that share a rare shingle; chunks are compared in twos, each as one row. Pairs compared at a time.
+CHUNK, TOGETHER = 256, 8192
 #: One node in this many gives its texts a second child.
 BRANCH = 4
 #: Pairs whose tokens agree less than this far below the threshold, in standard deviations, are not confirmed.
@@ -159,16 +159,13 @@ def _children(steps: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _pairs(least: int, percent: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pairs(least: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compares the texts of each node (rows sorted by path): pairs (a, b) that agree in ``least`` tokens or more.
 
     With ``forest`` the pairs of a spanning forest, most similar ones first; else those with different components.
-    In nodes of texts that share a shingle, rows say at which place of their sets' order (``at``, from 1) it stands: two
-    sets that share none before it have at most what follows in common, and a pair that this rules out is left to the
-    node of the first shingle that it shares.
     """
 
-    def compare(path: np.ndarray, ids: np.ndarray, tokens: np.ndarray, component: np.ndarray, place: np.ndarray | None) -> list[tuple[int, int]]:
+    def compare(path: np.ndarray, ids: np.ndarray, tokens: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
         first, second, agreed = [], [], []
         for d in range(1, len(path)):
             i = np.flatnonzero(path[d:] == path[:-d])
@@ -176,9 +173,6 @@ def _pairs(least: int, percent: int, forest: bool) -> Callable[[Iterator[pa.Reco
                 break
             if not forest:
                 i = i[component[i] != component[i + d]]
-            if place is not None:
-                after, size = place[:, 1] - place[:, 0], place[:, 1]
-                i = i[(1 + np.minimum(after[i], after[i + d])) * (100 + percent) >= percent * (size[i] + size[i + d])]
             n = (tokens[i] == tokens[i + d]).sum(axis=1)
             near = n >= least
             first.append(i[near])
@@ -219,8 +213,7 @@ def _pairs(least: int, percent: int, forest: bool) -> Callable[[Iterator[pa.Reco
                 return None
             done = rows.slice(0, upto)
             tokens = np.frombuffer(b"".join(done.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            place = np.stack([done.column(c).to_numpy() for c in ("at", "size")], axis=1) if "at" in done.column_names else None
-            found = compare(path[:upto], done.column("id").to_numpy(), tokens, done.column("component").to_numpy(), place)
+            found = compare(path[:upto], done.column("id").to_numpy(), tokens, done.column("component").to_numpy())
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -234,6 +227,36 @@ def _pairs(least: int, percent: int, forest: bool) -> Callable[[Iterator[pa.Reco
     return run
 
 
+def _chunk_pairs(least: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares the texts of two chunks (or of one, beside itself) in a row: pairs (a, b) of different components that agree in ``least`` tokens or more.
+
+    Texts say at which place of their sets' order (``at``, from 1) the shared shingle stands: two sets that share none
+    before it have at most what follows in common, and a pair that this rules out is left to the first shingle that it shares.
+    """
+
+    def opened(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        texts = rows.values
+        tokens = np.frombuffer(b"".join(texts.field("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+        return *(texts.field(c).to_numpy() for c in ("id", "at", "size", "component")), tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for alone, one, two in zip(batch.column("alone").to_pylist(), batch.column("one"), batch.column("two"), strict=True):
+                id_a, at_a, size_a, component_a, tokens_a = opened(one)
+                id_b, at_b, size_b, component_b, tokens_b = opened(two)
+                after = np.minimum((size_a - at_a)[:, None], (size_b - at_b)[None, :])
+                near = (component_a[:, None] != component_b[None, :]) & ((1 + after) * (100 + percent) >= percent * (size_a[:, None] + size_b[None, :]))
+                i, j = np.nonzero(np.triu(near, 1) if alone else near)
+                parts = [slice(k, k + TOGETHER) for k in range(0, len(i), TOGETHER)]
+                alike = [k.start + np.flatnonzero((tokens_a[i[k]] == tokens_b[j[k]]).sum(axis=1) >= least) for k in parts]
+                if alike:
+                    k = np.concatenate(alike)
+                    a, b = id_a[i[k]], id_b[j[k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
 def _overlap(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, tuple[int, np.ndarray]] = {}
@@ -258,26 +281,28 @@ def _overlap(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def small_nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with 2 to about ``SMALL`` texts, for (id, tokens, component) rows.
 
-    Returns (path, id) rows of these nodes, over all trees, and (path, id, n, level) of the nodes that had to branch.
+    Returns (path, id) rows of these nodes, over all trees, and (path, id, n, level, tokens) of the nodes that had to
+    branch: their texts meet their tokens once, and children, hubs and consensus all come from there.
     """
 
     def counted(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         return written(rows.join(sizes.filter("low < high").drop("low", "high"), "path"), "near-nodes")
 
-    large = lambda level, k: level.filter(F.col("n") > SMALL).select("path", "id", "n", F.lit(k).alias("level"))
+    large = lambda level, k: written(level.filter(F.col("n") > SMALL).select("path", "id", "n", F.lit(k).alias("level")).join(reps, "id"), "near-crowds")
     level = counted(reps.mapInArrow(_roots(range(TREES), FIRST), _NODE))
-    found, crowded = level.filter(F.col("n") <= SMALL).select("path", "id"), large(level, 0)
+    parents = large(level, 0)
+    found, crowded = level.filter(F.col("n") <= SMALL).select("path", "id"), parents
     for k, steps in enumerate(DEEPER, 1):
-        parents = level.filter(F.col("n") > SMALL)
         if parents.isEmpty():
-            return found, crowded
-        level = counted(parents.select("path", "id").join(reps, "id").mapInArrow(_children(steps), _NODE).distinct())
+            return found, crowded.drop("component")
+        level = counted(parents.select("path", "id", "tokens", "component").mapInArrow(_children(steps), _NODE).distinct())
         found = found.unionByName(level.filter(F.col("n") <= SMALL).select("path", "id"))
-        crowded = crowded.unionByName(large(level, k))
+        parents = large(level, k)
+        crowded = crowded.unionByName(parents)
     # Blocks only give the first round links early; what they part is left to the hubs and the exact join.
     block = F.pmod(F.xxhash64("path", "id"), F.ceil(F.col("n") / BLOCK))
-    return found.unionByName(level.filter(F.col("n") > SMALL).select(F.xxhash64("path", block).alias("path"), "id")), crowded
+    return found.unionByName(level.filter(F.col("n") > SMALL).select(F.xxhash64("path", block).alias("path"), "id")), crowded.drop("component")
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,13 +327,13 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hub_pairs(crowded: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of a crowded node's hub and each of its texts in another component, for (path, id, n) rows.
+    """Pairs (a, b) of a crowded node's hub and each of its texts in another component, for (path, id, n, tokens, component) rows.
 
     ``reps`` are (id, tokens, component) rows. The hub agrees best with the most frequent tokens of its node.
     """
     tokens = reps.select("id", "tokens", "component")
-    mixed = crowded.join(tokens.select("id", "component"), "id").groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
-    rows = written(crowded.join(mixed, "path", "left_semi").select("path", "id", "n").join(tokens, "id"), "near-crowds")
+    mixed = crowded.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
+    rows = written(crowded.join(mixed, "path", "left_semi").select("path", "id", "n", "tokens", "component"), "near-mixed")
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / SAMPLE)) == 0).groupBy("path").agg(F.collect_list("tokens").alias("all"))
     center = sample.mapInArrow(_consensus, "path long, center binary")
     near = rows.join(center, "path").select("path", "id", "tokens", "center").mapInArrow(_agreement, "path long, id long, agreed long")
@@ -332,13 +357,14 @@ def _shingle_rows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def prefix_nodes(texts: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
-    """(path, id, at, size) rows of nodes that hold, together, every pair of texts of different components that can be linked.
+def prefix_chunks(texts: DataFrame, labels: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(shingle, chunk, low, high, rows) that hold, two by two, every pair of texts of different components that can be linked.
 
     A set of n shingles overlaps with any that it is linked with in at least ``percent`` of n, so in one order of all
     shingles, rarest first, the prefixes that leave out one shingle less than that share one. Texts that share a
-    shingle are sorted by component and cut into chunks, and two chunks are a node if they hold several components.
-    ``at`` is the shingle's place in the order of the text's set, which has ``size`` of them.
+    shingle are sorted by component and cut into chunks, from ``low`` to ``high`` component. A chunk's ``rows`` are
+    (id, at, size, component, tokens): ``at`` is the shingle's place in the order of the text's set, which has ``size`` of them.
+    Each text stands once for each shingle of its prefix, however many others share it.
     """
     rows = written(texts.mapInArrow(_shingle_rows(words), "id long, key long, size long, shingle long").distinct(), "near-shingles")
     # Shingles of one text alone come first in the order and are only counted.
@@ -351,14 +377,20 @@ def prefix_nodes(texts: DataFrame, labels: DataFrame, words: int, percent: int)
     kept = written(kept, "near-prefixes")
     mixed = kept.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
     order = Window.partitionBy("shingle").orderBy("component", "id")
-    dealt = written(kept.join(mixed, "shingle", "left_semi").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / CHUNK)), "near-chunks")
-    chunks = dealt.groupBy("shingle", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    other = chunks.select(F.col("shingle").alias("s"), F.col("chunk").alias("c"), F.col("low").alias("l"), F.col("high").alias("h"))
-    # A chunk beside itself only where it is alone: else it is compared beside the next one too.
-    last = F.max("chunk").over(Window.partitionBy("shingle"))
-    twos = chunks.withColumn("last", last).join(other, (F.col("shingle") == F.col("s")) & ((F.col("chunk") < F.col("c")) | ((F.col("last") == 0) & (F.col("c") == 0))))
-    twos = twos.filter(F.least("low", "l") < F.greatest("high", "h")).select("shingle", F.xxhash64("shingle", "chunk", "c").alias("path"), F.explode(F.array_distinct(F.array("chunk", "c"))).alias("chunk"))
-    return dealt.join(twos, ["shingle", "chunk"]).select("path", "id", "at", "size")
+    dealt = kept.join(mixed, "shingle", "left_semi").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / CHUNK))
+    row = F.struct("id", "at", "size", "component", "tokens")
+    packed = dealt.join(reps.select("id", "tokens"), "id").groupBy("shingle", "chunk")
+    return written(packed.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(row).alias("rows")), "near-chunks")
+
+
+def chunk_twos(chunks: DataFrame) -> DataFrame:
+    """(alone, one, two) for chunks of a shingle that hold several components: the rows of two of them, or of one beside itself (``alone``)."""
+    ends = chunks.select("shingle", "chunk", "low", "high")
+    other = ends.select(F.col("shingle").alias("s"), F.col("chunk").alias("other"), F.col("low").alias("l"), F.col("high").alias("h"))
+    met = ends.join(other, (F.col("shingle") == F.col("s")) & (F.col("chunk") <= F.col("other"))).filter(F.least("low", "l") < F.greatest("high", "h"))
+    rows = lambda chunk, name: chunks.select("shingle", F.col("chunk").alias(chunk), F.col("rows").alias(name))
+    both = met.select("shingle", "chunk", "other").join(rows("chunk", "one"), ["shingle", "chunk"]).join(rows("other", "two"), ["shingle", "other"])
+    return both.select((F.col("chunk") == F.col("other")).alias("alone"), "one", "two")
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -385,9 +417,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     compared = written(nodes.join(reps, "id"), "near-compared")
 
     def pairs(labelled: DataFrame, forest: bool) -> DataFrame:
-        place = [c for c in ("at", "size") if c in labelled.columns]
-        together = labelled.select("path", "id", "tokens", "component", *place).repartition("path").sortWithinPartitions("path", "id")
-        return written(together.mapInArrow(_pairs(least, percent, forest), "a long, b long").distinct(), "near-pairs")
+        together = labelled.select("path", "id", "tokens", "component").repartition("path").sortWithinPartitions("path", "id")
+        return written(together.mapInArrow(_pairs(least, forest), "a long, b long").distinct(), "near-pairs")
 
     candidates = pairs(compared.withColumn("component", F.col("id")), True)
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(dense).distinct()
@@ -416,16 +447,17 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     more = pairs(labelled.join(mixed.select("path"), "path", "left_semi"), False)
     some_crowded = not dense.isEmpty()
     if some_crowded:
-        more = more.unionByName(hub_pairs(crowded, with_label(reps.join(dense, "id", "left_semi")), least)).distinct()
+        more = more.unionByName(hub_pairs(with_label(crowded), with_label(reps.join(dense, "id", "left_semi")), least)).distinct()
     label = joined_by(links(more.join(candidates, ["a", "b"], "left_anti")), label)
     if some_crowded:
         # A pair that no small node has held was together in a crowded one from the start, if in any, and both its ends are here.
-        roots = with_label(crowded.filter("level = 0"))
+        roots = with_label(crowded.filter("level = 0").select("path", "id"))
         mixed = roots.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         left = written(roots.join(mixed.select("path"), "path", "left_semi").select("id", "component").distinct(), "near-left")
         if not left.isEmpty():
             own = texts.join(left, F.col("doc_id") == F.col("id"), "left_semi")
-            exact = pairs(prefix_nodes(own, left, words, percent).join(left, "id").join(reps, "id"), False)
+            twos = chunk_twos(prefix_chunks(own, left, reps, words, percent))
+            exact = written(twos.mapInArrow(_chunk_pairs(least, percent), "a long, b long").distinct(), "near-pairs")
             label = joined_by(links(exact), label)
     dropped(reps, compared, candidates, texts)
     classes = sets.join(label, "id", "left").select(F.col("set_key").alias("k"), F.coalesce("label", "id").alias("class"))

@@ -421,6 +421,25 @@ def test_near_duplicates_in_crowds(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+@pytest.mark.parametrize("n", [200, 800])
+def test_near_duplicates_rows_of_a_crowd(spark, monkeypatch, n):
+    # Texts that share a passage: each is one row for each shingle of its prefix, and only chunks, as single rows, meet in twos.
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    rows = [(i, " ".join(f"p{k}" for k in range(200)) + "".join(f" own{i}x{k}" for k in range(20)), "en", "s") for i in range(n)]
+    texts = table(spark, rows).select("doc_id", F.col("text").alias("__text"))
+    labels = texts.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
+    reps = texts.mapInArrow(near_dedup._features(3), "doc_id long, n_shingles long, set_key binary, tokens binary").select(F.col("doc_id").alias("id"), "tokens")
+    chunks = near_dedup.prefix_chunks(texts, labels, reps, 3, 85)
+    hot, held = chunks.groupBy("shingle").agg(F.sum(F.size("rows")).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+    # A prefix of 33 of 218 shingles: 20 of the text alone and 13 that all share.
+    assert (hot, held) == (13, 13 * n) and chunks.agg(F.max(F.size("rows"))).first()[0] == 16
+    twos = near_dedup.chunk_twos(chunks)
+    k = -(-n // 16)
+    assert twos.count() == 13 * k * (k + 1) // 2
+    # No pair is lost: with a limit that all pass, all pairs come out once for the first shingle that two texts share.
+    assert twos.mapInArrow(near_dedup._chunk_pairs(0, 0), "a long, b long").distinct().count() == n * (n - 1) // 2
+
+
 def shingled(text):
     words = text.split()
     return {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
