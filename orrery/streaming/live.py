@@ -19,6 +19,8 @@ from orrery.operators.sampling import interval, min_gap
 RING = 64
 MAX_FRAME_BYTES = 10 * 1024 * 1024
 MAX_REQUESTS, WINDOW_SECONDS = 60, 60
+#: Groups that the subjects of a rate limit's stream are dealt into.
+BUCKETS = 1024
 #: Seconds put before the times of a stream: watermarks begin at 0, and what isn't later counts as late.
 ORIGIN = 1_000_000_000
 
@@ -109,31 +111,43 @@ def decide_stream(frames: DataFrame, ring: int = RING, max_bytes: int = MAX_FRAM
     return judged.groupBy("stream_id").applyInPandasWithState(step, schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WINDOW_SECONDS, lateness: str = "10 minutes") -> DataFrame:
+def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WINDOW_SECONDS, lateness: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """``rate_limit`` on a streaming table; a subject's state is the at most ``limit`` times that count.
 
+    Subjects are dealt into ``buckets`` by a hash, and a bucket's subjects are judged in one pass with one state, since a
+    group costs milliseconds in itself. A query keeps the number of buckets that it began with.
+
     Once the stream's watermark (the latest time less ``lateness``) is more than a window beyond a subject's last allowed
     request, nothing of it counts any more and its state goes. Requests behind the watermark are late and have no row.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        expiry = lambda held: int(1000 * (held[-1] + window + 1 + ORIGIN))
+        kept = dict(zip(state.get[0], map(list, state.get[1]), strict=True)) if state.exists else {}
+        said = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values(["at", "request_id"], kind="stable")
+            allowed, remaining = [], []
+            for subject, at in zip([None] * len(rows) if key[0] < 0 else rows["subject"].tolist(), rows["at"].tolist(), strict=True):
+                ok, left = allow(kept.setdefault(subject, []), at, limit, window)
+                allowed.append(ok)
+                remaining.append(left)
+            said = pd.DataFrame({"subject": rows["subject"], "request_id": rows["request_id"], "at": rows["at"], "allowed": allowed, "remaining": pd.Series(remaining, rows.index, dtype="int32")})
+        kept = {s: held for s, held in kept.items() if held and expiry(held) > watermark}
+        if kept:
+            state.update((list(kept), list(kept.values())))
+            state.setTimeoutTimestamp(max(watermark + 1, min(map(expiry, kept.values()))))
+        elif state.exists:
             state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["at", "request_id"], kind="stable")
-        allowed, remaining = [], []
-        for at in rows["at"].tolist():
-            ok, left = allow(held, at, limit, window)
-            allowed.append(ok)
-            remaining.append(left)
-        state.update((held,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(1000 * ((held[-1] if held else rows["at"].max()) + window + 1 + ORIGIN))))
-        yield pd.DataFrame({"subject": key[0], "request_id": rows["request_id"], "at": rows["at"], "allowed": allowed, "remaining": pd.Series(remaining, rows.index, dtype="int32")})
+        if said is not None:
+            yield said
 
     kind = requests.schema["subject"].dataType.simpleString()
     timed = requests.withColumn("arrived", F.timestamp_seconds(F.col("at") + ORIGIN)).withWatermark("arrived", lateness)
-    return timed.groupBy("subject").applyInPandasWithState(step, f"subject {kind}, request_id long, at long, allowed boolean, remaining int", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    # Requests without a subject are a bucket of their own: pandas would turn the other numbers beside them into fractions.
+    dealt = timed.withColumn("bucket", F.when(F.col("subject").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("subject"), F.lit(buckets))))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, f"subject {kind}, request_id long, at long, allowed boolean, remaining int", f"subjects array<{kind}>, held array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def adaptive_sample_stream(frames: DataFrame) -> DataFrame:

@@ -696,6 +696,18 @@ def test_idle_subjects_leave_no_state(spark, tmp_path):
     assert max(held) >= 20 and held[-1] <= 2
 
 
+def test_subjects_share_few_states(spark, tmp_path):
+    # Many subjects, null too, are few groups; each is judged by itself, and one state's subjects go one by one.
+    rows = [(s, 1000 * k + s, 3 * k + s % 5, k // 4) for s in range(1, 301) for k in range(12)] + [(None, 60_000 + i, i, 0) for i in range(5)]
+    reqs = spark.createDataFrame(rows, "subject long, request_id long, at long, part int")
+    got = run_stream(spark, reqs, lambda s: live.rate_limit_stream(s, 3, 10, "0 seconds", 8), tmp_path, "few")
+    got = {(r["subject"], r["request_id"]): (r["allowed"], r["remaining"]) for r in got.collect()}
+    want = {(r["subject"], r["request_id"]): (r["allowed"], r["remaining"]) for r in live.rate_limit(reqs.filter("subject is not null").drop("part"), 3, 10).collect()}
+    of_none = [v for (s, _), v in sorted((k, v) for k, v in got.items() if k[0] is None)]
+    assert {k: v for k, v in got.items() if k[0] is not None} == want and of_none == [(True, 2), (True, 1), (True, 0), (False, 0), (False, 0)]
+    assert len(want) == 3600 and 0 < spark.read.format("statestore").load(str(tmp_path / "few" / "check")).count() <= 9
+
+
 def test_clouds_on_any_file_system(spark, tmp_path):
     from orrery.sources import ply
 
