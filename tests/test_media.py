@@ -708,6 +708,16 @@ def test_subjects_share_few_states(spark, tmp_path):
     assert len(want) == 3600 and 0 < spark.read.format("statestore").load(str(tmp_path / "few" / "check")).count() <= 9
 
 
+def test_components_of_some_links_are_dealt(spark, monkeypatch):
+    # From some thousand links on, labels are dealt by key: a broadcast table of structs takes 64 MB each, however small.
+    dealt = []
+    monkeypatch.setattr(components, "shuffled", lambda table, inner=components.shuffled: (dealt.append(table), inner(table))[1])
+    node = lambda c: F.struct((F.col("id") % 7).alias("mesh_id"), c.alias("vid"))
+    edges = spark.range(6000).select(node(F.col("id") - F.col("id") % 2).alias("src"), node(F.col("id") + 10_000).alias("dst"))
+    got = components.connected_components(edges)
+    assert dealt and got.count() == got.select("vertex").distinct().count() and got.filter("vertex.vid < 10000 and component <> vertex").count() == 0
+
+
 def test_clouds_on_any_file_system(spark, tmp_path):
     from orrery.sources import ply
 
