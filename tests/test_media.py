@@ -708,6 +708,26 @@ def test_subjects_share_few_states(spark, tmp_path):
     assert len(want) == 3600 and 0 < spark.read.format("statestore").load(str(tmp_path / "few" / "check")).count() <= 9
 
 
+def test_joining_up_holds_few_edges():
+    # What a task holds of its edges is bounded far below what an executor has for each.
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def batches():
+        for k in range(120):
+            i = np.arange(k * 10_000, (k + 1) * 10_000)
+            node = lambda d: pa.StructArray.from_arrays([pa.array(i // 1000), pa.array(i % 1000 * 2 + d)], ["mesh_id", "fid"])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([node(0), node(1)], names=["src", "dst"])
+
+    tracemalloc.start()
+    assert sum(b.num_rows for b in contraction._labelled(batches())) == 2_400_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_components_of_some_links_are_dealt(spark, monkeypatch):
     # From some thousand links on, labels are dealt by key: a broadcast table of structs takes 64 MB each, however small.
     dealt = []
