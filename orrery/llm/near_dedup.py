@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.scratch import dropped, fresh, slices, written
+from orrery.llm.sieve import sieve
 from orrery.operators.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -289,8 +290,10 @@ def small_nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         return written(rows.join(sizes.filter("low < high").drop("low", "high"), "path"), "near-nodes")
 
-    large = lambda level, k: written(level.filter(F.col("n") > SMALL).select("path", "id", "n", F.lit(k).alias("level")).join(reps, "id"), "near-crowds")
+    large = lambda level, k: written(level.filter(F.col("n") > SMALL).select("path", "id", "n", F.lit(k).alias("level")).join(dense, "id"), "near-crowds")
     level = counted(reps.mapInArrow(_roots(range(TREES), FIRST), _NODE))
+    # Texts of nodes further down are texts of crowded ones up here.
+    dense = reps.filter(sieve(level.filter(F.col("n") > SMALL).select("id"))("id"))
     parents = large(level, 0)
     found, crowded = level.filter(F.col("n") <= SMALL).select("path", "id"), parents
     for k, steps in enumerate(DEEPER, 1):
@@ -407,25 +410,29 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     features = written(rows.mapInArrow(_features(words), "doc_id long, n_shingles long, set_key binary, tokens binary"), "near-features")
     linkable = features.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    sets = written(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id")), "near-sets")
-    reps = written(linkable.select(F.col("doc_id"), F.col("set_key"), "tokens").join(sets.withColumnRenamed("set_key", "k"), (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("k"))).select("id", "tokens"), "near-reps")
+    sets = written(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "near-sets")
+    # A set that stands once is its own representative; only rows of the others look for theirs.
+    again = sieve(sets.filter("n > 1").select("set_key"))
+    shared, own_sets = sets.filter(again("set_key")).select(F.col("set_key").alias("k"), "id"), linkable.select(F.col("doc_id"), F.col("set_key"), "tokens")
+    chosen = own_sets.filter(again("set_key")).join(shared, (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("k"))).select("id", "tokens")
+    reps = written(own_sets.filter(~again("set_key")).select(F.col("doc_id").alias("id"), "tokens").unionByName(chosen), "near-reps")
 
     share = percent / 100
     least = int(np.floor(TOKENS * share - MARGIN * np.sqrt(TOKENS * share * (1 - share))))
     nodes, crowded = small_nodes(reps.withColumn("component", F.col("id")))
-    dense = crowded.filter("level = 0").select("id").distinct()
-    compared = written(nodes.join(reps, "id"), "near-compared")
+    dense = written(crowded.filter("level = 0").select("id", "tokens").distinct(), "near-dense")
+    compared = written(nodes.join(reps.filter(sieve(nodes.select("id"))("id")), "id"), "near-compared")
 
     def pairs(labelled: DataFrame, forest: bool) -> DataFrame:
         together = labelled.select("path", "id", "tokens", "component").repartition("path").sortWithinPartitions("path", "id")
         return written(together.mapInArrow(_pairs(least, forest), "a long, b long").distinct(), "near-pairs")
 
     candidates = pairs(compared.withColumn("component", F.col("id")), True)
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(dense).distinct()
-    texts = written(rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "near-texts")
+    ends = lambda found: found.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = written(rows.filter(sieve(ends(candidates).unionByName(dense.select("id")))("doc_id")), "near-texts")
 
-    def links(found: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("doc_id").alias(k), F.col("__text").alias(f"text_{k}")) for k in ("a", "b"))
+    def links(found: DataFrame, near: DataFrame) -> DataFrame:
+        left, right = (near.select(F.col("doc_id").alias(k), F.col("__text").alias(f"text_{k}")) for k in ("a", "b"))
         both = found.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         measured = both.mapInArrow(_overlap(words), "a long, b long, common long, either long")
         return written(measured.filter(100 * F.col("common") >= percent * F.col("either")), "near-links")
@@ -439,16 +446,18 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
         known = label.unionByName(after.select(F.col("label").alias("id"), "label")).groupBy("id").agg(F.min("label").alias("label"))
         return written(known.join(after, "label", "left").select("id", F.coalesce("final", "label").alias("label")), "near-labels")
 
-    first = connected_components(links(candidates), "a", "b")
+    first = connected_components(links(candidates, texts), "a", "b")
     label = first.select(F.col("vertex").alias("id"), F.col("component").alias("label"))
     with_label = lambda df: df.join(label, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
-    labelled = with_label(compared)
-    mixed = labelled.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    more = pairs(labelled.join(mixed.select("path"), "path", "left_semi"), False)
+    mixed = with_label(compared.select("path", "id")).groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    mixed = written(mixed.select("path"), "near-mixed")
+    more = pairs(with_label(compared.filter(sieve(mixed)("path"))).join(mixed, "path", "left_semi"), False)
     some_crowded = not dense.isEmpty()
     if some_crowded:
-        more = more.unionByName(hub_pairs(with_label(crowded), with_label(reps.join(dense, "id", "left_semi")), least)).distinct()
-    label = joined_by(links(more.join(candidates, ["a", "b"], "left_anti")), label)
+        more = more.unionByName(hub_pairs(with_label(crowded), with_label(dense), least)).distinct()
+    more = written(more.join(candidates, ["a", "b"], "left_anti"), "near-pairs")
+    met = lambda found: texts.filter(sieve(ends(found))("doc_id"))
+    label = joined_by(links(more, met(more)), label)
     if some_crowded:
         # A pair that no small node has held was together in a crowded one from the start, if in any, and both its ends are here.
         roots = with_label(crowded.filter("level = 0").select("path", "id"))
@@ -456,9 +465,9 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
         left = written(roots.join(mixed.select("path"), "path", "left_semi").select("id", "component").distinct(), "near-left")
         if not left.isEmpty():
             own = texts.join(left, F.col("doc_id") == F.col("id"), "left_semi")
-            twos = chunk_twos(prefix_chunks(own, left, reps, words, percent))
+            twos = chunk_twos(prefix_chunks(own, left, dense, words, percent))
             exact = written(twos.mapInArrow(_chunk_pairs(least, percent), "a long, b long").distinct(), "near-pairs")
-            label = joined_by(links(exact), label)
+            label = joined_by(links(exact, met(exact)), label)
     dropped(reps, compared, candidates, texts)
     classes = sets.join(label, "id", "left").select(F.col("set_key").alias("k"), F.coalesce("label", "id").alias("class"))
     joined = features.select("doc_id", "n_shingles", "set_key").join(classes, F.col("set_key") == F.col("k"), "left")

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import centroids, chat_format, collocations, exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filter
+from orrery.llm import centroids, chat_format, collocations, exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, sentencepiece_codec, sharding, sieve, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, path string"
 WORDS = "the of and house river stone green walks over under light quick brown never always some many".split()
@@ -445,6 +445,34 @@ def shingled(text):
     return {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
 
 
+def test_near_duplicates_move_no_other_texts(spark, monkeypatch):
+    # What is kept of the texts and of the rows of crowds is chosen where it lies, without a shuffle of the rest.
+    plans = {}
+
+    def noted(df, label, inner=near_dedup.written):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return inner(df, label)
+
+    monkeypatch.setattr(near_dedup, "written", noted)
+    words = [f"w{k}" for k in range(40)]
+    near = [(i, " ".join(words[: 38 + i % 3]), "en", "s") for i in range(6)]
+    other = [(100 + i, " ".join(f"u{i}x{k}" for k in range(30)), "en", "s") for i in range(200)]
+    got = near_dedup.components(table(spark, near + other), words=3, percent=85).collect()
+    assert {r.component_id for r in got if r.doc_id < 6} == {0} and all(r.kept for r in got if r.doc_id >= 100) and len(got) == 206
+    assert "Exchange" not in plans["near-texts"] and "Join" not in plans["near-texts"]
+
+
+def test_sieve(spark):
+    keys = spark.range(0, 50_000, 5).select(F.col("id").cast("string").cast("binary").alias("key"))
+    numbers = spark.range(200_000).select("id", F.col("id").cast("string").cast("binary").alias("k"))
+    passed = {r.id for r in numbers.filter(sieve.sieve(keys)("k")).collect()}
+    assert passed >= set(range(0, 50_000, 5)) and len(passed) < 10_000 + 0.03 * 190_000
+    assert numbers.filter(sieve.sieve(keys.limit(0))("k")).count() == 0 and numbers.filter(~sieve.sieve(keys.limit(0))("k")).count() == 200_000
+    # Beyond the largest filter more rows pass, but none is lost.
+    many = {r.id for r in numbers.filter(sieve.sieve(keys, most=1 << 15)("k")).collect()}
+    assert many >= set(range(0, 50_000, 5)) and len(many) > len(passed)
+
+
 def test_near_duplicates_of_nothing(spark, rows):
     assert near_dedup.components(table(spark, rows[:0])).count() == 0
     assert near_dedup.components(table(spark, [(1, None, None, None), (2, "", None, None)])).filter("kept").count() == 2
