@@ -17,7 +17,8 @@ TOLERANCE_MS = 120.0
 def usable_frames(frames: DataFrame) -> DataFrame:
     """Frames with a time, of uploads with at least two such sources; ``ts_pos`` orders a source by time, then position."""
     source = Window.partitionBy("upload_id", "source_id")
-    timed = frames.filter(F.col("timestamp_ms").isNotNull()).withColumn("ts_pos", F.row_number().over(source.orderBy("timestamp_ms", "pos")))
+    columns = ["upload_id", "source_id", "source_order", "pos", "index", "timestamp_ms", "motion_score"]
+    timed = frames.filter(F.col("timestamp_ms").isNotNull()).select(*columns).withColumn("ts_pos", F.row_number().over(source.orderBy("timestamp_ms", "pos")))
     return timed.join(timed.groupBy("upload_id").agg(F.countDistinct("source_id").alias("n_sources")).filter("n_sources > 1"), "upload_id")
 
 
@@ -100,6 +101,7 @@ def drop_conflicts(entries: DataFrame) -> DataFrame:
 
     Alignment is monotone in time, so an entry can only share frames with the last one kept, whose frames are the state.
     """
+    entries = written(entries, "sync-complete")  # the pass and the join after it both read them
     used = entries.select("upload_id", F.col("entry_pos").cast("long").alias("entry_pos"), F.concat(F.array(F.col("anchor_index")), F.transform("others", lambda o: o["index"])).alias("used"))
     kept = fold(used, ["upload_id"], ["entry_pos"], _unlike, f"upload_id {entries.schema['upload_id'].dataType.simpleString()}, entry_pos long")
     return entries.join(kept, ["upload_id", "entry_pos"])

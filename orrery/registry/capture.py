@@ -150,7 +150,7 @@ E13 = f"{views.sql(views.UPLOADS)} SELECT *, {MODE_SQL} AS mode, {ERROR_SQL} AS
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved groups as a table of their own: several operators read them, and the alignment runs once."""
-    frames = views.frames(spark, sf_dir)
+    frames = written(views.frames(spark, sf_dir), "frames")
     return written(jobs.resolve_groups(sync.long_entries(sync.sync_map(frames)), frames)[0], "groups")
 
 
@@ -185,7 +185,7 @@ E6 = f"{FLAT} SELECT upload_id, source_id, frame_id, output_pos FROM flat"
 
 
 def e7_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames, uploads = views.frames(spark, sf_dir), views.uploads(spark, sf_dir)
+    frames, uploads = written(views.frames(spark, sf_dir), "frames"), views.uploads(spark, sf_dir)
     entries = written(sync.long_entries(sync.sync_map(frames)), "sync-entries")
     used, _ = jobs.used_frames(uploads, frames, entries)
     return jobs.assemble(uploads, used).withColumn("image_uris", F.array_join("image_uris", " "))

@@ -88,6 +88,15 @@ def test_alignment_edges(spark):
     assert sync.sync_map(frames(spark, [("a", 0, 0.0, 0.0)])).count() == 0
 
 
+def test_sync_map_finds_nearest_frames_once(spark):
+    # The pass over the entries and the join after it read a table of them; neither goes through the alignment again.
+    two = frames(spark, [(s, i, 100.0 * i, 0.1 * (i % 3)) for s in "ab" for i in range(4)])
+    plan = sync.sync_map(two)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "collect_list" not in plan
+    # What alignment doesn't read isn't kept for it.
+    assert not {"uri", "frame_id", "width"} & set(sync.usable_frames(two).columns)
+
+
 def test_job_frames(spark):
     for n in (40, 41):
         f = frames(spark, [("v", i, float(i), None if i == 7 else (i % 5) / 10) for i in range(n)])
