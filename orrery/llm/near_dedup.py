@@ -7,12 +7,13 @@ many texts branch further. Small nodes are compared exhaustively on the tokens,
 the full sets. Independent trees repeat this until the chance of missing a pair is negligible.
 
 Texts with the same set are one representative from the start. Links are gathered in three rounds. The first confirms,
-for each small node, a spanning forest of its most similar pairs, which joins nearly all texts that belong together. The
-second confirms the remaining pairs of small nodes whose ends the first has left in different components, and compares
-the texts of each crowded node with its hub, the text that most of them resemble. The third takes the texts of crowded
-nodes that still hold several components and joins them on the rarest shingles of their full sets: of sets that are
-similar enough, the prefixes in one order of all shingles share one. A dense group of copies thus costs few
-confirmations for each text, and no pair that could change a component depends on where a tree has dealt it.
+for each small node, a spanning forest of its most similar pairs, which joins nearly all texts that belong together. Texts
+of crowded nodes that it has left in several components are the crowd. The second confirms the remaining pairs of small
+nodes whose ends are in different components and not both of the crowd, of pairs of the crowd a spanning forest of each
+node's components, and compares the texts of each crowded node with its hub, the text that most of them resemble. The
+third joins the whole crowd on the rarest shingles of the full sets: of sets that are similar enough, the prefixes in one
+order of all shingles share one. A dense group of copies thus costs few confirmations for each text, and no pair that
+could change a component depends on where a tree has dealt it.
 """
 
 from __future__ import annotations
@@ -160,20 +161,19 @@ def _children(steps: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _pairs(least: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compares the texts of each node (rows sorted by path): pairs (a, b) that agree in ``least`` tokens or more.
+def _pairs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares the texts of each node (rows sorted by path): pairs (a, b) of different components that agree in ``least`` tokens or more.
 
-    With ``forest`` the pairs of a spanning forest, most similar ones first; else those with different components.
+    Of the pairs whose ends both have ``sparse`` set only those of a spanning forest of the node's components, most similar ones first.
     """
 
-    def compare(path: np.ndarray, ids: np.ndarray, tokens: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    def compare(path: np.ndarray, ids: np.ndarray, tokens: np.ndarray, component: np.ndarray, sparse: np.ndarray) -> list[tuple[int, int]]:
         first, second, agreed = [], [], []
         for d in range(1, len(path)):
             i = np.flatnonzero(path[d:] == path[:-d])
             if not len(i):
                 break
-            if not forest:
-                i = i[component[i] != component[i + d]]
+            i = i[component[i] != component[i + d]]
             n = (tokens[i] == tokens[i + d]).sum(axis=1)
             near = n >= least
             first.append(i[near])
@@ -182,21 +182,24 @@ def _pairs(least: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
         if not first:
             return []
         i, j, n = np.concatenate(first), np.concatenate(second), np.concatenate(agreed)
-        if forest:
-            up = np.arange(len(path))
-
-            def top(x: int) -> int:
-                while up[x] != x:
-                    up[x] = x = up[up[x]]
-                return x
-
-            chosen = []
-            for k in np.argsort(-n, kind="stable"):
-                a, b = top(i[k]), top(j[k])
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-                    chosen.append(k)
-            i, j = i[chosen], j[chosen]
+        # A node's texts of one component are one from the start: all of them stand for the first.
+        order = np.lexsort((component, path))
+        new = np.r_[True, (path[order][1:] != path[order][:-1]) | (component[order][1:] != component[order][:-1])]
+        up = np.empty(len(path), np.int64)
+        up[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        thin = sparse[i] & sparse[j]
+        chosen = np.flatnonzero(~thin).tolist()
+        for k in np.argsort(-n, kind="stable"):
+            if thin[k] and (a := top(i[k])) != (b := top(j[k])):
+                up[max(a, b)] = min(a, b)
+                chosen.append(k)
+        i, j = i[chosen], j[chosen]
         return list(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +217,7 @@ def _pairs(least: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 return None
             done = rows.slice(0, upto)
             tokens = np.frombuffer(b"".join(done.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            found = compare(path[:upto], done.column("id").to_numpy(), tokens, done.column("component").to_numpy())
+            found = compare(path[:upto], done.column("id").to_numpy(), tokens, *(done.column(c).to_numpy(zero_copy_only=False) for c in ("component", "sparse")))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -423,11 +426,11 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     dense = written(crowded.filter("level = 0").select("id", "tokens").distinct(), "near-dense")
     compared = written(nodes.join(reps.filter(sieve(nodes.select("id"))("id")), "id"), "near-compared")
 
-    def pairs(labelled: DataFrame, forest: bool) -> DataFrame:
-        together = labelled.select("path", "id", "tokens", "component").repartition("path").sortWithinPartitions("path", "id")
-        return written(together.mapInArrow(_pairs(least, forest), "a long, b long").distinct(), "near-pairs")
+    def pairs(labelled: DataFrame) -> DataFrame:
+        together = labelled.select("path", "id", "tokens", "component", "sparse").repartition("path").sortWithinPartitions("path", "id")
+        return written(together.mapInArrow(_pairs(least), "a long, b long").distinct(), "near-pairs")
 
-    candidates = pairs(compared.withColumn("component", F.col("id")), True)
+    candidates = pairs(compared.withColumns({"component": F.col("id"), "sparse": F.lit(True)}))
     ends = lambda found: found.select(F.explode(F.array("a", "b")).alias("id"))
     texts = written(rows.filter(sieve(ends(candidates).unionByName(dense.select("id")))("doc_id")), "near-texts")
 
@@ -449,25 +452,26 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     first = connected_components(links(candidates, texts), "a", "b")
     label = first.select(F.col("vertex").alias("id"), F.col("component").alias("label"))
     with_label = lambda df: df.join(label, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
-    mixed = with_label(compared.select("path", "id")).groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    mixed = written(mixed.select("path"), "near-mixed")
-    more = pairs(with_label(compared.filter(sieve(mixed)("path"))).join(mixed, "path", "left_semi"), False)
-    some_crowded = not dense.isEmpty()
+    several = lambda nodes: nodes.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
+    roots = with_label(crowded.filter("level = 0").select("path", "id"))
+    crowd = written(roots.join(several(roots), "path", "left_semi").select("id").distinct(), "near-crowd")
+    some_crowded = not crowd.isEmpty()
+    marked = compared.join(crowd.withColumn("sparse", F.lit(True)), "id", "left").withColumn("sparse", F.coalesce("sparse", F.lit(False)))
+    mixed = written(several(with_label(compared.select("path", "id"))), "near-mixed")
+    more = pairs(with_label(marked.filter(sieve(mixed)("path"))).join(mixed, "path", "left_semi"))
     if some_crowded:
         more = more.unionByName(hub_pairs(with_label(crowded), with_label(dense), least)).distinct()
     more = written(more.join(candidates, ["a", "b"], "left_anti"), "near-pairs")
     met = lambda found: texts.filter(sieve(ends(found))("doc_id"))
     label = joined_by(links(more, met(more)), label)
     if some_crowded:
-        # A pair that no small node has held was together in a crowded one from the start, if in any, and both its ends are here.
-        roots = with_label(crowded.filter("level = 0").select("path", "id"))
-        mixed = roots.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        left = written(roots.join(mixed.select("path"), "path", "left_semi").select("id", "component").distinct(), "near-left")
-        if not left.isEmpty():
-            own = texts.join(left, F.col("doc_id") == F.col("id"), "left_semi")
-            twos = chunk_twos(prefix_chunks(own, left, dense, words, percent))
-            exact = written(twos.mapInArrow(_chunk_pairs(least, percent), "a long, b long").distinct(), "near-pairs")
-            label = joined_by(links(exact, met(exact)), label)
+        # A pair that no small node has held was together in a crowded one from the start, if in any. Its ends and those of
+        # pairs of the crowd that the second round has left out are here, in different components or joined already.
+        left = written(with_label(crowd), "near-left")
+        own = texts.join(left, F.col("doc_id") == F.col("id"), "left_semi")
+        twos = chunk_twos(prefix_chunks(own, left, dense, words, percent))
+        exact = written(twos.mapInArrow(_chunk_pairs(least, percent), "a long, b long").distinct(), "near-pairs")
+        label = joined_by(links(exact, met(exact)), label)
     dropped(reps, compared, candidates, texts)
     classes = sets.join(label, "id", "left").select(F.col("set_key").alias("k"), F.coalesce("label", "id").alias("class"))
     joined = features.select("doc_id", "n_shingles", "set_key").join(classes, F.col("set_key") == F.col("k"), "left")

@@ -421,6 +421,25 @@ def test_near_duplicates_in_crowds(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_near_duplicates_confirm_few_pairs_of_a_crowd(spark, monkeypatch):
+    # Edits of a text that is not among them: all pairs look alike and none is a link. Before the exact join each node confirms a forest.
+    found = []
+
+    def noted(df, label, inner=near_dedup.written):
+        out = inner(df, label)
+        if label == "near-pairs":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", noted)
+    n = 200
+    rows = [(i, t, "en", "s") for i, t in enumerate(crowd(2, n, 216, 5)[1:])]
+    got = near_dedup.components(table(spark, rows), words=3, percent=85).collect()
+    assert len(got) == n and all(r.kept for r in got)
+    # A forest of each node, the same in the second round, and with the hubs what is new.
+    assert max(found[:3]) <= 6 * n and found[2] <= 3 * n
+
+
 @pytest.mark.parametrize("n", [200, 800])
 def test_near_duplicates_rows_of_a_crowd(spark, monkeypatch, n):
     # Texts that share a passage: each is one row for each shingle of its prefix, and only chunks, as single rows, meet in twos.
