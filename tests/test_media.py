@@ -256,6 +256,17 @@ def test_orientation_and_normals(spark):
     assert mesh.orient(mv, mf).filter("orientable").count() == 0  # a Möbius strip
 
 
+def test_smoothing_spreads_large_meshes(spark, monkeypatch):
+    # A lattice takes few bytes: adaptive execution would merge its partitions into few tasks, but not those of a given number.
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mesh, "written", lambda df, label, inner=mesh.written: (plans.append(plan(df)), inner(df, label))[1])
+    v = spark.createDataFrame([(1, k, float(k % 2), float(k // 2), 0.0) for k in range(4)], "mesh_id long, vid long, x double, y double, z double")
+    f = spark.createDataFrame([(1, 0, [0, 1, 3]), (1, 1, [0, 3, 2])], "mesh_id long, fid long, vids array<long>")
+    out = mesh.smooth(v, f, "room", 2, 0.1, 20.0, 0)
+    assert out.count() == 4 and "REPARTITION_BY_NUM" in plans[0] and plan(out).count("REPARTITION_BY_NUM") >= 5
+
+
 def test_smoothing_keeps_volume(spark):
     v, f = tables(spark, sphere(10, 9))
     rough = v.withColumn("z", F.col("z") + F.when(F.col("vid") % 2 == 0, 0.02).otherwise(-0.02))
