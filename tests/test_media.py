@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from orrery import views
 from orrery.functions import scalars as S
 from orrery.operators import classify, components, contraction, contracts, deliver, jobs, mesh, pairing, points, rig, sampling, sync
 from orrery.plans import pipelines
@@ -869,3 +870,45 @@ def test_rigs_of_many_meshes_are_dealt(spark):
     for df in (packed, records):
         assert df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
     assert packed.count() == v.count() and records.count() == 24
+
+
+def test_meshes_are_oriented_whole_as_by_joins(spark):
+    # Turned faces, a second surface, a surface that can't be oriented, polygons, a lone face, three faces on an edge.
+    r = random.Random(4)
+    strip = [(5, i, float(i // 2), float(i % 2), 0.1 * i, None) for i in range(10)]
+    band = [[0, 1, 2], [1, 3, 2], [2, 3, 4], [3, 5, 4], [4, 5, 6], [5, 7, 6], [6, 7, 8], [7, 9, 8], [8, 9, 1], [9, 0, 1]]
+    wing = ([(4, i, 1.0 + i % 3, 0.5 * i, float(i * i % 5), None) for i in range(7)], [(4, 0, [0, 1, 2, 3]), (4, 9, [1, 0, 4]), (4, 5, [0, 1, 5]), (4, 7, [2, 6, 3])])
+    v, f = tables(spark, sphere(mesh_id=1), sphere(12, 8, cap=True, mesh_id=2), sphere(mesh_id=3), plane(3, mesh_id=3, shift=4.0, first=500, first_face=500), (strip, [(5, i, x) for i, x in enumerate(band)]), wing)
+    f = spark.createDataFrame([(m, i, x[::-1] if m in (3, 5) and r.random() < 0.4 else x) for m, i, x in sorted(map(tuple, f.collect()))], FACE)
+    f = f.withColumn("vids", F.when(F.col("mesh_id") == 2, F.reverse("vids")).otherwise(F.col("vids")))
+    both = [sorted(map(tuple, mesh.orient(v, f, whole).collect())) for whole in (mesh.WHOLE_VERTICES, 60, 0)]
+    assert both[0] == both[1] == both[2] == sorted(map(tuple, mesh.orient_dealt(v, f).collect())) and len(both[0]) == f.count()
+    assert {x[0] for x in both[0] if not x[3]} == {5}
+
+
+def test_cleaning_reads_dealt_rows_and_joins_rims_up_at_once(spark, monkeypatch):
+    # A file of a few megabytes is one task's; its triangles, and all that cleaning makes of them, are dealt.
+    sf, parts = "/root/testdata/sf0.001", 4
+    assert views.ring_faces(spark, sf).rdd.getNumPartitions() == parts and views.ring_vertices(spark, sf).count() > 0
+    seen, rounds = [], []
+    for module in (pipelines, components):
+        monkeypatch.setattr(module, "written", lambda df, label, inner=module.written: (seen.append((label, df._jdf.queryExecution().executedPlan().toString())), inner(df, label))[1])
+    monkeypatch.setattr(contraction, "connected_components", lambda links, inner=contraction.connected_components: (rounds.append(links.count()), inner(links))[1])
+    n = 12
+    v, f = plane(n, mesh_id=1)
+    gone = {2 * (i * n + k) for i, k in ((2, 2), (3, 3), (4, 2), (6, 8), (8, 8), (9, 9), (7, 4))}
+    tv, tf = tables(spark, (v, [x for x in f if x[1] - x[1] % 2 not in gone]))
+    out = pipelines.clean_meshes(tv, tf, contracts.MeshCleaningConfig(smoothing_iters=0, hole_size=2.0))
+    assert out.reports.first()["boundary_edge_count"] == 4 * n and out.errors.count() == 0
+    plans = [plan for label, plan in seen if label == "mesh-input"]
+    assert len(plans) == 2 and all("REPARTITION_BY_NUM" in plan and "rangepartitioning" in plan for plan in plans)
+    # No rounds over labels: parts of the rim are joined up where they lie, and few links that are left by one task.
+    assert not rounds and not any(label == "cc-labels" for label, _ in seen)
+
+
+def test_faults_name_the_first_lost_corner(spark):
+    v, f = tables(spark, sphere(mesh_id=1), sphere(mesh_id=2), sphere(mesh_id=3), sphere(mesh_id=4))
+    broken = [(1, 20, [0, 1, 99]), (1, 100, [0, 98, 1]), (2, 200, [0, None, 1]), (3, 300, [0, 1])]
+    got = {r["mesh_id"]: r["error"] for r in mesh.faults(v, f.unionByName(spark.createDataFrame(broken, FACE))).collect()}
+    assert got == {1: "face 100 names vertex 98, which isn't there", 2: "face 200 has a null corner", 3: "face 300 has fewer than three corners"}
+    assert mesh.faults(v, f).count() == 0
