@@ -15,6 +15,7 @@ from orrery import views
 from orrery.functions import scalars as S
 from orrery.operators import classify, components, contraction, contracts, deliver, jobs, mesh, pairing, points, rig, sampling, sync
 from orrery.plans import pipelines
+from orrery.registry import shapes
 from orrery.sources import media, ply
 from orrery.streaming import live
 
@@ -912,3 +913,13 @@ def test_faults_name_the_first_lost_corner(spark):
     got = {r["mesh_id"]: r["error"] for r in mesh.faults(v, f.unionByName(spark.createDataFrame(broken, FACE))).collect()}
     assert got == {1: "face 100 names vertex 98, which isn't there", 2: "face 200 has a null corner", 3: "face 300 has fewer than three corners"}
     assert mesh.faults(v, f).count() == 0
+
+
+def test_clean_report_smooths_in_earnest(spark, monkeypatch):
+    # The filter of the registered query takes out what the pass band doesn't hold: with few terms, nearly all of it stays.
+    terms = []
+    monkeypatch.setattr(mesh, "smooth", lambda *args, inner=mesh.smooth: (terms.append(args[3:5]), inner(*args))[1])
+    assert shapes.g14_clean_report(spark, "/root/testdata/sf0.001").count() == 1
+    w = mesh.sinc_weights(*terms[0])
+    left = lambda k: abs(sum(x * math.cos(j * math.acos(1 - k / 2)) for j, x in enumerate(w)))
+    assert len(terms) == 1 and all(left(k / 10) < 0.05 for k in range(8, 41)) and left(0.1) > 0.99
